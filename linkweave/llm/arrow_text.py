@@ -22,8 +22,8 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8), offsets
 
 
-def blocks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """``(first row, end row, bytes, offsets)`` over whole rows, about ``limit`` bytes each.
+def blocks(column: pa.Array, limit: int = 1 << 20, most_rows: int = 1 << 14) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``(first row, end row, bytes, offsets)`` over whole rows, about ``limit`` bytes and at most ``most_rows`` rows each.
 
     A longer text is a block of its own, so memory follows the longest text and not the batch.
     """
@@ -31,6 +31,7 @@ def blocks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, n
     row, rows = 0, len(offsets) - 1
     while row < rows:
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, side="right")) - 1)
+        end = min(end, row + most_rows)
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
 
