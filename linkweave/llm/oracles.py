@@ -1,3 +1,151 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express.
 
-ORACLE_SQL: dict[str, str] = {}
+The rest (language identification, the quality model, SentencePiece and SimHash) is held
+against brute force, the library's own output or held-out accuracy in tests/llm.
+"""
+
+from __future__ import annotations
+
+from linkweave.llm.license_scan import LICENCE_FILE, NAMES_LICENCE, TEMPLATES, THRESHOLD
+from linkweave.llm.line_dedup import MIN_WORDS
+from linkweave.llm.url_filters import RULES
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_BLANK = r"[\x20\x09-\x0D]"
+
+
+def _benchmark_words(text: str) -> str:
+    return rf"regexp_extract_all(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+DECONTAMINATION = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_benchmark_words("text")} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_benchmark_words("text")} AS w FROM benchmark),
+bk AS (SELECT item_id, w, least(10, len(w)) AS k FROM b WHERE len(w) > 0),
+bi AS (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM bk),
+bw AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM bi),
+ks AS (SELECT DISTINCT k FROM bw),
+di AS (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, ks WHERE len(w) >= k),
+dw AS (SELECT rid, k, i, array_to_string(w[i:i + k - 1], ' ') AS g FROM di),
+h AS (SELECT rid, i, dw.k, item_id FROM dw JOIN bw ON dw.g = bw.g AND dw.k = bw.k),
+hw AS (SELECT DISTINCT rid, i, k FROM h),
+hp AS (SELECT rid, unnest(range(i, i + k)) AS p FROM hw),
+n AS (SELECT rid, count(DISTINCT p) AS n_hit FROM hp GROUP BY rid),
+hi AS (SELECT DISTINCT rid, item_id FROM h WHERE item_id IS NOT NULL),
+t AS (SELECT rid, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS s FROM hi GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       coalesce(s, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (rid) LEFT JOIN t USING (rid)
+"""
+
+PREFERENCE = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n, count(*) OVER (PARTITION BY conv_id) AS size FROM t),
+la AS (SELECT conv_id, max(n) AS la FROM o WHERE role = 'assistant' GROUP BY conv_id),
+rp AS (SELECT conv_id, text AS reply FROM o JOIN la USING (conv_id) WHERE n = la),
+x AS (SELECT o.*, la, own.reply AS own_reply, other.reply AS reply FROM o LEFT JOIN la USING (conv_id) LEFT JOIN rp AS own USING (conv_id)
+      LEFT JOIN rp AS other ON other.conv_id = xor(o.conv_id, 1)),
+p AS (SELECT *, CASE WHEN la IS NULL OR reply = own_reply THEN size ELSE la - 1 END AS shared FROM x),
+c AS (SELECT *, text AS ctext, CASE WHEN la IS NULL THEN text WHEN n = la THEN reply WHEN reply IS NULL AND n > la THEN NULL ELSE text END AS rtext FROM p),
+s AS (SELECT *, 2 + length(role) + 3 AS head, '<|' || role || '|>' || chr(10) AS h, '<|end|>' || chr(10) AS e FROM c),
+z AS (SELECT *, coalesce(sum(CASE WHEN n > shared THEN head + length(ctext) + 8 END) OVER w, 0) AS ca, coalesce(sum(CASE WHEN n > shared THEN head + length(rtext) + 8 END) OVER w, 0) AS ra
+      FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT conv_id, any_value(size) AS size, any_value(shared) AS shared, count(rtext) AS rsize,
+  coalesce(string_agg(h || ctext || e, '' ORDER BY n) FILTER (n <= shared), '') AS prompt,
+  coalesce(string_agg(h || ctext || e, '' ORDER BY n) FILTER (n > shared), '') AS chosen,
+  coalesce(string_agg(CAST(CAST(ca + head AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(ca + head + length(ctext) AS BIGINT) AS VARCHAR), ',' ORDER BY n) FILTER (n > shared AND role = 'assistant'), '') AS chosen_mask,
+  coalesce(string_agg(h || rtext || e, '' ORDER BY n) FILTER (n > shared AND rtext IS NOT NULL), '') AS rejected,
+  coalesce(string_agg(CAST(CAST(ra + head AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(ra + head + length(rtext) AS BIGINT) AS VARCHAR), ',' ORDER BY n) FILTER (n > shared AND rtext IS NOT NULL AND role = 'assistant'), '') AS rejected_mask
+  FROM z GROUP BY conv_id)
+SELECT conv_id, CASE WHEN size = shared AND rsize = shared THEN 'identical' WHEN size = shared THEN 'no_chosen' WHEN rsize = shared THEN 'no_rejected' ELSE 'ok' END AS status,
+       CAST(shared AS BIGINT) AS n_prompt_turns, prompt, chosen, chosen_mask, rejected, rejected_mask FROM g
+"""
+
+QUALITY_RULES = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '{_BLANK}+'), lambda x: x <> '') AS w,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+i AS (SELECT rid, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8),
+g AS (SELECT rid, i, array_to_string(w[i:i + 7], ' ') AS g FROM i),
+r AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM g),
+u AS (SELECT rid, unnest(range(i, i + 8)) AS p FROM r WHERE c > 1),
+n AS (SELECT rid, count(DISTINCT p) AS n FROM u GROUP BY rid),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+             CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+             CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+      FROM w LEFT JOIN n USING (rid)),
+b AS (SELECT *, (n_words < 20)::BIGINT + 2 * (100 * n_repeat_words > 30 * n_words)::BIGINT + 4 * (10 * n_symbols > 3 * n_words)::BIGINT + 8 * (10 * n_dup_lines > 3 * n_lines)::BIGINT
+             + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 25 * n_words)::BIGINT + 64 * (n_words > 1000000)::BIGINT AS failed_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & 3) <> 0 AS base_failed, (failed_bits & 63) = 0 AS kept, failed_bits FROM b
+"""
+
+LINE_DEDUP = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+s AS (SELECT rid, doc_id, string_split(text, chr(10)) AS ls FROM d WHERE text IS NOT NULL),
+l AS (SELECT rid, doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS pos FROM s),
+o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+             list_filter(regexp_split_to_array(lower(line), '\s+'), lambda x: x <> '') AS w FROM l),
+u AS (SELECT rid, pos, row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, pos) AS n FROM o WHERE len(w) >= {MIN_WORDS}),
+g AS (SELECT rid, pos FROM u WHERE n > 1),
+j AS (SELECT o.*, g.pos IS NOT NULL AS gone FROM o LEFT JOIN g USING (rid, pos)),
+a AS (SELECT rid, count(*) FILTER (gone) AS n_removed,
+             coalesce(string_agg(CAST(CAST(start AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(start + length(line) AS BIGINT) AS VARCHAR), ',' ORDER BY pos) FILTER (gone), '') AS removed_spans,
+             coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text FROM j GROUP BY rid)
+SELECT doc_id, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(removed_spans, '') AS removed_spans, a.text FROM d LEFT JOIN a USING (rid)
+"""
+
+_URL_RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
+URL_FILTERS = f"""
+WITH r(rhost, rpath, verdict) AS (VALUES {_URL_RULES}),
+u AS (SELECT row_number() OVER () AS rid, page_id, CASE WHEN strpos(url, '://') > 0 THEN regexp_extract(url[strpos(url, '://') + 3:], '^[^?#]*') ELSE '' END AS rest FROM pages),
+s AS (SELECT rid, page_id, translate(split_part(rest, '/', 1), '{_UPPER}', '{_LOWER}') AS host, CASE WHEN strpos(rest, '/') > 0 THEN rest[strpos(rest, '/'):] ELSE '' END AS path FROM u),
+m AS (SELECT rid, rhost || rpath AS rule, verdict, row_number() OVER (PARTITION BY rid ORDER BY length(rhost) + length(rpath) DESC, length(rhost) DESC, verdict DESC) AS n
+      FROM s JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM s LEFT JOIN (SELECT * FROM m WHERE n = 1) USING (rid)
+"""
+
+_TEMPLATE_ROWS = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES))
+
+
+def _terms(text: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower({text}), '[^a-z0-9]+'), lambda x: x <> '')"
+
+
+LICENSE_SCAN = f"""
+WITH tp(template, licence, txt) AS (VALUES {_TEMPLATE_ROWS}),
+tt AS (SELECT template, licence, unnest({_terms("txt")}) AS term FROM tp),
+given AS (SELECT template, licence, term, count(*) AS tf FROM tt GROUP BY ALL),
+d AS (SELECT row_number() OVER () AS rid, doc_id, concat_ws('/', source, CAST(doc_id // 100 AS VARCHAR), CAST(doc_id AS VARCHAR) || '.txt') AS path, text FROM documents),
+h AS (SELECT rid, doc_id, path, text, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{NAMES_LICENCE}')) AS ls FROM d),
+k AS (SELECT *, regexp_matches(path, '{LICENCE_FILE}') OR (len(ls) > 0 AND 2 * len({_terms("array_to_string(ls, ' ')")}) >= len({_terms("coalesce(text, '')")})) AS is_file FROM h),
+us AS (SELECT rid, unnest(CASE WHEN is_file THEN list_distinct(list_append(ls, text)) ELSE list_distinct(ls) END) AS unit FROM k),
+un AS (SELECT row_number() OVER () AS uid, rid, unit FROM us),
+te AS (SELECT uid, rid, unnest({_terms("unit")}) AS term FROM un),
+counts AS (SELECT uid, rid, term, count(*) AS tf FROM te GROUP BY ALL),
+n AS (SELECT CAST({len(TEMPLATES)} AS DOUBLE) + (SELECT count(*) FROM un) AS n),
+df AS (SELECT term, count(DISTINCT template) + coalesce(any_value(c), 0) AS df FROM given LEFT JOIN (SELECT term, count(*) AS c FROM counts GROUP BY term) USING (term) GROUP BY term),
+idf AS (SELECT term, ln((n + 1) / (df + 1)) + 1 AS idf FROM df, n),
+wt AS (SELECT template, licence, term, tf * idf AS w FROM given JOIN idf USING (term)),
+ln1 AS (SELECT template, sqrt(sum(w * w)) AS length FROM wt GROUP BY template),
+uw AS (SELECT uid, rid, term, tf * coalesce(idf, (SELECT ln(n + 1) + 1 FROM n)) AS w FROM counts LEFT JOIN idf USING (term)),
+ul AS (SELECT uid, sqrt(sum(w * w)) AS unit_length FROM uw GROUP BY uid),
+dots AS (SELECT uid, rid, licence, template, sum(uw.w * wt.w / length) AS dot FROM uw JOIN wt USING (term) JOIN ln1 USING (template) GROUP BY ALL),
+sc AS (SELECT uid, rid, licence, round(dot / unit_length, 6) AS score FROM dots JOIN ul USING (uid)),
+bu AS (SELECT rid, licence, score, row_number() OVER (PARTITION BY uid ORDER BY score DESC, licence) AS n FROM sc WHERE score >= {THRESHOLD}),
+own AS (SELECT rid, string_agg(DISTINCT licence, ',' ORDER BY licence) AS own_licences, max(score) AS score, arg_min(licence, struct_pack(a := -score, b := licence)) AS own_licence FROM bu WHERE n = 1 GROUP BY rid),
+j AS (SELECT k.rid, doc_id, path, is_file, own_licences, score, own_licence FROM k LEFT JOIN own USING (rid)),
+fo AS (SELECT regexp_replace(path, '/[^/]*$', '') AS folder, arg_min(own_licence, struct_pack(a := -score, b := own_licence)) AS folder_licence FROM j WHERE is_file AND own_licence IS NOT NULL GROUP BY 1),
+ih AS (SELECT rid, folder, folder_licence, row_number() OVER (PARTITION BY rid ORDER BY length(folder) DESC) AS n FROM j JOIN fo ON starts_with(path, folder || '/') WHERE own_licence IS NULL)
+SELECT doc_id, path, is_file, coalesce(own_licences, '') AS own_licences, coalesce(score, 0.0) AS score, coalesce(own_licence, folder_licence) AS licence,
+       CASE WHEN own_licence IS NULL THEN folder END AS inherited_from
+FROM j LEFT JOIN (SELECT * FROM ih WHERE n = 1) USING (rid)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_license_scan": LICENSE_SCAN,
+    "op5_decontamination": DECONTAMINATION,
+    "op6_preference_format": PREFERENCE,
+    "op7_quality_rules": QUALITY_RULES,
+    "op9_line_dedup": LINE_DEDUP,
+    "op10_url_filters": URL_FILTERS,
+}
