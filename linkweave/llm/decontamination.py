@@ -111,20 +111,29 @@ class NgramIndex:
             mask[np.fromiter(found, dtype=np.uint64, count=len(found)) >> np.uint64(64 - _MASK_BITS)] = True
             self.masks[size] = mask
 
-    def scan(self, column: pa.Array) -> pa.Array:
-        rows = []
+    def scan(self, column: pa.Array, before: pa.Array | None = None) -> pa.Array:
+        """Hits of this index, together with those that an earlier one found."""
+        rows, known = [], [None] * len(column) if before is None else before.to_pylist()
         for start, end, data, offsets in blocks(column):
-            rows += self._scan(LOWER[data], offsets, end - start)
+            rows += self._scan(LOWER[data], offsets, known[start:end])
         return pa.array(rows, type=_ARROW_TYPE)
 
-    def _scan(self, low: np.ndarray, offsets: np.ndarray, count: int) -> list[dict]:
-        clean = [{"n_words": 0, "covered": [], "items": [], "spans": []} for _ in range(count)]
+    def _scan(self, low: np.ndarray, offsets: np.ndarray, known: list[dict | None]) -> list[dict]:
+        count = len(known)
+        out = [{"n_words": 0, "covered": [], "items": [], "spans": []} for _ in range(count)]
         if not len(low):
-            return clean
+            return out
         first, stop, doc, hashes = _words(low, offsets)
         for i, n in enumerate(np.bincount(doc, minlength=count).tolist()):
-            clean[i]["n_words"] = n
+            out[i]["n_words"] = n
+        starts = np.searchsorted(doc, np.arange(count + 1))
         raw, cover, items = None, np.zeros(len(first) + 1, dtype=np.int32), {}
+        for d, had in enumerate(known):
+            if had and had["covered"]:
+                items[d] = set(had["items"])
+                for run in had["covered"]:
+                    cover[starts[d] + run["first"]] += 1
+                    cover[starts[d] + run["stop"]] -= 1
         for size, found in self.by_size.items():
             if len(first) < size:
                 continue
@@ -139,46 +148,40 @@ class NgramIndex:
                 if words in found[h]:
                     cover[i] += 1
                     cover[i + size] -= 1
-                    items.setdefault(int(doc[i]), set()).update(found[h][words])
+                    items.setdefault(int(doc[i]), set()).update(self.ids[n] for n in found[h][words])
         if items:
-            hit = np.cumsum(cover[:-1]) > 0
-            starts = np.searchsorted(doc, np.arange(count + 1))
-            for d, numbers in items.items():
+            raw, hit = raw or low.tobytes(), np.cumsum(cover[:-1]) > 0
+            for d, names in items.items():
                 own, base = hit[starts[d] : starts[d + 1]].astype(np.int8), int(starts[d])
                 turns = np.diff(own, prepend=0, append=0)
                 runs = list(zip(np.flatnonzero(turns == 1).tolist(), np.flatnonzero(turns == -1).tolist(), strict=True))
                 text = raw[offsets[d] : offsets[d + 1]]
-                clean[d]["covered"] = [{"first": a, "stop": b} for a, b in runs]
-                clean[d]["items"] = sorted({self.ids[n] for n in numbers} - {None})
-                clean[d]["spans"] = [{"start": len(text[: first[base + a] - offsets[d]].decode()), "stop": len(text[: stop[base + b - 1] - offsets[d]].decode())} for a, b in runs]
-        return clean
+                out[d]["covered"] = [{"first": a, "stop": b} for a, b in runs]
+                out[d]["items"] = sorted(names - {None})
+                out[d]["spans"] = [{"start": len(text[: first[base + a] - offsets[d]].decode()), "stop": len(text[: stop[base + b - 1] - offsets[d]].decode())} for a, b in runs]
+        return out
 
 
 _PAIR = lambda a, b: pa.list_(pa.struct([(a, pa.int64()), (b, pa.int64())]))
 _ARROW_TYPE = pa.struct([("n_words", pa.int64()), ("covered", _PAIR("first", "stop")), ("items", pa.list_(pa.string())), ("spans", _PAIR("start", "stop"))])
 
 
-def _scanner(index: object):
+def _scanner(index: object, text: str, before: str | None) -> Column:
+    if before is None:
+
+        @F.arrow_udf(HIT_TYPE)
+        def first(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for column in columns:
+                yield index.value.scan(column)
+
+        return first(F.col(text))
+
     @F.arrow_udf(HIT_TYPE)
-    def scan(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in columns:
-            yield index.value.scan(column)
-
-    return scan
-
-
-def _union(a: Column, b: Column) -> Column:
-    """Sorted disjoint runs that cover what either list covers."""
-    runs = F.sort_array(F.concat(a, b))
-    kind = "array<struct<first:bigint,stop:bigint>>"
-    return F.aggregate(
-        runs,
-        F.array().cast(kind),
-        lambda done, run: F.when(
-            (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["stop"] >= run[0]),
-            F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(done, F.lit(-1))["first"].alias("first"), F.greatest(F.try_element_at(done, F.lit(-1))["stop"], run[1]).alias("stop")))),
-        ).otherwise(F.concat(done, F.array(F.struct(run[0].alias("first"), run[1].alias("stop"))))),
-    )
+    def later(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for column, known in columns:
+            yield index.value.scan(column, known)
+
+    return later(F.col(text), F.col(before))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, into: str = "contamination", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -196,17 +199,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "te
     for part in range(parts):
         rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part).collect() if parts > 1 else items.collect()
         index = spark.sparkContext.broadcast(NgramIndex([(r["i"], r["t"]) for r in rows], window))
-        if part == 0:
-            docs = docs.withColumn(into, _scanner(index)(F.col(text)))
-            continue
-        had, got = F.col(into), F.col("__block")
-        merged = F.struct(
-            had["n_words"].alias("n_words"),
-            _union(had["covered"], got["covered"]).alias("covered"),
-            F.array_sort(F.array_union(had["items"], got["items"])).alias("items"),
-            _union(had["spans"], got["spans"]).cast("array<struct<start:bigint,stop:bigint>>").alias("spans"),
-        )
-        docs = checkpoint(docs).withColumn("__block", _scanner(index)(F.col(text))).withColumn(into, merged).drop("__block")
+        docs = docs.withColumn(into, _scanner(index, text, None)) if part == 0 else checkpoint(docs).withColumn(into, _scanner(index, text, into))
     return docs
 
 
