@@ -42,6 +42,7 @@ def parser() -> argparse.ArgumentParser:
     add("audit")
     add("pair-baseline", ("--gold", {}))
     add("cluster-features", run)
+    add("serve", ("--host", {"default": "127.0.0.1"}), ("--port", {"type": int, "default": 8080}))
     return top
 
 
@@ -110,6 +111,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
             said = {k: _rows(v) for k, v in pipelines.pair_baseline(store, gold=landed.read_flexible_gold(spark, a.gold) if a.gold else None).items()}
         case "cluster-features":
             said = _rows(pipelines.cluster_features(store, a.run_id))
+        case "serve":
+            from linkweave.serve import server
+
+            server(store, a.host, a.port).serve_forever()
+            said = ""
     text = said if isinstance(said, str) else dump(said)
     if getattr(a, "out", None):
         write_text(a.out, text)

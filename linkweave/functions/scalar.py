@@ -84,3 +84,24 @@ def html_escape(c: Column) -> Column:
     for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         c = F.replace(c, F.lit(mark), F.lit(name))
     return c
+
+
+def comma_list(c: Column) -> Column:
+    """Trimmed, non-blank, lower-case members of a comma list; null gives none."""
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.lower(F.trim(x))), lambda x: x != "")
+
+
+def shared_keys_of(evidence_json: Column) -> Column:
+    """The keys in a cluster's stored evidence; none where it is missing or no such JSON."""
+    return F.coalesce(F.from_json(evidence_json, "struct<shared_evidence_keys:array<string>>")["shared_evidence_keys"], F.array().cast("array<string>"))
+
+
+def row_hash(*columns: Column) -> Column:
+    """SHA-256 of the columns as JSON with their names in the order given and nulls kept."""
+    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+
+
+def report_metric(markdown: Column, label: str) -> Column:
+    """The number of a report's line ``- label...: **number**``, null if there is none."""
+    number = F.regexp_extract(markdown, rf"(?m)^- {label}[^\n]*?: \*\*([0-9.]+)\*\*", 1)
+    return F.nullif(number, F.lit("")).cast("double")

@@ -103,6 +103,11 @@ def neighbourhood(drawn: DataFrame, node_id: str) -> DataFrame:
     return drawn.join(near, "evidence_id", "left_semi")
 
 
+def same_run(summary: dict, document: dict) -> bool:
+    """Whether a summary and a graph document are of one run."""
+    return summary.get("run_id") is not None and summary["run_id"] == document.get("run", {}).get("run_id")
+
+
 def evidence_graph(run: dict, evidence: DataFrame, members: DataFrame, *, cap: int = FAN_OUT_CAP, max_identifiers: int = GRAPH_IDENTIFIERS, max_evidence: int = GRAPH_EVIDENCE) -> dict:
     """The bounded document: every collected table is limited by the two bounds, but for the events of those nodes."""
     from linkweave.runtime import checkpoint

@@ -143,3 +143,10 @@ def test_files(spark, tmp_path):
     params.write_text(json.dumps({k: v for k, v in json.loads(LinkageParams().to_json()).items() if k != "w_safe_owner_min_overlap"}))
     assert landed.read_params(spark, str(params)).w_safe_owner_min_overlap == 0.0
     assert landed.Config.from_env({"LINKWEAVE_NETWORKS": "a, b,", "LINKWEAVE_CHAIN": " Scroll "}) == landed.Config(chain="scroll", networks=("a", "b"))
+
+
+def test_text_functions(spark):
+    row = spark.createDataFrame([(" A, b,,", '{"shared_evidence_keys": ["k"]}', "oops", "- Gini coefficient: **0.125**\n")], "a string, b string, c string, d string")
+    c = F.col
+    got = row.select(scalar.comma_list(c("a")), scalar.shared_keys_of(c("b")), scalar.shared_keys_of(c("c")), scalar.report_metric(c("d"), "Gini"), scalar.report_metric(c("d"), "Nakamoto"), F.length(scalar.row_hash(c("a"), c("b"))), scalar.dot_escape(F.lit('a"b')), scalar.html_escape(F.lit("<&>"))).first()
+    assert tuple(got) == (["a", "b"], ["k"], [], 0.125, None, 64, 'a\\"b', "&lt;&amp;&gt;")
