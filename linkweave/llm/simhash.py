@@ -193,6 +193,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     smallest = placed.groupBy("component").agg(F.min("first_id").alias("least_id"))
     linked = placed.join(smallest, "component").select(F.col("fp").alias("linked_fp"), "least_id")
     named = nodes.join(linked, nodes.fp == F.col("linked_fp"), "left").select(F.col("fp").alias("node"), F.coalesce("least_id", "first_id").alias("component_id"))
+    named = checkpoint(named)  # so that both sides of the join below are plain shuffles, whose hot fingerprints Spark splits
     return marked.join(named, marked.fp == named.node).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
