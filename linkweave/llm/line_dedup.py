@@ -57,6 +57,8 @@ def find_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     units = checkpoint(rows.select("id", "rank", "text_hash", "u.*"))
     place = F.struct("rank", "id", "text_hash", "position")
     first = units.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first")
+    # written, so that both sides of the next join are plain shuffles, whose hot digests Spark splits
+    first = checkpoint(first)
     gone = units.join(first, units.digest == first.d).where(~place.eqNullSafe(F.col("first")))
     return gone.groupBy("id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("position", "start", "stop"))).alias("repeats"))
 
