@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir), where ``docs`` has the columns of the ta
 works on every row that the stage before kept, and returns those columns, except for the last
 one, which adds the encoding. :func:`run` writes each stage as Parquet under the shared
 checkpoint folder and reads it again as the next one's input, so a lost executor costs a stage
-at most and lineage never grows.
+at most and lineage never grows; a stage's files go when the next stage is written.
 """
 
 from __future__ import annotations
@@ -57,7 +57,16 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            _remove(spark, before)
+        before = f"{folder}/{name}"
     return docs
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
