@@ -80,14 +80,17 @@ def reply_swaps(turns: DataFrame) -> DataFrame:
     """(conv_id, chosen, rejected): each conversation against itself with its last assistant turn
     swapped for that of its neighbour, the conversation whose id differs in the last bit.
 
+    The replies are aggregated on their own, so the turns shuffle once as whole conversations.
     Without an assistant turn, or without a neighbour that has one, the rejected side just ends
     before the turn. Each conversation meets one other, so nothing grows with a group's size.
     """
     own = conversations(turns)
     last = F.array_max(F.transform(F.filter(F.transform("turns", lambda t, i: F.struct(i.alias("i"), t["role"].alias("role"))), lambda x: x["role"] == "assistant"), lambda x: x["i"]))
     own = own.withColumn("last", last)
-    reply = F.when(F.col("last").isNotNull(), F.try_element_at("turns", F.col("last") + 1)["text"])
-    partner = own.select(F.col("conv_id").bitwiseXOR(F.lit(1).cast("bigint")).alias("of_id"), reply.alias("reply")).where("reply is not null")
+    # the last assistant turn by the order of the turns; one text a conversation leaves a map task
+    said = turns.where("conv_id is not null and role = 'assistant'").select("conv_id", F.col("turn").cast("bigint").alias("turn"), F.coalesce("text", F.lit("")).alias("text"))
+    reply = said.groupBy("conv_id").agg(F.max_by("text", F.struct("turn", "text")).alias("reply"))
+    partner = reply.select(F.col("conv_id").bitwiseXOR(F.lit(1).cast("bigint")).alias("of_id"), "reply")
     joined = own.join(partner, own.conv_id == partner.of_id, "left")
     before = F.when(F.col("last").isNull(), F.col("turns")).otherwise(F.slice("turns", F.lit(1), F.coalesce("last", F.lit(0))))
     was = F.try_element_at("turns", F.col("last") + 1)
