@@ -35,7 +35,7 @@ RULES = (
     Rule(0, "few_words", "n_words < 20"),
     Rule(1, "repeated_words", "100 * n_repeat_words > 30 * n_words"),
     Rule(2, "symbols", "10 * n_symbols > 3 * n_words"),
-    Rule(3, "repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule(3, "repeated_lines", "n_lines >= 10 and 10 * n_dup_lines > 3 * n_lines"),
     Rule(4, "short_words", "word_chars < 2 * n_words"),
     Rule(5, "long_words", "word_chars > 25 * n_words"),
     Rule(6, "many_words", "n_words > 1000000"),
