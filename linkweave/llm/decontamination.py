@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from linkweave.llm.arrow_text import LOWER, LOWER_BYTES, blocks
 from linkweave.runtime import checkpoint
 
-#: Bytes of benchmark text that one broadcast block holds at most on average.
-BLOCK_BYTES = 8 << 20
+#: Bytes of benchmark text that one broadcast block holds on average at most; an index of it takes
+#: about a hundred times as much memory in a worker.
+BLOCK_BYTES = 1 << 20
 
 _WORD = np.zeros(256, dtype=bool)
 _WORD[48:58] = _WORD[97:123] = True

@@ -375,3 +375,29 @@ def test_quality_edges(spark):
     x = np.random.default_rng(1).normal(size=(800, 3))
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
     assert (((quality_gam.AdditiveModel.fit(x, y).score(x) > 0.5) == y).mean()) > 0.9  # only a pair explains it
+
+
+# every operator on one odd table
+
+
+def test_odd_table(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows, and columns named like results."""
+    long = " ".join(f"word{n % 977} and" for n in range(30_000)) + "\n" + "x" * 200_000
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, long, "en", "s", 1), (2, long, "en", "s", 1), (3, "A b c", None, None, None), (4, "A b c", "de", "s", 2)]
+    docs = spark.createDataFrame(rows, DOCS)
+    for name in ("score", "lang_pred", "fingerprint", "component_id", "n_words", "key", "host", "path", "ids", "digest", "row", "unit", "id", "rank", "text_hash"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    folder = str(tmp_path)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    clash = lambda df: df.withColumn("score", F.lit("clash")).withColumn("lang", F.lit(1))
+    clash(spark.createDataFrame([(1, "A b c"), (None, None), (1, "A b c")], "item_id long, text string")).write.parquet(f"{folder}/benchmark.parquet")
+    clash(spark.createDataFrame([(2, 1, 0), (1, 0, 0), (None, None, None), (2, 1, 0)], "doc_id long, quality int, toxic int")).write.parquet(f"{folder}/labels.parquet")
+    clash(spark.createDataFrame([(1, 0, "user", long), (None, None, None, None), (1, 0, "user", long), (1, 1, "assistant", None)], "conv_id long, turn long, role string, text string")).write.parquet(f"{folder}/conversations.parquet")
+    clash(spark.createDataFrame([(1, "http://a.com/" + "x" * 100_000, None), (None, None, None), (1, "http://a.com/", "h")], "page_id long, url string, html string")).write.parquet(f"{folder}/pages.parquet")
+    counts = {name: q(spark, folder).count() for name, q in queries.QUERIES.items() if name != "pipeline"}
+    assert counts == {name: 3 if name.startswith("op10") else 1 if name.startswith("op6") else 6 for name in counts}
+    hits = {r["doc_id"]: r["n_hit"] for r in queries.op5_decontamination(spark, folder).collect()}
+    assert hits == {None: 0, 1: 0, 2: 0, 3: 3, 4: 3}
+    assert queries.op4_sentencepiece(spark, folder).where("doc_id = 2").distinct().count() == 1
+    assert {r["doc_id"]: r["component_id"] for r in queries.op8_simhash(spark, folder).collect()} == {None: 1, 1: 1, 2: 2, 3: 3, 4: 3}
+    assert queries.pipeline(spark, folder).count() >= 0
