@@ -33,3 +33,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def is_empty(df: DataFrame) -> bool:
     return not df.limit(1).count()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores.
+
+    For CPU-heavy work on an input of few or unsplittable files; one with enough partitions is
+    returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
