@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from linkweave.llm import decontamination, line_dedup, quality_gam, sentencepiece_bpe, simhash
 from linkweave.llm.queries import GOOD, piece_model, quality_model
-from linkweave.runtime import checkpoint_dir
+from linkweave.runtime import checkpoint_dir, spread
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     before = None
     for name, stage in STAGES:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linkweave.llm import decontamination, language_id, license_scan, line_dedup, preference, quality_gam, quality_rules, sentencepiece_bpe, simhash, url_filters
 from linkweave.llm.oracles import ORACLE_SQL
+from linkweave.runtime import spread
 
 #: A document is held out from learning when its id's CRC-32 leaves this remainder.
 HELD_OUT, FOLDS = 2, 4
@@ -19,6 +20,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The documents, spread over the cores where they lie in few files."""
+    docs = _table(spark, sf_dir, "documents")
+    return spread(docs.select(*columns) if columns else docs)
+
+
 def held_out(doc_id: str = "doc_id"):
     """Null ids are neither held out nor learnt from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % FOLDS == HELD_OUT, F.lit(False))
@@ -37,9 +44,8 @@ def piece_model() -> str:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    model = language_id.fit(_learnable(docs))
-    found = language_id.identify(docs.select("doc_id", "text"), model, into="__l")
+    model = language_id.fit(_learnable(_documents(spark, sf_dir, "doc_id", "text", "lang")))
+    found = language_id.identify(_documents(spark, sf_dir, "doc_id", "text"), model, into="__l")
     return found.select("doc_id", held_out().alias("held_out"), F.col("__l.lang_pred").alias("lang_pred"), F.col("__l.score").alias("score"))
 
 
@@ -48,22 +54,22 @@ def quality_model(docs: DataFrame, labels: DataFrame) -> quality_gam.AdditiveMod
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir, "doc_id", "text")
     model = quality_model(docs, _table(spark, sf_dir, "labels"))
-    scored = quality_gam.score(docs.select("doc_id", "text"), model, into="__score")
+    scored = quality_gam.score(docs, model, into="__score")
     return scored.select("doc_id", held_out().alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= GOOD).cast("int").alias("predicted"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.licence_report(_table(spark, sf_dir, "documents"))
+    return license_scan.licence_report(_documents(spark, sf_dir, "doc_id", "source", "text"))
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_bpe.encoding_digests(_table(spark, sf_dir, "documents").select("doc_id", "text"), piece_model())
+    return sentencepiece_bpe.encoding_digests(_documents(spark, sf_dir, "doc_id", "text"), piece_model())
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.contamination_report(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return decontamination.contamination_report(_documents(spark, sf_dir, "doc_id", "text"), _table(spark, sf_dir, "benchmark"))
 
 
 def op6_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,15 +77,15 @@ def op6_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.rule_report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return quality_rules.rule_report(_documents(spark, sf_dir, "doc_id", "text"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(_documents(spark, sf_dir, "doc_id", "text"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_report(_table(spark, sf_dir, "documents"))
+    return line_dedup.dedup_report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
