@@ -149,3 +149,33 @@ def test_conservative_refines_legacy(spark):
     moves = [(f, a, 1000 * n) for n, (f, a) in enumerate(itertools.product((F1, F2, F3), (A, B, C)))]
     fine, coarse = _funded(spark, moves, [A, B, C, D], CONSERVATIVE, 2), _funded(spark, moves, [A, B, C, D], LEGACY, 2)
     assert all(any(set(f) <= set(c) for c in coarse) for f in fine)
+
+
+def test_mixed_strengths_give_the_strongest_edge(spark):
+    from linkweave.operators import report
+
+    for rows in ([(A, 1), (A, 3), (B, 1)], [(B, 1), (A, 3), (A, 1)]):
+        evidence = _evidence(spark, [(a, "did_controller", F1, s, n) for n, (a, s) in enumerate(rows)])
+        members = linking.clusters(_addresses(spark, [A, B]), evidence, LEGACY, 9)
+        (edge,) = report.passing_edges(evidence, members, min_evidence=9).collect()
+        assert (edge["source"], edge["target"], edge["strength"], edge["keys"]) == (A, B, 3, [F1])
+
+
+def test_handles_merge_in_any_case_and_kinds_stack(spark):
+    subjects = _addresses(spark, [A, B])
+    ens = spark.createDataFrame([(A, None, "@joseph", None, None), (B, "b.eth", " Joseph", None, None)], TABLES["ens_records"])
+    handles = ev.extract_ens_handles(ens, subjects)
+    assert _clusters(spark, [A, B], handles, LEGACY, 1) == [[A, B]]
+    assert _clusters(spark, [A, B], handles, LEGACY, 2) == [[A], [B]]
+    both = handles.unionByName(ev.extract_funded_by(_transfers(spark, [(F1, A, 1), (F1, B, 9)]), subjects))
+    assert _clusters(spark, [A, B], both, LEGACY, 2) == [[A, B]]
+    assert _clusters(spark, [A, B], both, CONSERVATIVE, 2) == [[A, B]]
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 4), st.integers(0, 20_000)), max_size=25))
+def test_clusters_partition_the_subjects_whatever_the_order(spark, moves):
+    addresses = [f"0x{n:040x}" for n in range(7)]
+    rows = [(f"f{f}", addresses[a], b) for a, f, b in moves]
+    once, again = (_funded(spark, r, x, CONSERVATIVE, 2) for r, x in ((rows, addresses), (rows[::-1], addresses[::-1])))
+    assert once == again and sorted(a for c in once for a in c) == addresses
