@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +65,6 @@ def run_ablation(mode: str, gold: DataFrame, evidence: DataFrame, *, policy: Mer
 def evaluate(gold: DataFrame, evidence: DataFrame, modes: list[str] | None = None, **options: object) -> dict[str, DataFrame]:
     """Confusion, precision at k and counts of several modes, each as one table."""
     runs = [run_ablation(m, gold, evidence, **options) for m in modes or list(ABLATIONS)]
-    union = lambda name: __import__("functools").reduce(DataFrame.unionByName, [r[name] for r in runs])
+    union = lambda name: reduce(DataFrame.unionByName, [r[name] for r in runs])
     judged = union("judged")
     return {"confusion": confusion(judged, "mode"), "precision": precision_at_k(judged, "mode"), "counts": union("counts")}

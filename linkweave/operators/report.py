@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+import os
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkweave.functions.scalar import short_label, strength_label
+from linkweave.functions.scalar import strength_label
 from linkweave.operators.linking import merges, shared_rows
 from linkweave.operators.metrics import cluster_sizes, concentration
+from linkweave.runtime import checkpoint
 from linkweave.schemas import BOUNDARY, LEGACY, STRONG, MergePolicy
 
 TOP_CLUSTERS, TOP_SERVICE_KEYS = 10, 20
@@ -59,8 +61,6 @@ def top_clusters(members: DataFrame, n: int = 3) -> DataFrame:
 
 def _report_rows(run: dict, evidence: DataFrame, members: DataFrame, services: DataFrame, *, min_evidence: int, policy: MergePolicy, threshold: float) -> dict:
     """The bounded rows that a report shows."""
-    from linkweave.runtime import checkpoint
-
     sizes = checkpoint(cluster_sizes(members))
     edges = checkpoint(passing_edges(evidence, members, min_evidence=min_evidence, policy=policy))
     top = sizes.where("size > 1").orderBy(F.desc("size"), "cluster_id").limit(TOP_CLUSTERS)
@@ -138,8 +138,6 @@ def render_dot(run: dict, evidence: DataFrame, members: DataFrame, services: Dat
 
 def write_text(path: str, text: str) -> None:
     """A driver-side file that appears whole or not at all."""
-    import os
-
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     with open(f"{path}.part", "w", encoding="utf-8") as f:
         f.write(text)
@@ -149,5 +147,3 @@ def write_text(path: str, text: str) -> None:
 def dump(value: object) -> str:
     return json.dumps(value, indent=2, sort_keys=True, default=str)
 
-
-__all__ = ["cluster_descriptors", "dump", "passing_edges", "passing_keys", "render_dot", "render_markdown", "report_json", "short_label", "top_clusters", "write_text"]

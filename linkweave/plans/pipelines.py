@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkweave.operators import audit, baseline, cohort, evaluation, features, graph, lineage, linking, metrics, pairwise, report
-from linkweave.operators.evidence import extract_all, normalize_subjects
+from linkweave.operators.evidence import extract_all, normalize_subjects, parse_ablations
 from linkweave.runtime import checkpoint
 from linkweave.schemas import BOUNDARY, CONSERVATIVE, KINDS, LEGACY, RELATED, STABLE, LinkageParams, MergePolicy
 from linkweave.sources import landed
@@ -136,8 +136,6 @@ def score_pairs(store: Store, *, params: LinkageParams = LinkageParams(), limit:
 
 
 def evaluate(store: Store, gold: DataFrame, modes: str = "all", *, min_evidence: int = 2, params: LinkageParams = LinkageParams()) -> dict[str, DataFrame]:
-    from linkweave.operators.evidence import parse_ablations
-
     return evaluation.evaluate(checkpoint(gold), store.read("evidence"), parse_ablations(modes), min_evidence=min_evidence, params=params)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkweave.functions.scalar import abi_address, blank_to_null, hex_to_long, is_address, normalize_address, topic_address
-from linkweave.schemas import TABLES, TOPIC_PROPOSAL_CREATED, TOPIC_TRANSFER, TOPIC_VOTE_CAST, TOPIC_VOTE_CAST_PARAMS, LinkageParams
+from linkweave.schemas import GOVERNORS, TABLES, TOKEN, TOPIC_PROPOSAL_CREATED, TOPIC_TRANSFER, TOPIC_VOTE_CAST, TOPIC_VOTE_CAST_PARAMS, LinkageParams
 
 _TRANSFER = "struct<`from`:string,`to`:string,value:string,blockNum:string,hash:string,asset:string>"
 
@@ -148,17 +148,23 @@ def read_params(spark: SparkSession, path: str | None = None) -> LinkageParams:
 def decode_logs(logs: DataFrame, topics: dict[str, str] | None = None) -> DataFrame:
     """(kind, address, block_num) of votes and proposals in (block_hex, topic0, topic1, data).
 
-    A vote's address is its first topic's, a proposal's is in the second word of its data.
+    A vote's address is its first topic's, a proposal's is in the second word of its data. Where
+    the logs name their contract, only the governors' count.
     """
+    if "contract" in logs.columns:
+        logs = logs.where(F.lower("contract").isin(*GOVERNORS))
     names = topics or {TOPIC_VOTE_CAST: "vote", TOPIC_VOTE_CAST_PARAMS: "vote", TOPIC_PROPOSAL_CREATED: "proposal"}
-    kind = F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.lower("topic0")) if topics is None else F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("topic0"))
+    known = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    kind = F.element_at(known, F.lower("topic0") if topics is None else F.col("topic0"))
     address = F.when(F.col("kind") == "vote", topic_address(F.col("topic1"))).otherwise(abi_address(F.col("data"), 1))
     decoded = logs.withColumn("kind", kind).where("kind is not null")
     return decoded.select("kind", address.alias("address"), hex_to_long(F.col("block_hex")).alias("block_num")).where("address is not null")
 
 
 def decode_transfer_logs(logs: DataFrame) -> DataFrame:
-    """(from_addr, to_addr, block_num) of token transfer logs with three topics."""
+    """(from_addr, to_addr, block_num) of transfer logs with three topics, of the token alone where the contract is named."""
+    if "contract" in logs.columns:
+        logs = logs.where(F.lower("contract") == TOKEN)
     own = logs.where((F.lower("topic0") == TOPIC_TRANSFER) & F.col("topic1").isNotNull() & F.col("topic2").isNotNull())
     return own.select(topic_address(F.col("topic1")).alias("from_addr"), topic_address(F.col("topic2")).alias("to_addr"), hex_to_long(F.col("block_hex")).alias("block_num"))
 

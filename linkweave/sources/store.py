@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from linkweave.schemas import TABLES
@@ -91,8 +91,6 @@ class Store:
 
     def append(self, table: str, rows: DataFrame) -> int:
         """Number of rows appended, counted as they are written."""
-        from pyspark.sql import Observation
-
         seen = Observation()
         rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy(*self.PARTITIONS.get(table, [])).parquet(self.path(table))
         return seen.get["n"]

@@ -150,3 +150,21 @@ def test_text_functions(spark):
     c = F.col
     got = row.select(scalar.comma_list(c("a")), scalar.shared_keys_of(c("b")), scalar.shared_keys_of(c("c")), scalar.report_metric(c("d"), "Gini"), scalar.report_metric(c("d"), "Nakamoto"), F.length(scalar.row_hash(c("a"), c("b"))), scalar.dot_escape(F.lit('a"b')), scalar.html_escape(F.lit("<&>"))).first()
     assert tuple(got) == (["a", "b"], ["k"], [], 0.125, None, 64, 'a\\"b', "&lt;&amp;&gt;")
+
+
+def test_logs(spark):
+    from linkweave import schemas as x
+
+    pad = lambda c: "0x" + "0" * 24 + c * 40
+    rows = [
+        ("0x10", x.TOPIC_VOTE_CAST, pad("A"), None, "0x", x.GOVERNORS[0]),
+        ("0x11", x.TOPIC_PROPOSAL_CREATED, None, None, "0x" + "0" * 64 + pad("b")[2:], x.GOVERNORS[1].upper().replace("0X", "0x")),
+        ("0x12", x.TOPIC_VOTE_CAST, pad("c"), None, "0x", x.TOKEN),
+        ("0x13", x.TOPIC_PROPOSAL_CREATED, None, None, "0x", x.GOVERNORS[0]),
+        ("0x14", x.TOPIC_TRANSFER, pad("d"), pad("e"), "0x", x.TOKEN),
+        ("zz", x.TOPIC_TRANSFER, pad("d"), None, "0x", x.TOKEN),
+    ]
+    logs = spark.createDataFrame(rows, "block_hex string, topic0 string, topic1 string, topic2 string, data string, contract string")
+    assert {tuple(r) for r in landed.decode_logs(logs).collect()} == {("vote", "0x" + "a" * 40, 16), ("proposal", "0x" + "b" * 40, 17)}
+    assert landed.decode_logs(logs.drop("contract")).count() == 3
+    assert [tuple(r) for r in landed.decode_transfer_logs(logs).collect()] == [("0x" + "d" * 40, "0x" + "e" * 40, 20)]
