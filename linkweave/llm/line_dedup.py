@@ -1,14 +1,14 @@
 """Substring deduplication by line or paragraph hashing.
 
-A unit is a line, or a paragraph between blank lines, with at least ``min_words`` words (a
-line of two words repeats by chance). It is normalised (lower case, runs of white space as one
+A unit is a line, or a paragraph between blank lines, that is not blank; ``min_words`` can ask
+for longer ones, but scripts without blanks then count as one word. It is normalised (lower case, runs of white space as one
 blank) and hashed to 128 bits. Digests are grouped over the whole corpus, with partial minima
 before the shuffle, so that a line that a third of the rows hold is combined on the map side;
 the occurrence with the least (rank, position) stays, and every other one is removed. The
 original code-point offsets of what was removed are kept.
 
 Defined cases: null texts stay null and have no units; empty texts stay empty; a document all
-of whose units are removed stays as an empty text or its short lines; rows that repeat id and
+of whose units are removed stays as an empty text or its blank lines; rows that repeat id and
 text are one document and are treated alike; null ids rank before all others; columns of the
 documents are kept.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from linkweave.runtime import checkpoint
 
-MIN_WORDS = 6
+MIN_WORDS = 1
 #: What separates units, the same in Python and in Java.
 SEPARATORS = {"line": ("\n", "\n"), "paragraph": (r"\n[ \t\r]*\n", "\n\n")}
 

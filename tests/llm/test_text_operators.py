@@ -230,6 +230,13 @@ def test_dedup_of_real_rows_and_paragraphs(spark):
     assert [r["text"] for r in got] == [f"{para}\n \nq", "r"]
 
 
+def test_dedup_of_short_and_unspaced_lines(spark):
+    unspaced = "这是一行没有空格的文字" * 50
+    texts = [f"Released under the MIT License.\n{unspaced}\n \none", f"two\n \nreleased under  the MIT license.\n{unspaced}", "Two"]
+    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in line_dedup.dedup_report(_docs(spark, texts)).collect()}
+    assert got == {0: (0, texts[0]), 1: (2, "two\n "), 2: (1, "")}
+
+
 # quality rules
 
 
