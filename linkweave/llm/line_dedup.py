@@ -7,6 +7,12 @@ before the shuffle, so that a line that a third of the rows hold is combined on
 the occurrence with the least (rank, position) stays, and every other one is removed. The
 original code-point offsets of what was removed are kept.
 
+A passage that repeats inside longer lines is found by words: of the hashes of all runs of
+``GRAM`` words, the least of each ``PASSAGE - GRAM + 1`` in a row are grouped globally, so every
+two equal passages of ``PASSAGE`` words share one; the windows of ``PASSAGE`` words around such
+a run are then compared by digest, and all words of a window that stands earlier too are cut.
+A character of a script without blanks counts as a word.
+
 Defined cases: null texts stay null and have no units; empty texts stay empty; a document all
 of whose units are removed stays as an empty text or its blank lines; rows that repeat id and
 text are one document and are treated alike; null ids rank before all others; columns of the
@@ -18,6 +24,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -29,6 +36,13 @@ MIN_WORDS = 1
 #: What separates units, the same in Python and in Java.
 SEPARATORS = {"line": ("\n", "\n"), "paragraph": (r"\n[ \t\r]*\n", "\n\n")}
 
+#: Words of the shortest passage that is cut out of a line, and of the runs that find it.
+PASSAGE, GRAM = 50, 25
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+WORD = re.compile(f"[{_UNSPACED}]|[^\\s{_UNSPACED}]+")
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
 _UNIT = pa.struct([("position", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("digest", pa.binary())])
 
 
@@ -77,9 +91,140 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     return cleaned.drop("__id", "__hash", "__repeats")
 
 
-def dedup_report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, base, np.uint64))])
+
+
+def chosen_grams(text: str, size: int = PASSAGE, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Word positions and hashes of the runs that stand for all windows of ``size`` words of a text."""
+    words = [w.lower() for w in WORD.findall(text)]
+    n = len(words)
+    if n < size:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, n)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(_INVERSE, n))])
+    g = (sums[gram:] - sums[:-gram]) * _powers(_BASE, n - gram + 1)
+    g = (g ^ (g >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    g ^= g >> np.uint64(32)
+    least = np.lib.stride_tricks.sliding_window_view(g, size - gram + 1).argmin(axis=1)
+    at = np.unique(least + np.arange(len(least)))
+    return at, g[at].view(np.int64)
+
+
+def windows_around(text: str, at: list[int], removed: list[tuple[int, int]], size: int = PASSAGE, gram: int = GRAM) -> list[dict]:
+    """Each window of ``size`` words around a run at ``at`` that is not all in removed spans: its first word, span and digest."""
+    found = list(WORD.finditer(text))
+    words, out = [m.group().lower() for m in found], []
+    inside = np.zeros(len(text) + 1, bool)
+    for start, stop in removed:
+        inside[start:stop] = True
+    left = np.concatenate([[0], np.cumsum([not inside[m.start()] for m in found])])
+    starts = {i for p in at for i in range(max(0, p + gram - size), min(p, len(found) - size) + 1)}
+    for i in sorted(starts):
+        if left[i + size] > left[i]:
+            out.append({"position": i, "start": found[i].start(), "stop": found[i + size - 1].end(), "digest": xxhash.xxh3_128_digest(" ".join(words[i : i + size]).encode())})
+    return out
+
+
+def _outside(spans: list[tuple[int, int]], removed: list[tuple[int, int]], text: str) -> list[tuple[int, int]]:
+    """``spans`` merged, without what ``removed`` covers and without blanks at their ends."""
+    cut = np.zeros(len(text) + 2, bool)
+    for start, stop in spans:
+        cut[start + 1 : stop + 1] = True
+    for start, stop in removed:
+        cut[start + 1 : min(stop + 1, len(text)) + 1] = False
+    edges = np.flatnonzero(cut[1:] != cut[:-1]).tolist()
+    out = []
+    for start, stop in zip(edges[::2], edges[1::2], strict=True):
+        piece = text[start:stop]
+        if piece.strip():
+            out.append((start + len(piece) - len(piece.lstrip()), start + len(piece.rstrip())))
+    return out
+
+
+_SPANS = "array<struct<start:bigint,stop:bigint>>"
+
+
+def find_passages(docs: DataFrame, repeats: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rank: str | None = None, size: int = PASSAGE) -> DataFrame:
+    """(id, text_hash, passages): for each document the spans of windows of ``size`` words that stand earlier too.
+
+    ``repeats`` is what :func:`find_repeats` gives for the same documents.
+    """
+    gram = size // 2
+
+    @F.arrow_udf("array<struct<position:bigint,gram:bigint>>")
+    def choose(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.struct([("position", pa.int64()), ("gram", pa.int64())]))
+        for column in columns:
+            each = [chosen_grams(v.as_py() or "", size, gram) for v in column]
+            yield pa.array([[{"position": p, "gram": g} for p, g in zip(a.tolist(), h.tolist(), strict=True)] for a, h in each], kind)
+
+    @F.arrow_udf("array<struct<position:int,start:bigint,stop:bigint,digest:binary>>")
+    def around(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for values, at, gone in columns:
+            rows = zip(values, at, gone, strict=True)
+            yield pa.array([windows_around(v.as_py() or "", a.as_py(), [(r["start"], r["stop"]) for r in g.as_py() or []], size, gram) for v, a, g in rows], pa.list_(_UNIT))
+
+    own = docs.select(F.col(doc_id).alias("id"), F.col(rank or doc_id).alias("rank"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    grams = checkpoint(own.select("id", "text_hash", F.explode(choose("text")).alias("g")).select("id", "text_hash", "g.*"))
+    common = checkpoint(grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select(F.col("gram").alias("g")))
+    at = grams.join(common, grams.gram == common.g).groupBy("id", "text_hash").agg(F.collect_set("position").alias("at"))
+    hits = checkpoint(at.alias("a").join(repeats.alias("r"), F.expr("a.id <=> r.id and a.text_hash = r.text_hash"), "left").select(F.col("a.id").alias("hit_id"), F.col("a.text_hash").alias("hit_hash"), "at", "repeats"))
+    near = own.join(hits, F.expr("id <=> hit_id and text_hash = hit_hash"))
+    windows = checkpoint(near.select("id", "rank", "text_hash", F.explode(around("text", "at", "repeats")).alias("w")).select("id", "rank", "text_hash", "w.*"))
+    place = F.struct("rank", "id", "text_hash", "position")
+    first = checkpoint(windows.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first"))
+    f = F.col("first")
+    itself = f["id"].eqNullSafe(F.col("id")) & (f["text_hash"] == F.col("text_hash")) & (F.col("position") < f["position"] + size)
+    gone = windows.join(first, windows.digest == first.d).where(~itself)
+    return gone.groupBy("id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("passages"))
+
+
+def remove_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rank: str | None = None, size: int = PASSAGE, into: str | None = None) -> DataFrame:
+    """``docs`` without repeated lines and without repeated passages of ``size`` words; ``into`` gets all spans."""
+    lines = checkpoint(find_repeats(docs, doc_id=doc_id, text=text, rank=rank))
+    found = find_passages(docs, lines, doc_id=doc_id, text=text, rank=rank, size=size)
+    both = lines.withColumn("passages", F.lit(None).cast(_SPANS)).unionByName(found.withColumn("repeats", F.lit(None).cast(lines.schema["repeats"].dataType)))
+    both = both.groupBy(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.first("repeats", True).alias("__repeats"), F.first("passages", True).alias("__passages"))
+
+    @F.arrow_udf(f"struct<text:string,spans:{_SPANS}>")
+    def cut(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        kind = pa.struct([("text", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
+        for values, repeats, passages in columns:
+            out = []
+            for v, r, p in zip(values, repeats, passages, strict=True):
+                whole, gone = v.as_py(), r.as_py() or []
+                if whole is None or not (gone or p.as_py()):
+                    out.append({"text": whole, "spans": []})
+                    continue
+                removed = [(x["start"], x["stop"]) for x in gone]
+                inner = _outside([(x["start"], x["stop"]) for x in p.as_py() or []], removed, whole)
+                positions, kept, start, k = {x["position"] for x in gone}, [], 0, 0
+                for position, line in enumerate(whole.split("\n")):
+                    stop, pieces, at = start + len(line), [], start
+                    while k < len(inner) and inner[k][0] < stop:
+                        pieces.append(whole[at : max(at, inner[k][0])])
+                        at = min(stop, inner[k][1])
+                        if inner[k][1] > stop:
+                            break
+                        k += 1
+                    if position not in positions and (at == start or (rest := "".join([*pieces, whole[at:stop]])).strip()):
+                        kept.append(line if at == start else rest)
+                    start = stop + 1
+                out.append({"text": "\n".join(kept), "spans": [{"start": a, "stop": b} for a, b in sorted(removed + inner)]})
+            yield pa.array(out, kind)
+
+    joined = docs.join(both, docs[doc_id].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__hash")), "left").withColumn("__cut", cut(F.col(text), "__repeats", "__passages"))
+    cleaned = joined.withColumn(text, F.col("__cut.text"))
+    if into:
+        cleaned = cleaned.withColumn(into, F.col("__cut.spans"))
+    return cleaned.drop("__id", "__hash", "__repeats", "__passages", "__cut")
+
+
+def dedup_report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", passages: bool = False) -> DataFrame:
     """One row per document: how many units were removed, their spans, and the text that is left."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     r = F.col("__removed")
     spans = F.array_join(F.transform(r, lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["stop"].cast("string"))), ",")
-    return remove_repeats(own, into="__removed").select("doc_id", F.size(r).cast("bigint").alias("n_removed"), spans.alias("removed_spans"), "text")
+    cleaned = remove_passages(own, into="__removed") if passages else remove_repeats(own, into="__removed")
+    return cleaned.select("doc_id", F.size(r).cast("bigint").alias("n_removed"), spans.alias("removed_spans"), "text")

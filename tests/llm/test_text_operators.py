@@ -237,6 +237,24 @@ def test_dedup_of_short_and_unspaced_lines(spark):
     assert got == {0: (0, texts[0]), 1: (2, "two\n "), 2: (1, "")}
 
 
+def test_passages_inside_lines(spark):
+    dice = random.Random(4)
+    words = lambda n: " ".join(f"w{dice.randrange(10**6)}" for _ in range(n))
+    passage, unspaced = words(60), "".join(chr(0x4E00 + dice.randrange(9000)) for _ in range(80))
+    half = " ".join(passage.split()[:30]) + "\n" + " ".join(passage.split()[30:]).upper()
+    loop = "again " * 200
+    texts = [f"{words(9)} {passage} {words(9)}", f"tail {half} {words(2)}\nlast", f"前{unspaced}后", f"x{unspaced}y z", loop, " ".join(passage.split()[:49]), words(70)]
+    docs = _docs(spark, texts)
+    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in line_dedup.dedup_report(docs, passages=True).collect()}
+    assert got[0] == (0, texts[0]) and got[2] == (0, texts[2]) and got[5] == (0, texts[5]) and got[6] == (0, texts[6])
+    assert got[1] == (1, "tail \n " + texts[1].split("\n")[1][len(half.split("\n")[1]) + 1:] + "\nlast")
+    assert got[3] == (1, "xy z")
+    assert got[4][1].split() == ["again"] * 50
+    assert line_dedup.dedup_report(docs.limit(0), passages=True).count() == 0
+    odd = _docs(spark, [None, "no id"]).union(_docs(spark, [texts[1]])).union(_docs(spark, [texts[1]]))
+    assert line_dedup.dedup_report(odd, passages=True).count() == 4
+
+
 # quality rules
 
 
