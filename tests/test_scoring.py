@@ -159,6 +159,27 @@ def test_baseline_rows(spark):
     assert tuple(baseline.hub_quantiles(frame).first()) == (5, 0.1, 0.2, 0.2, 0.3, 0.9)
 
 
+def test_zero_pairs_of_a_long_list(spark):
+    """All pairs of 2,001 addresses but the found ones, over several blocks."""
+    n = 2001
+    addresses = spark.range(n).select(F.concat(F.lit("0X"), F.lpad(F.col("id").cast("string"), 40, "0")).alias("address"))
+    rows = _evidence(spark, [(f"0x{x:040}", "safe_owner", "k", 2, 5, None) for x in (3, 700, 1900)])
+    zero = baseline.zero_pairs(addresses, baseline.pair_features(rows))
+    pair = zero.select(F.struct("address_a", "address_b").alias("p"), "address_a", "address_b")
+    assert pair.agg(F.count("*"), F.countDistinct("p"), F.count_if(F.col("address_a") >= F.col("address_b"))).first() == (n * (n - 1) // 2 - 3, n * (n - 1) // 2 - 3, 0)
+
+
+def test_zero_pairs_query_takes_all_addresses(spark):
+    from linkweave.plans.queries import Inputs, QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    i = Inputs(spark, sf)
+    n = i.subjects.count()
+    known = [r["address"] for r in i.subjects.collect()]
+    found = baseline.pair_features(i.evidence).where(F.col("address_a").isin(known) & F.col("address_b").isin(known)).count()
+    assert n > 200 and QUERIES["baseline_zero_pairs"](spark, sf).count() == n * (n - 1) // 2 - found
+
+
 def test_cluster_features(spark):
     moves = spark.createDataFrame([("f", A, "1", 10, "1", "E"), ("f", B, "1", 12, "2", "E"), ("g", C, "1", 5, "3", "E"), (A, "s", "1", 20, "4", "E"), (B, "s", "1", 21, "5", "E"), (A, B, "1", 22, "6", "E")], TABLES["transfers"])
     rows = [(A, "funded_by", "f", 2, 10, None), (B, "funded_by", "f", 2, 12, None), (C, "funded_by", "f", 2, 0, None), (C, "safe_owner", A, 2, 0, '{"contract": "X", "method": ["m", " M "]}'), (D, "safe_owner", A, 2, 0, '{"contract": "x"}')]
