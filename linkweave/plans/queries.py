@@ -552,12 +552,14 @@ def baseline_scores(i: Inputs) -> DataFrame:
 
 
 def _baseline(i: Inputs) -> DataFrame:
-    return _rounded(baseline.pair_baseline(i.evidence), "hub_penalty")
+    """The found pairs, written once; the zero pairs are counted and not made where a count is enough."""
+    return checkpoint(_rounded(baseline.pair_baseline(i.evidence), "hub_penalty"))
 
 
 @query
 def baseline_recommendation(i: Inputs) -> DataFrame:
-    return _baseline(i).select("address_a", "address_b", "recommendation", "confidence", "secondary_signals", "hub_note", "temporal_pattern")
+    rows = _rounded(baseline.pair_baseline(i.evidence, i.subjects), "hub_penalty")
+    return rows.select("address_a", "address_b", "recommendation", "confidence", "secondary_signals", "hub_note", "temporal_pattern")
 
 
 @query
@@ -567,17 +569,19 @@ def baseline_zero_pairs(i: Inputs) -> DataFrame:
 
 @query
 def baseline_diagnostics(i: Inputs) -> DataFrame:
-    return baseline.diagnostics(_baseline(i))
+    rows = _baseline(i)
+    return baseline.diagnostics(rows, baseline.zero_pair_count(rows, i.subjects))
 
 
 @query
 def hub_quantiles(i: Inputs) -> DataFrame:
-    return baseline.hub_quantiles(_baseline(i))
+    rows = _baseline(i)
+    return baseline.hub_quantiles(rows, baseline.zero_pair_count(rows, i.subjects))
 
 
 @query
 def baseline_gold_matrix(i: Inputs) -> DataFrame:
-    return baseline.gold_matrix(_baseline(i), i.gold)
+    return baseline.gold_matrix(_baseline(i), i.gold, i.subjects)
 
 
 # features

@@ -159,6 +159,20 @@ def test_baseline_rows(spark):
     assert tuple(baseline.hub_quantiles(frame).first()) == (5, 0.1, 0.2, 0.2, 0.3, 0.9)
 
 
+def test_counted_zero_pairs_equal_made_ones(spark):
+    e = _evidence(spark, [(x, "safe_owner", "k1", 2, 5, None) for x in (A, B, "0xelse")])
+    addresses = spark.createDataFrame([(x,) for x in (A, B, C, D)], "address string")
+    found, whole = baseline.pair_baseline(e), baseline.pair_baseline(e, addresses)
+    zero = baseline.zero_pair_count(found, addresses)
+    assert zero == 5 and whole.count() == 8
+    assert baseline.diagnostics(found, zero).first() == baseline.diagnostics(whole).first()
+    assert baseline.diagnostics(found, zero).first()["pairs_with_no_evidence"] == 5
+    assert baseline.hub_quantiles(found, zero).first() == baseline.hub_quantiles(whole).first()
+    gold = spark.createDataFrame([(A, B, "same"), (C, D, "different"), (C, "0xnone", "same")], "address_a string, address_b string, label string")
+    got = {tuple(r) for r in baseline.gold_matrix(found, gold, addresses).collect()}
+    assert got == {("same", "control_link_candidate", 1), ("different", "insufficient_evidence", 1), ("same", "missing", 1)}
+
+
 def test_zero_pairs_of_a_long_list(spark):
     """All pairs of 2,001 addresses but the found ones, over several blocks."""
     n = 2001
