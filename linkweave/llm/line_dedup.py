@@ -1,230 +1,218 @@
 """Substring deduplication by line or paragraph hashing.
 
-A unit is a line, or a paragraph between blank lines, that is not blank; ``min_words`` can ask
-for longer ones, but scripts without blanks then count as one word. It is normalised (lower case, runs of white space as one
-blank) and hashed to 128 bits. Digests are grouped over the whole corpus, with partial minima
-before the shuffle, so that a line that a third of the rows hold is combined on the map side;
-the occurrence with the least (rank, position) stays, and every other one is removed. The
-original code-point offsets of what was removed are kept.
-
-A passage that repeats inside longer lines is found by words: of the hashes of all runs of
-``GRAM`` words, the least of each ``PASSAGE - GRAM + 1`` in a row are grouped globally, so every
-two equal passages of ``PASSAGE`` words share one; the windows of ``PASSAGE`` words around such
-a run are then compared by digest, and all words of a window that stands earlier too are cut.
-A character of a script without blanks counts as a word.
-
-Defined cases: null texts stay null and have no units; empty texts stay empty; a document all
-of whose units are removed stays as an empty text or its blank lines; rows that repeat id and
-text are one document and are treated alike; null ids rank before all others; columns of the
-documents are kept.
+A text is cut into units: ``line`` (what stands between line breaks), ``paragraph`` (between blank
+lines) or ``sentence``, where lines also end at sentence ends and, in a sentence of more than
+``STRETCH`` words, at words chosen by what surrounds them, so that a unit is found again wherever
+its line begins. Units are normalised (lower case, one blank between words) and each is hashed
+together with as many of the next words as it takes to make ``min_words``, and if it ends a line,
+with as many of the words before it: these are runs. The 95-bit digests of runs are grouped over
+the whole corpus, with partial minima before the shuffle, so a run that a third of the rows hold
+is combined on the map side. The occurrence of a run with the least (rank, position) stays; of
+every other one, the units that lie in it whole are removed, and the original code-point offsets
+of what was removed are kept. Each removed unit is left at an earlier place.
+
+With ``min_words=1`` every repeated unit goes. By default short units go only as part of a repeated
+run of ``RUN`` words: a notice of ten words that many clean documents share is no copied passage.
+Any two equal passages of ``STRETCH + RUN`` words share a run: what chooses the ends of units looks
+at ``STRETCH`` words at most, so both have the same units from their first ``STRETCH`` words on. A
+character of a script without blanks counts as a word.
+
+Defined cases: null texts stay null and have no units; empty and blank texts stay as they are;
+between two units that stay, the widest of the gaps that lay between them stays; a document all
+of whose units are removed keeps what lay before its first and after its last one; rows that
+repeat id and text are one document and are treated alike; null ids rank before all others; all
+columns of the documents are kept. Memory follows the longest text.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkweave.runtime import checkpoint
 
-MIN_WORDS = 1
-#: What separates units, the same in Python and in Java.
-SEPARATORS = {"line": ("\n", "\n"), "paragraph": (r"\n[ \t\r]*\n", "\n\n")}
-
-#: Words of the shortest passage that is cut out of a line, and of the runs that find it.
-PASSAGE, GRAM = 50, 25
-_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
-WORD = re.compile(f"[{_UNSPACED}]|[^\\s{_UNSPACED}]+")
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-_UNIT = pa.struct([("position", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("digest", pa.binary())])
+#: Words of a run, and the most words of a sentence that stays whole.
+RUN, STRETCH = 30, 20
+#: Characters of scripts written without blanks (Thai, Lao, Burmese, Khmer, kana, Han), as a class in a pattern.
+UNSPACED = "฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿"
+WORD = re.compile(f"[{UNSPACED}]|[^\\s{UNSPACED}]+")
+#: What a word at the end of a sentence ends with.
+ENDS = frozenset(".!?。！？")
+
+def chosen_ends(words: list[str], stretch: int = STRETCH) -> list[int]:
+    """Where units end in a long sentence: of each ``stretch`` words in a row the greatest by (length, word, place) ends one."""
+    keys, best, ends = [(len(w), w) for w in words], -1, []
+    for start in range(len(words) - stretch + 1):
+        new = start + stretch - 1
+        if best < start:
+            best = max(range(start, new + 1), key=lambda i: (keys[i], i))
+        elif keys[new] >= keys[best]:
+            best = new
+        if not ends or ends[-1] != best + 1:
+            ends.append(best + 1)
+    return ends
+
+
+def text_units(text: str, unit: str = "sentence", stretch: int = STRETCH) -> Iterator[tuple[list[str], bool]]:
+    """The lower-cased words of each unit, one after the other, and whether it ends a line."""
+    held: list[str] = []
+    for line in text.split("\n"):
+        words = WORD.findall(line.lower())
+        if unit == "paragraph":
+            if held and not words:
+                yield held, True
+                held = []
+            held += words
+        elif unit == "line" and words:
+            yield words, True
+        elif words:
+            start = 0
+            for stop in [*(i for i, w in enumerate(words, 1) if w[-1] in ENDS), len(words)]:
+                ends = [start + end for end in chosen_ends(words[start:stop], stretch)] if stop - start > stretch else []
+                for end in [*ends, stop]:
+                    if end > start:
+                        yield words[start:end], end == len(words)
+                    start = end
+    if held:
+        yield held, True
+
+
+def unit_runs(units: Iterable[tuple[list[str], bool]], min_words: int = RUN) -> Iterator[tuple[int, int, int]]:
+    """First word, number of words and 128-bit digest of each run of a text; no two begin at the same word."""
+    words: list[str] = []
+    waiting: deque[tuple[int, int]] = deque()
+    starts, base, total = set(), 0, 0
+
+    def run(start: int, size: int) -> tuple[int, int, int]:
+        return start, size, xxhash.xxh3_128_intdigest(" ".join(words[start - base : start - base + size]))
+
+    for unit, closes in units:
+        size = max(min_words, len(unit))
+        waiting.append((total, size))
+        starts.add(total)
+        total += len(unit)
+        words += unit
+        while waiting and total >= sum(waiting[0]):
+            yield run(*waiting.popleft())
+        if closes and total >= size and total - size not in starts:
+            yield run(total - size, size)
+        needed = min(total - min_words, waiting[0][0] if waiting else total)
+        if needed - base > 1000:
+            del words[: needed - base]
+            base = needed
+
+
+def units_inside(units: list[tuple[list[str], bool]], starts: set[int], min_words: int = RUN) -> set[int]:
+    """The numbers of the units that lie whole in a run beginning at one of ``starts``."""
+    spans, inside, at, reach = deque(sorted((a, a + n) for a, n, _ in unit_runs(units, min_words) if a in starts)), set(), 0, 0
+    for i, (unit, _) in enumerate(units):
+        while spans and spans[0][0] <= at:
+            reach = max(reach, spans.popleft()[1])
+        at += len(unit)
+        if at <= reach:
+            inside.add(i)
+    return inside
+
+
+def cut_units(text: str, units: list[tuple[list[str], bool]], gone: set[int]) -> tuple[str, list[tuple[int, int]]]:
+    """``text`` without the units whose numbers are in ``gone``, and the spans of what was cut, adjacent units in one."""
+    words = [m.span() for m in WORD.finditer(text)]
+    kept, spans, wide, before, at = [text[: words[0][0]]], [], "", 0, 0
+    for i, (unit, _) in enumerate(units):
+        start, stop = words[at][0], words[at + len(unit) - 1][1]
+        gap = text[before:start] if i else ""
+        if gap.count("\n") > wide.count("\n") or not wide:
+            wide = gap
+        if i in gone:
+            spans.append((spans.pop()[0] if i - 1 in gone else start, stop))
+        else:
+            kept += [wide if len(kept) > 1 else "", text[start:stop]]
+            wide = ""
+        before, at = stop, at + len(unit)
+    return "".join([*kept, text[before:]]), spans
+
+
+_RUN = pa.struct([("position", pa.int32()), ("digest", pa.int64()), ("more", pa.int32())])
+_RUN_SQL = "array<struct<position:int,digest:bigint,more:int>>"
+
+
+def _runs_of(unit: str, min_words: int):
+    """The runs of each text, as rows of :data:`_RUN`."""
+
+    @F.arrow_udf(_RUN_SQL)
+    def runs(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            ends, position, digest, more = [0], [], [], []
+            for value in column:
+                for start, _, d in unit_runs(text_units(value.as_py() or "", unit), min_words):
+                    position.append(start)
+                    digest.append(d & 0xFFFFFFFFFFFFFFFF)
+                    more.append(d >> 64 & 0x7FFFFFFF)
+                ends.append(len(position))
+            fields = [pa.array(position, pa.int32()), pa.array(np.array(digest, np.uint64).view(np.int64)), pa.array(more, pa.int32())]
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(_RUN)))
+
+    return runs
+
+
+def find_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rank: str | None = None, unit: str = "sentence", min_words: int = RUN) -> DataFrame:
+    """(id, text_hash, positions): for each document with repeats, the first words of its runs that stand earlier too."""
+    own = docs.select(F.col(doc_id).alias("id"), *([F.col(rank).alias("rank")] if rank else []), F.xxhash64(text).alias("text_hash"), F.explode(_runs_of(unit, min_words)(F.col(text))).alias("r"))
+    runs = own.select(*(["rank"] if rank else []), "id", "text_hash", "r.*")
+    place: Column = F.struct(*(["rank"] if rank else []), "id", "text_hash", "position")
+    first = runs.groupBy("digest", "more").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"), F.col("more").alias("m"), "first")
+    # written, so that both sides of the next join are plain shuffles, whose hot digests Spark splits
+    first = checkpoint(first)
+    gone = runs.join(first, (F.col("digest") == F.col("d")) & (F.col("more") == F.col("m"))).where(~place.eqNullSafe(F.col("first")))
+    return gone.groupBy("id", "text_hash").agg(F.array_sort(F.collect_set("position")).alias("positions"))
 
 
-def text_units(text: str, pattern: str, min_words: int) -> list[dict]:
-    """Position, code-point span and digest of each unit that is long enough."""
-    out, start, compiled = [], 0, re.compile(pattern)
-    stops = [(m.start(), m.end()) for m in compiled.finditer(text)] + [(len(text), len(text))]
-    for position, (stop, after) in enumerate(stops):
-        words = text[start:stop].lower().split()
-        if len(words) >= min_words:
-            out.append({"position": position, "start": start, "stop": stop, "digest": xxhash.xxh3_128_digest(" ".join(words).encode())})
-        start = after
-    return out
+_REMOVED = "array<struct<start:bigint,stop:bigint>>"
 
 
-def find_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rank: str | None = None, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, text_hash, repeats): for each document with repeats, its removed units in order."""
-    pattern = SEPARATORS[unit][0]
+def _cut_of(unit: str, min_words: int):
+    """What is left of each text, how many units went, and their spans."""
+    kind = pa.struct([("text", pa.string()), ("n", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
 
-    @F.arrow_udf("array<struct<position:int,start:bigint,stop:bigint,digest:binary>>")
-    def cut(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in columns:
-            yield pa.array([text_units(v.as_py() or "", pattern, min_words) for v in column], pa.list_(_UNIT))
+    @F.arrow_udf(f"struct<text:string,n:bigint,spans:{_REMOVED}>")
+    def cut(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for values, positions in columns:
+            out = []
+            for value, found in zip(values, positions, strict=True):
+                whole, starts = value.as_py(), set(found.as_py() or [])
+                if not whole or not starts:
+                    out.append((whole, 0, []))
+                    continue
+                units = list(text_units(whole, unit))
+                gone = units_inside(units, starts, min_words)
+                rest, spans = cut_units(whole, units, gone)
+                out.append((rest, len(gone), [{"start": a, "stop": b} for a, b in spans]))
+            yield pa.array([{"text": t, "n": n, "spans": s} for t, n, s in out], kind)
 
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(rank or doc_id).alias("rank"), F.xxhash64(text).alias("text_hash"), F.explode(cut(F.col(text))).alias("u"))
-    units = checkpoint(rows.select("id", "rank", "text_hash", "u.*"))
-    place = F.struct("rank", "id", "text_hash", "position")
-    first = units.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first")
-    # written, so that both sides of the next join are plain shuffles, whose hot digests Spark splits
-    first = checkpoint(first)
-    gone = units.join(first, units.digest == first.d).where(~place.eqNullSafe(F.col("first")))
-    return gone.groupBy("id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("position", "start", "stop"))).alias("repeats"))
+    return cut
 
 
-def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", unit: str = "line", min_words: int = MIN_WORDS, rank: str | None = None, into: str | None = None) -> DataFrame:
-    """``docs`` with repeated units cut out of the text; ``into`` names a column for what was removed."""
+def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rank: str | None = None, unit: str = "sentence", min_words: int = RUN, into: str | None = None) -> DataFrame:
+    """``docs`` with repeated runs cut out of the text; ``into`` names a column for (n, spans), what was cut."""
     found = find_repeats(docs, doc_id=doc_id, text=text, rank=rank, unit=unit, min_words=min_words)
-    found = found.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("repeats").alias("__repeats"))
+    found = found.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("positions").alias("__positions"))
     joined = docs.join(found, docs[doc_id].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__hash")), "left")
-    pattern, glue = SEPARATORS[unit]
-    positions = F.transform("__repeats", lambda r: r["position"])
-    rest = F.array_join(F.filter(F.split(F.col(text), pattern), lambda x, i: ~F.array_contains(positions, i)), glue)
-    cleaned = joined.withColumn(text, F.when(F.col("__repeats").isNull(), F.col(text)).otherwise(rest))
-    if into:
-        cleaned = cleaned.withColumn(into, F.coalesce("__repeats", F.array().cast("array<struct<position:int,start:bigint,stop:bigint>>")))
-    return cleaned.drop("__id", "__hash", "__repeats")
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, base, np.uint64))])
-
-
-def chosen_grams(text: str, size: int = PASSAGE, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Word positions and hashes of the runs that stand for all windows of ``size`` words of a text."""
-    words = [w.lower() for w in WORD.findall(text)]
-    n = len(words)
-    if n < size:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, n)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(_INVERSE, n))])
-    g = (sums[gram:] - sums[:-gram]) * _powers(_BASE, n - gram + 1)
-    g = (g ^ (g >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    g ^= g >> np.uint64(32)
-    least = np.lib.stride_tricks.sliding_window_view(g, size - gram + 1).argmin(axis=1)
-    at = np.unique(least + np.arange(len(least)))
-    return at, g[at].view(np.int64)
-
-
-def windows_around(text: str, at: list[int], removed: list[tuple[int, int]], size: int = PASSAGE, gram: int = GRAM) -> list[dict]:
-    """Each window of ``size`` words around a run at ``at`` that is not all in removed spans: its first word, span and digest."""
-    found = list(WORD.finditer(text))
-    words, out = [m.group().lower() for m in found], []
-    inside = np.zeros(len(text) + 1, bool)
-    for start, stop in removed:
-        inside[start:stop] = True
-    left = np.concatenate([[0], np.cumsum([not inside[m.start()] for m in found])])
-    starts = {i for p in at for i in range(max(0, p + gram - size), min(p, len(found) - size) + 1)}
-    for i in sorted(starts):
-        if left[i + size] > left[i]:
-            out.append({"position": i, "start": found[i].start(), "stop": found[i + size - 1].end(), "digest": xxhash.xxh3_128_digest(" ".join(words[i : i + size]).encode())})
-    return out
-
-
-def _outside(spans: list[tuple[int, int]], removed: list[tuple[int, int]], text: str) -> list[tuple[int, int]]:
-    """``spans`` merged, without what ``removed`` covers and without blanks at their ends."""
-    cut = np.zeros(len(text) + 2, bool)
-    for start, stop in spans:
-        cut[start + 1 : stop + 1] = True
-    for start, stop in removed:
-        cut[start + 1 : min(stop + 1, len(text)) + 1] = False
-    edges = np.flatnonzero(cut[1:] != cut[:-1]).tolist()
-    out = []
-    for start, stop in zip(edges[::2], edges[1::2], strict=True):
-        piece = text[start:stop]
-        if piece.strip():
-            out.append((start + len(piece) - len(piece.lstrip()), start + len(piece.rstrip())))
-    return out
-
-
-_SPANS = "array<struct<start:bigint,stop:bigint>>"
-
-
-def find_passages(docs: DataFrame, repeats: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rank: str | None = None, size: int = PASSAGE) -> DataFrame:
-    """(id, text_hash, passages): for each document the spans of windows of ``size`` words that stand earlier too.
-
-    ``repeats`` is what :func:`find_repeats` gives for the same documents.
-    """
-    gram = size // 2
-
-    @F.arrow_udf("array<struct<position:bigint,gram:bigint>>")
-    def choose(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("position", pa.int64()), ("gram", pa.int64())]))
-        for column in columns:
-            each = [chosen_grams(v.as_py() or "", size, gram) for v in column]
-            yield pa.array([[{"position": p, "gram": g} for p, g in zip(a.tolist(), h.tolist(), strict=True)] for a, h in each], kind)
-
-    @F.arrow_udf("array<struct<position:int,start:bigint,stop:bigint,digest:binary>>")
-    def around(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        for values, at, gone in columns:
-            rows = zip(values, at, gone, strict=True)
-            yield pa.array([windows_around(v.as_py() or "", a.as_py(), [(r["start"], r["stop"]) for r in g.as_py() or []], size, gram) for v, a, g in rows], pa.list_(_UNIT))
-
-    own = docs.select(F.col(doc_id).alias("id"), F.col(rank or doc_id).alias("rank"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    grams = checkpoint(own.select("id", "text_hash", F.explode(choose("text")).alias("g")).select("id", "text_hash", "g.*"))
-    common = checkpoint(grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select(F.col("gram").alias("g")))
-    at = grams.join(common, grams.gram == common.g).groupBy("id", "text_hash").agg(F.collect_set("position").alias("at"))
-    hits = checkpoint(at.alias("a").join(repeats.alias("r"), F.expr("a.id <=> r.id and a.text_hash = r.text_hash"), "left").select(F.col("a.id").alias("hit_id"), F.col("a.text_hash").alias("hit_hash"), "at", "repeats"))
-    near = own.join(hits, F.expr("id <=> hit_id and text_hash = hit_hash"))
-    windows = checkpoint(near.select("id", "rank", "text_hash", F.explode(around("text", "at", "repeats")).alias("w")).select("id", "rank", "text_hash", "w.*"))
-    place = F.struct("rank", "id", "text_hash", "position")
-    first = checkpoint(windows.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first"))
-    f = F.col("first")
-    itself = f["id"].eqNullSafe(F.col("id")) & (f["text_hash"] == F.col("text_hash")) & (F.col("position") < f["position"] + size)
-    gone = windows.join(first, windows.digest == first.d).where(~itself)
-    return gone.groupBy("id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("passages"))
-
-
-def remove_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rank: str | None = None, size: int = PASSAGE, into: str | None = None) -> DataFrame:
-    """``docs`` without repeated lines and without repeated passages of ``size`` words; ``into`` gets all spans."""
-    lines = checkpoint(find_repeats(docs, doc_id=doc_id, text=text, rank=rank))
-    found = find_passages(docs, lines, doc_id=doc_id, text=text, rank=rank, size=size)
-    both = lines.withColumn("passages", F.lit(None).cast(_SPANS)).unionByName(found.withColumn("repeats", F.lit(None).cast(lines.schema["repeats"].dataType)))
-    both = both.groupBy(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.first("repeats", True).alias("__repeats"), F.first("passages", True).alias("__passages"))
-
-    @F.arrow_udf(f"struct<text:string,spans:{_SPANS}>")
-    def cut(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        kind = pa.struct([("text", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
-        for values, repeats, passages in columns:
-            out = []
-            for v, r, p in zip(values, repeats, passages, strict=True):
-                whole, gone = v.as_py(), r.as_py() or []
-                if whole is None or not (gone or p.as_py()):
-                    out.append({"text": whole, "spans": []})
-                    continue
-                removed = [(x["start"], x["stop"]) for x in gone]
-                inner = _outside([(x["start"], x["stop"]) for x in p.as_py() or []], removed, whole)
-                positions, kept, start, k = {x["position"] for x in gone}, [], 0, 0
-                for position, line in enumerate(whole.split("\n")):
-                    stop, pieces, at = start + len(line), [], start
-                    while k < len(inner) and inner[k][0] < stop:
-                        pieces.append(whole[at : max(at, inner[k][0])])
-                        at = min(stop, inner[k][1])
-                        if inner[k][1] > stop:
-                            break
-                        k += 1
-                    if position not in positions and (at == start or (rest := "".join([*pieces, whole[at:stop]])).strip()):
-                        kept.append(line if at == start else rest)
-                    start = stop + 1
-                out.append({"text": "\n".join(kept), "spans": [{"start": a, "stop": b} for a, b in sorted(removed + inner)]})
-            yield pa.array(out, kind)
-
-    joined = docs.join(both, docs[doc_id].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__hash")), "left").withColumn("__cut", cut(F.col(text), "__repeats", "__passages"))
-    cleaned = joined.withColumn(text, F.col("__cut.text"))
+    cleaned = joined.withColumn("__cut", _cut_of(unit, min_words)(F.col(text), F.col("__positions"))).withColumn(text, F.col("__cut.text"))
     if into:
-        cleaned = cleaned.withColumn(into, F.col("__cut.spans"))
-    return cleaned.drop("__id", "__hash", "__repeats", "__passages", "__cut")
+        cleaned = cleaned.withColumn(into, F.struct(F.col("__cut.n").alias("n"), F.col("__cut.spans").alias("spans")))
+    return cleaned.drop("__id", "__hash", "__positions", "__cut")
 
 
-def dedup_report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", passages: bool = False) -> DataFrame:
+def dedup_report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", unit: str = "sentence", min_words: int = RUN) -> DataFrame:
     """One row per document: how many units were removed, their spans, and the text that is left."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    r = F.col("__removed")
-    spans = F.array_join(F.transform(r, lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["stop"].cast("string"))), ",")
-    cleaned = remove_passages(own, into="__removed") if passages else remove_repeats(own, into="__removed")
-    return cleaned.select("doc_id", F.size(r).cast("bigint").alias("n_removed"), spans.alias("removed_spans"), "text")
+    cleaned = remove_repeats(own, unit=unit, min_words=min_words, into="__removed")
+    spans = F.array_join(F.transform("__removed.spans", lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["stop"].cast("string"))), ",")
+    return cleaned.select("doc_id", F.col("__removed.n").alias("n_removed"), spans.alias("removed_spans"), "text")

@@ -85,7 +85,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_report(_table(spark, sf_dir, "documents").select("doc_id", "text"), passages=True)
+    return line_dedup.dedup_report(_documents(spark, sf_dir, "doc_id", "text"))
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

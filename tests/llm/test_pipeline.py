@@ -35,7 +35,7 @@ def test_stages_one_by_one(spark, tmp_path):
             assert set(after) == set(least.values())
         if name == "substring":
             want = _brute_dedup(list(before.items()))
-            assert after == {d: t for d, t in want.items() if t.strip() or t == before[d]}
+            assert after == {d: t for d, (_, t) in want.items() if t.strip() or t == before[d]}
             assert all(r["n_chars"] == len(r["text"]) for r in rows[name])
         if name == "decontamination":
             assert set(after) == {d for d, t in before.items() if not _brute_contamination(t, items)[1]}

@@ -194,65 +194,139 @@ def test_keep_one(spark):
 # line dedup
 
 
-def _brute_dedup(rows):
+def _brute_units(text, unit):
+    """(start, stop, words) of each unit, by looking at every window anew."""
+    words, units = [], []
+    for m in re.finditer(r"\S+", text):
+        at = m.start()
+        for part in re.findall("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]|[^\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]+", m[0]):
+            words.append((at, at + len(part), part.lower()))
+            at += len(part)
+    ends = set()
+    for i, (_, stop, word) in enumerate(words):
+        gap = text[stop : words[i + 1][0]] if i + 1 < len(words) else "\n\n"
+        if gap.count("\n") >= (2 if unit == "paragraph" else 1) or unit == "sentence" and word[-1] in ".!?。！？":
+            ends.add(i)
+    if unit == "sentence":
+        start, size = 0, line_dedup.STRETCH
+        for stop in sorted(ends):
+            if stop + 1 - start > size:
+                ends |= {max(range(i, i + size), key=lambda k: (len(words[k][2]), words[k][2], k)) for i in range(start, stop + 2 - size)}
+            start = stop + 1
+    start = 0
+    for stop in sorted(ends):
+        units.append((words[start][0], words[stop][1], [w[2] for w in words[start : stop + 1]]))
+        start = stop + 1
+    return units
+
+
+def _brute_dedup(rows, unit="sentence", size=line_dedup.RUN):
+    """{id: (number of removed units, text)}; ids are unique."""
     seen, out = set(), {}
     for doc, text in sorted(rows):
-        kept = []
-        for line in text.split("\n"):
-            words = line.lower().split()
-            if len(words) >= line_dedup.MIN_WORDS and " ".join(words) in seen:
-                continue
-            if len(words) >= line_dedup.MIN_WORDS:
-                seen.add(" ".join(words))
-            kept.append(line)
-        out[doc] = "\n".join(kept)
+        units, gone = _brute_units(text or "", unit), set()
+        words, edges = [w for u in units for w in u[2]], [0]
+        for u in units:
+            edges.append(edges[-1] + len(u[2]))
+        runs = set()
+        for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+            n = max(size, b - a)
+            runs.add((a, a + n))
+            if i + 1 == len(units) or "\n" in text[units[i][1] : units[i + 1][0]]:
+                runs.add((b - n, b))
+        for a, b in sorted(runs):
+            if a >= 0 and b <= len(words):
+                if tuple(words[a:b]) in seen:
+                    gone |= {i for i in range(len(units)) if a <= edges[i] and edges[i + 1] <= b}
+                seen.add(tuple(words[a:b]))
+        left = [i for i in range(len(units)) if i not in gone]
+        if not units:
+            out[doc] = (0, text)
+            continue
+        rest = text[: units[0][0]]
+        for before, i in zip([None, *left], left, strict=False):
+            gaps = [text[units[k][1] : units[k + 1][0]] for k in range(before, i)] if before is not None else [""]
+            rest += max(gaps, key=lambda g: (g.count("\n"), bool(g))) + text[units[i][0] : units[i][1]]
+        out[doc] = (len(gone), rest + text[units[-1][1] :])
     return out
 
 
+def _dedup(spark, texts, **how):
+    docs = texts if not isinstance(texts, list) else _docs(spark, texts)
+    return {r["doc_id"]: (r["n_removed"], r["text"]) for r in line_dedup.dedup_report(docs, **how).collect()}
+
+
 def test_line_dedup(spark):
     long = "this passage has more than six words"
     texts = [f"a\n{long}\nb", f"{long.upper()}", f"x\n\n{long}  \n{long}\nend", "short line\nshort line", "", f"\n{long} tail\n"]
-    got = line_dedup.dedup_report(_docs(spark, texts).withColumn("digest", F.lit(1)))
-    assert {r["doc_id"]: r["text"] for r in got.collect()} == _brute_dedup(list(enumerate(texts)))
-    row = got.where("doc_id = 2").first()
-    assert (row["n_removed"], row["removed_spans"]) == (2, "3-41,42-78")
+    docs = _docs(spark, texts).withColumn("digest", F.lit(1)).withColumn("position", F.lit("clash"))
+    assert _dedup(spark, docs, unit="line", min_words=1) == _brute_dedup(list(enumerate(texts)), "line", 1)
+    row = line_dedup.dedup_report(docs, unit="line", min_words=1).where("doc_id = 2").first()
+    assert (row["n_removed"], row["removed_spans"], row["text"]) == (2, "3-78", "x\n\nend")
     odd = _docs(spark, [None, "no id"]).union(_docs(spark, [long])).union(_docs(spark, [long]))
-    assert sorted(str(r["text"]) for r in line_dedup.dedup_report(odd).collect()) == sorted(["None", "no id", long, long])
+    assert sorted(str(r["text"]) for r in line_dedup.dedup_report(odd, unit="line", min_words=1).collect()) == sorted(["None", "no id", long, long])
     assert line_dedup.dedup_report(odd.limit(0)).count() == 0
+    ranked = line_dedup.remove_repeats(_docs(spark, [long, long]).withColumn("order", -F.col("doc_id")), rank="order", unit="line", min_words=1, into="cut")
+    assert ranked.columns == [*DOCS.replace(",", "").split()[::2], "order", "cut"]
+    assert {r["doc_id"]: (r["text"], r["cut"]["n"]) for r in ranked.collect()} == {0: ("", 1), 1: (long, 0)}
 
 
 def test_dedup_of_real_rows_and_paragraphs(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_report(docs).collect()} == _brute_dedup(rows)
+    assert _dedup(spark, docs, unit="line", min_words=1) == _brute_dedup(rows, "line", 1)
+    assert _dedup(spark, docs) == _brute_dedup(rows)
     para = "p one two three four five six\nsecond line"
-    got = line_dedup.remove_repeats(_docs(spark, [f"{para}\n \nq", f"r\n\n{para}"]), unit="paragraph").orderBy("doc_id").collect()
-    assert [r["text"] for r in got] == [f"{para}\n \nq", "r"]
+    texts = [f"{para}\n \nq", f"r\n\n{para}", f"s\n\n\n{para}\n\nt"]
+    assert _dedup(spark, texts, unit="paragraph", min_words=1) == {0: (0, texts[0]), 1: (1, "r"), 2: (1, "s\n\n\nt")}
 
 
 def test_dedup_of_short_and_unspaced_lines(spark):
     unspaced = "这是一行没有空格的文字" * 50
     texts = [f"Released under the MIT License.\n{unspaced}\n \none", f"two\n \nreleased under  the MIT license.\n{unspaced}", "Two"]
-    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in line_dedup.dedup_report(_docs(spark, texts)).collect()}
-    assert got == {0: (0, texts[0]), 1: (2, "two\n "), 2: (1, "")}
+    assert _dedup(spark, texts, unit="line", min_words=1) == {0: (0, texts[0]), 1: (2, "two"), 2: (1, "")}
+    # as part of a run the short line goes too, alone it stays
+    texts = [*texts, "three\nReleased under the MIT License.\nfour"]
+    got = _dedup(spark, texts)
+    assert got == _brute_dedup(list(enumerate(texts))) and got[1][1] == "two" and got[3] == (0, texts[3])
 
 
 def test_passages_inside_lines(spark):
     dice = random.Random(4)
-    words = lambda n: " ".join(f"w{dice.randrange(10**6)}" for _ in range(n))
+    words = lambda n: " ".join(f"w{dice.randrange(10**6)}" + dice.choice(["", "", "", ".", ","]) for _ in range(n))
     passage, unspaced = words(60), "".join(chr(0x4E00 + dice.randrange(9000)) for _ in range(80))
     half = " ".join(passage.split()[:30]) + "\n" + " ".join(passage.split()[30:]).upper()
     loop = "again " * 200
-    texts = [f"{words(9)} {passage} {words(9)}", f"tail {half} {words(2)}\nlast", f"前{unspaced}后", f"x{unspaced}y z", loop, " ".join(passage.split()[:49]), words(70)]
-    docs = _docs(spark, texts)
-    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in line_dedup.dedup_report(docs, passages=True).collect()}
-    assert got[0] == (0, texts[0]) and got[2] == (0, texts[2]) and got[5] == (0, texts[5]) and got[6] == (0, texts[6])
-    assert got[1] == (1, "tail \n " + texts[1].split("\n")[1][len(half.split("\n")[1]) + 1:] + "\nlast")
-    assert got[3] == (1, "xy z")
-    assert got[4][1].split() == ["again"] * 50
-    assert line_dedup.dedup_report(docs.limit(0), passages=True).count() == 0
+    texts = [f"{words(9)} {passage} {words(9)}", f"tail {half} {words(2)}\nlast", f"前{unspaced}后", f"x{unspaced}y z", loop, words(70), passage.replace(" ", "\t")]
+    got = _dedup(spark, texts)
+    assert got == _brute_dedup(list(enumerate(texts)))
+    assert all(got[n] == (0, texts[n]) for n in (0, 2, 5)) and all(got[n][0] for n in (1, 3, 4, 6))
     odd = _docs(spark, [None, "no id"]).union(_docs(spark, [texts[1]])).union(_docs(spark, [texts[1]]))
-    assert line_dedup.dedup_report(odd, passages=True).count() == 4
+    assert line_dedup.dedup_report(odd).count() == 4
+
+
+def test_every_passage_of_fifty_words_is_found():
+    """Passages at any place in random texts: their copy always goes, and what goes is left at an earlier place."""
+    dice = random.Random(11)
+    size = line_dedup.RUN + line_dedup.STRETCH
+    for _ in range(300):
+        word = lambda: "x" * dice.randrange(1, 4) + str(dice.randrange(50)) + dice.choice(["", "", "", "", ".", "!"])
+        some = lambda n: "".join(word() + dice.choice([" ", " ", " ", "  ", "\n"]) for _ in range(n))
+        passage = some(size)
+        rows = [(0, some(dice.randrange(40)) + passage + some(dice.randrange(40))), (1, some(dice.randrange(40)) + passage + some(dice.randrange(40)))]
+        seen, left = set(), ""
+        for doc, text in rows:
+            units, again = list(line_dedup.text_units(text)), set()
+            for start, _, digest in sorted(line_dedup.unit_runs(units)):
+                if digest in seen:
+                    again.add(start)
+                seen.add(digest)
+            gone = line_dedup.units_inside(units, again)
+            assert bool(gone) >= bool(doc)
+            assert all(" ".join(units[i][0]) in left + " ".join(w for u, _ in units for w in u) for i in gone)
+            rest, spans = line_dedup.cut_units(text, units, gone)
+            left += " ".join(rest.lower().split()) + " "
+            assert (rest, len(gone)) == _brute_dedup(rows)[doc][::-1] and bool(spans) == bool(gone)
 
 
 # quality rules
