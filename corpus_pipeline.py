@@ -31,9 +31,9 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut repeated lines and passages out; n_chars follows the text. A document left without a word goes."""
-    cleaned = line_dedup.remove_passages(docs, into="__removed")
-    changed = F.size("__removed") > 0
+    """Cut repeated passages out; n_chars follows the text. A document left without a word goes."""
+    cleaned = line_dedup.remove_repeats(docs, into="__removed")
+    changed = F.col("__removed.n") > 0
     kept = cleaned.where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return kept.withColumn("n_chars", F.when(changed, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).drop("__removed")
 
