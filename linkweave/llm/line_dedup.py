@@ -29,6 +29,7 @@ from __future__ import annotations
 import re
 from collections import deque
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,7 @@ RUN, STRETCH = 30, 20
 #: Characters of scripts written without blanks (Thai, Lao, Burmese, Khmer, kana, Han), as a class in a pattern.
 UNSPACED = "฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿"
 WORD = re.compile(f"[{UNSPACED}]|[^\\s{UNSPACED}]+")
+ANY_UNSPACED = re.compile(f"[{UNSPACED}]")
 #: What a word at the end of a sentence ends with.
 ENDS = frozenset(".!?。！？")
 
@@ -63,8 +65,10 @@ def chosen_ends(words: list[str], stretch: int = STRETCH) -> list[int]:
 def text_units(text: str, unit: str = "sentence", stretch: int = STRETCH) -> Iterator[tuple[list[str], bool]]:
     """The lower-cased words of each unit, one after the other, and whether it ends a line."""
     held: list[str] = []
-    for line in text.split("\n"):
-        words = WORD.findall(line.lower())
+    # the same words, found faster
+    words_of = str.split if not ANY_UNSPACED.search(text) else WORD.findall
+    for line in text.lower().split("\n"):
+        words = words_of(line)
         if unit == "paragraph":
             if held and not words:
                 yield held, True
@@ -88,25 +92,22 @@ def unit_runs(units: Iterable[tuple[list[str], bool]], min_words: int = RUN) ->
     """First word, number of words and 128-bit digest of each run of a text; no two begin at the same word."""
     words: list[str] = []
     waiting: deque[tuple[int, int]] = deque()
-    starts, base, total = set(), 0, 0
-
-    def run(start: int, size: int) -> tuple[int, int, int]:
-        return start, size, xxhash.xxh3_128_intdigest(" ".join(words[start - base : start - base + size]))
-
+    starts, base, total, digest = set(), 0, 0, xxhash.xxh3_128_intdigest
     for unit, closes in units:
         size = max(min_words, len(unit))
-        waiting.append((total, size))
+        waiting.append((total, total + size))
         starts.add(total)
         total += len(unit)
         words += unit
-        while waiting and total >= sum(waiting[0]):
-            yield run(*waiting.popleft())
+        while waiting and waiting[0][1] <= total:
+            start, stop = waiting.popleft()
+            yield start, stop - start, digest(" ".join(words[start - base : stop - base]))
         if closes and total >= size and total - size not in starts:
-            yield run(total - size, size)
-        needed = min(total - min_words, waiting[0][0] if waiting else total)
-        if needed - base > 1000:
-            del words[: needed - base]
-            base = needed
+            yield total - size, size, digest(" ".join(words[total - size - base :]))
+        if len(words) > 2000:
+            needed = min(total - min_words, waiting[0][0] if waiting else total)
+            del words[: max(0, needed - base)]
+            base = max(base, needed)
 
 
 def units_inside(units: list[tuple[list[str], bool]], starts: set[int], min_words: int = RUN) -> set[int]:
@@ -123,10 +124,12 @@ def units_inside(units: list[tuple[list[str], bool]], starts: set[int], min_word
 
 def cut_units(text: str, units: list[tuple[list[str], bool]], gone: set[int]) -> tuple[str, list[tuple[int, int]]]:
     """``text`` without the units whose numbers are in ``gone``, and the spans of what was cut, adjacent units in one."""
-    words = [m.span() for m in WORD.finditer(text)]
-    kept, spans, wide, before, at = [text[: words[0][0]]], [], "", 0, 0
+    found, kept, spans, wide, before = WORD.finditer(text), [], [], "", 0
     for i, (unit, _) in enumerate(units):
-        start, stop = words[at][0], words[at + len(unit) - 1][1]
+        words = list(islice(found, len(unit)))
+        start, stop = words[0].start(), words[-1].end()
+        if not i:
+            kept.append(text[:start])
         gap = text[before:start] if i else ""
         if gap.count("\n") > wide.count("\n") or not wide:
             wide = gap
@@ -135,7 +138,7 @@ def cut_units(text: str, units: list[tuple[list[str], bool]], gone: set[int]) ->
         else:
             kept += [wide if len(kept) > 1 else "", text[start:stop]]
             wide = ""
-        before, at = stop, at + len(unit)
+        before = stop
     return "".join([*kept, text[before:]]), spans
 
 
