@@ -140,6 +140,9 @@ CTES |= {
   string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, coalesce(string_agg(DISTINCT kind, ',' ORDER BY kind) FILTER (kind IN ('funded_by', 'safe_owner')), '') AS directed_kinds, max(hi) - min(lo) AS block_span FROM bpr GROUP BY ALL""",
     "br": f"""SELECT *, CASE WHEN identity_count > 0 THEN 'identity_claim_candidate' WHEN safe_owner_count > 0 THEN 'control_link_candidate' ELSE 'related_only' END AS recommendation,
   {_BURST.format(s='block_span')} AS temporal_pattern FROM bf""",
+    "zp": """SELECT a.address AS address_a, b.address AS address_b FROM subj a JOIN subj b ON a.address < b.address
+  WHERE NOT EXISTS (SELECT 1 FROM bf WHERE bf.address_a = a.address AND bf.address_b = b.address)""",
+    "zn": "SELECT count(*) AS z FROM zp",
     "ce": "SELECT DISTINCT cluster_id, ev.address, kind, key, strength, source, observed_block, payload_json FROM ev JOIN mb USING (address) UNION SELECT cluster_id, ev.address, kind, key, strength, source, observed_block, payload_json FROM ev JOIN mb ON mb.address = ev.key WHERE kind = 'safe_owner'",
     "fper": "SELECT cluster_id, lower(key) AS funder, count(DISTINCT address) AS n FROM ce WHERE kind = 'funded_by' GROUP BY ALL",
     "ffund": "SELECT cluster_id, count(*) AS num_unique_funders, first(funder ORDER BY n DESC, funder) AS top_funder, max(n) AS top_funder_count FROM fper GROUP BY ALL",
@@ -318,17 +321,18 @@ _SELECTS: dict[str, str] = {
     "baseline_scores": """SELECT address_a, address_b, round(least(1.0, least(0.55, 0.14 * funded_by_count) * hub_penalty + least(0.35, 0.12 * safe_owner_count) * hub_penalty + least(0.3, 0.1 * identity_count) * hub_penalty), 4) AS related_score,
   round(least(0.9, 0.22 * safe_owner_count) * hub_penalty, 4) AS control_score, CAST(0 AS DOUBLE) AS did_score FROM bf""",
     "baseline_recommendation": """SELECT address_a, address_b, recommendation, CASE WHEN recommendation = 'related_only' THEN 'weak' WHEN hub_penalty >= 0.5 THEN 'medium' ELSE 'medium_low' END AS confidence,
-  CASE WHEN recommendation = 'identity_claim_candidate' AND safe_owner_count > 0 THEN 'control_link_candidate' ELSE '' END AS secondary_signals, hub_penalty < 0.75 AS hub_note, temporal_pattern FROM br""",
-    "baseline_zero_pairs": """SELECT a.address AS address_a, b.address AS address_b, CAST(1.0 AS DOUBLE) AS hub_penalty, CAST(0 AS BIGINT) AS evidence_total FROM (SELECT address FROM subj WHERE CAST(address[4:] AS BIGINT) < 200) a, (SELECT address FROM subj WHERE CAST(address[4:] AS BIGINT) < 200) b
-  WHERE a.address < b.address AND NOT EXISTS (SELECT 1 FROM bf WHERE bf.address_a = a.address AND bf.address_b = b.address)""",
-    "baseline_diagnostics": """SELECT count(*) AS pair_count, CAST(0 AS BIGINT) AS pairs_with_no_evidence, count(*) FILTER (funded_by_count > 0) AS pairs_with_funded_by, count(*) FILTER (funded_by_count > 0 AND safe_owner_count = 0 AND identity_count = 0) AS pairs_with_funded_by_only,
-  count(*) FILTER (safe_owner_count > 0) AS pairs_with_safe_owner, count(*) FILTER (identity_count > 0) AS pairs_with_identity, CAST(0 AS BIGINT) AS pairs_with_verified, CAST(0 AS BIGINT) AS insufficient_without_evidence, CAST(0 AS BIGINT) AS insufficient_with_evidence,
+  CASE WHEN recommendation = 'identity_claim_candidate' AND safe_owner_count > 0 THEN 'control_link_candidate' ELSE '' END AS secondary_signals, hub_penalty < 0.75 AS hub_note, temporal_pattern FROM br
+  UNION ALL SELECT address_a, address_b, 'insufficient_evidence', 'none', '', FALSE, 'unknown' FROM zp""",
+    "baseline_zero_pairs": "SELECT address_a, address_b, CAST(1.0 AS DOUBLE) AS hub_penalty, CAST(0 AS BIGINT) AS evidence_total FROM zp",
+    "baseline_diagnostics": """SELECT count(*) + (SELECT z FROM zn) AS pair_count, (SELECT z FROM zn) AS pairs_with_no_evidence, count(*) FILTER (funded_by_count > 0) AS pairs_with_funded_by, count(*) FILTER (funded_by_count > 0 AND safe_owner_count = 0 AND identity_count = 0) AS pairs_with_funded_by_only,
+  count(*) FILTER (safe_owner_count > 0) AS pairs_with_safe_owner, count(*) FILTER (identity_count > 0) AS pairs_with_identity, CAST(0 AS BIGINT) AS pairs_with_verified, (SELECT z FROM zn) AS insufficient_without_evidence, CAST(0 AS BIGINT) AS insufficient_with_evidence,
   count(*) FILTER (safe_owner_count > 0 AND recommendation = 'control_link_candidate') AS safe_owner_as_control_link, count(*) FILTER (safe_owner_count > 0 AND recommendation <> 'control_link_candidate') AS safe_owner_not_control_link,
   count(*) FILTER (safe_owner_count > 0 AND recommendation = 'identity_claim_candidate') AS identity_with_secondary_control, count(*) FILTER (funded_by_count > 0 AND safe_owner_count = 0 AND identity_count = 0) AS funded_only_as_related_only,
-  CAST(0 AS DOUBLE) AS max_did_score, count(*) FILTER (hub_penalty < 0.5) AS hub_penalty_lt_0_5, count(*) FILTER (hub_penalty < 0.75) AS hub_penalty_lt_0_75, count(*) FILTER (temporal_pattern = 'unknown') AS temporal_unknown,
+  CAST(0 AS DOUBLE) AS max_did_score, count(*) FILTER (hub_penalty < 0.5) AS hub_penalty_lt_0_5, count(*) FILTER (hub_penalty < 0.75) AS hub_penalty_lt_0_75, count(*) FILTER (temporal_pattern = 'unknown') + (SELECT z FROM zn) AS temporal_unknown,
   count(*) FILTER (temporal_pattern = 'same_block') AS temporal_same_block, count(*) FILTER (temporal_pattern = 'short_burst') AS temporal_short_burst, count(*) FILTER (temporal_pattern = 'long_span') AS temporal_long_span FROM br""",
-    "hub_quantiles": "SELECT CAST(len(v) AS BIGINT) AS n, round(v[1], 4) AS min, round(v[len(v) // 4 + 1], 4) AS p25, round(v[len(v) // 2 + 1], 4) AS median, round(v[3 * len(v) // 4 + 1], 4) AS p75, round(v[len(v)], 4) AS max FROM (SELECT list(hub_penalty ORDER BY hub_penalty) AS v FROM bf)",
-    "baseline_gold_matrix": "SELECT label, coalesce(recommendation, 'missing') AS recommendation, count(*) AS n FROM gold LEFT JOIN br USING (address_a, address_b) GROUP BY ALL",
+    "hub_quantiles": "SELECT CAST(len(v) AS BIGINT) AS n, round(v[1], 4) AS min, round(v[len(v) // 4 + 1], 4) AS p25, round(v[len(v) // 2 + 1], 4) AS median, round(v[3 * len(v) // 4 + 1], 4) AS p75, round(v[len(v)], 4) AS max FROM (SELECT list(hub_penalty ORDER BY hub_penalty) AS v FROM (SELECT hub_penalty FROM bf UNION ALL SELECT 1.0 FROM zp))",
+    "baseline_gold_matrix": """SELECT label, coalesce(recommendation, CASE WHEN zp.address_a IS NULL THEN 'missing' ELSE 'insufficient_evidence' END) AS recommendation, count(*) AS n
+  FROM gold LEFT JOIN br USING (address_a, address_b) LEFT JOIN zp USING (address_a, address_b) GROUP BY ALL""",
     "cf_funding": "SELECT * FROM cff",
     "cf_first_funder": """SELECT cluster_id, max(n) AS first_funder_shared_count FROM (SELECT cluster_id, f, count(*) AS n FROM (SELECT lower(to_addr) AS address, lower(from_addr) AS f, row_number() OVER (PARTITION BY lower(to_addr) ORDER BY block_num, coalesce(tx_hash, ''), lower(from_addr)) AS r
   FROM fx_transfers WHERE block_num IS NOT NULL) JOIN mb USING (address) WHERE r = 1 GROUP BY ALL) GROUP BY ALL""",
