@@ -2,30 +2,42 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkweave.runtime import checkpoint, is_empty
+from linkweave.runtime import checkpoint_dir, is_empty, remove, written
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Return ``(node, component)`` for every endpoint; ``component`` is its smallest node.
 
-    Minimum labels spread one hop a round and then jump along the label pointers, so a
-    long chain closes in about the logarithm of its length. Each round is one shuffle of
-    the edges (pre-aggregated on the map side, hubs included) and ends in a reliable
-    checkpoint. Null endpoints are ignored; self loops and repeated edges are harmless;
-    no edges give no rows.
+    Each node points to a smaller one of its component. In a round, a node learns the least of
+    what its neighbours' pointers point to; it takes that as its own pointer and hooks what it
+    pointed to under it, and pointers are halved. Chains of n nodes in any order close in about
+    log2(n) + 2 rounds. A round shuffles the edges once, aggregates hubs on the map side, and
+    is written to the shared checkpoint folder; the round before is then deleted, so the disk
+    holds the edges and two rounds at most. The files of the last round stay, as the result is
+    read from them. Null endpoints are ignored; self loops and repeated edges are harmless; no
+    edges give no rows.
     """
+    spark = edges.sparkSession
+    folder = f"{checkpoint_dir(spark)}/components-{uuid.uuid4().hex}"
     pairs = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
-    both = checkpoint(pairs.union(pairs.select(F.col("y"), F.col("x"))).distinct())
-    labels = checkpoint(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("label")))
-    while True:
-        near = both.join(labels, both.y == labels.node).groupBy("x").agg(F.min("label").alias("m"))
-        hop = labels.join(near, labels.node == near.x).select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
-        target = labels.select(F.col("node").alias("t"), F.col("label").alias("onward"))
-        jumped = hop.join(target, hop.label == target.t).select("node", "was", F.least("label", "onward").alias("label"))
-        step = checkpoint(jumped)
-        labels = step.select("node", "label")
-        if is_empty(step.where("label <> was")):
-            return labels.withColumnRenamed("label", "component")
+    both = written(pairs.union(pairs.select(F.col("y"), F.col("x"))).distinct(), f"{folder}/edges")
+    links = written(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("link")), f"{folder}/0")
+    for turn in range(1, 10_000):
+        onward = links.select(F.col("node").alias("t"), F.col("link").alias("far"))
+        ahead = links.join(onward, links.link == onward.t).select("node", "link", "far")
+        near = both.join(ahead.select(F.col("node").alias("n"), "far"), F.col("y") == F.col("n")).groupBy("x").agg(F.min("far").alias("least"))
+        own = F.struct(F.col("node").alias("node"), F.least("link", "least", "far").alias("link"), F.col("link").alias("was"))
+        hooked = F.struct(F.col("link").alias("node"), F.col("least").alias("link"), F.lit(None).alias("was"))
+        offers = ahead.join(near, F.col("node") == F.col("x")).select(F.explode(F.array(own, hooked)).alias("o")).select("o.*")
+        step = written(offers.groupBy("node").agg(F.min("link").alias("link"), F.max("was").alias("was")), f"{folder}/{turn}")
+        remove(spark, f"{folder}/{turn - 1}")
+        links = step.select("node", "link")
+        if is_empty(step.where("link <> was")):
+            break
+    remove(spark, f"{folder}/edges")
+    return links.withColumnRenamed("link", "component")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +12,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
     A cluster names it in ``spark.checkpoint.dir``; only where that setting and the
-    context's own folder are both unset (tests, a laptop) is a local one chosen.
+    context's own folder are both unset on a ``local`` master (tests, a laptop) is a local one
+    chosen, since the other machines of a cluster would not see it.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir")
     current = context._jsc.sc().getCheckpointDir()
     if not current.isDefined():
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="linkweave-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -27,6 +31,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, folder: str) -> DataFrame:
+    """``df`` written to ``folder`` and read from there, for rounds whose files :func:`remove` takes away."""
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared file system, with all in it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

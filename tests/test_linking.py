@@ -1,13 +1,16 @@
 """Merge rules, components and metrics on hand-made evidence."""
 
 import itertools
+import pathlib
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from linkweave import runtime
+from linkweave.operators import components, linking, metrics
 from linkweave.operators import evidence as ev
-from linkweave.operators import linking, metrics
 from linkweave.operators.components import connected_components
 from linkweave.schemas import CONSERVATIVE, EXCHANGES, LEGACY, TABLES, ZERO_ADDRESS, MergePolicy
 
@@ -132,6 +135,32 @@ def test_long_chain(spark):
     assert found.count() == 301 and {r["component"] for r in found.collect()} == {0}
 
 
+@pytest.mark.parametrize("order", ["random", "zigzag", "rotated"])
+def test_rounds_on_chains_in_any_order(spark, order, monkeypatch):
+    n = 4000
+    nodes = {"random": random.Random(3).sample(range(n), n), "zigzag": [x for i in range(n // 2) for x in (i, n - 1 - i)], "rotated": [*range(1, n), 0]}[order]
+    folders = []
+    monkeypatch.setattr(components, "written", lambda df, folder: folders.append(folder) or runtime.written(df, folder))
+    found = connected_components(spark.createDataFrame(list(itertools.pairwise(nodes)), "a long, b long"))
+    assert {r["component"] for r in found.collect()} == {0} and found.count() == n
+    assert len(folders) - 2 <= 20
+    # only the last round is left on disk
+    root = pathlib.Path(folders[0].removeprefix("file:")).parent
+    assert [p.name for p in root.iterdir()] == [folders[-1].rsplit("/", 1)[1]]
+
+
+def test_checkpoint_folder_of_a_cluster_has_to_be_named():
+    class Unset:
+        master = "spark://host:7077"
+        getConf = lambda self: {}
+
+        class _jsc:
+            sc = staticmethod(lambda: type("C", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isDefined": staticmethod(lambda: False)}))}))
+
+    with pytest.raises(ValueError):
+        runtime.checkpoint_dir(type("S", (), {"sparkContext": Unset()}))
+
+
 @pytest.mark.parametrize(("sizes", "threshold", "k"), [([5, 5], 0.5, 2), ([10, 1, 1], 0.5, 1), ([1, 2, 3], 1.0, 3), ([], 0.5, None), ([0, 0], 0.5, None), ([1] * 9, 0.5, 5), ([3, 1, 1, 1, 1], 0.5, 2)])
 def test_nakamoto(spark, sizes, threshold, k):
     frame = spark.createDataFrame([(x,) for x in sizes], "size long")
