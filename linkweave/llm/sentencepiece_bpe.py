@@ -49,6 +49,8 @@ class Vocabulary:
         self.unknown = model.unk_id()
         special = self.control | set(self.bytes.values()) | {self.unknown}
         self.normal = [i for i in range(n) if i not in special]
+        #: Names the vocabulary, so that a worker never takes one for another.
+        self.digest = hashlib.sha256(repr((self.pieces, self.scores, sorted(special))).encode()).hexdigest()
 
 
 class Codec:
@@ -65,7 +67,11 @@ class Codec:
         self.bare: list[dict] = [{}, {}]
         self.byte_ids = set(vocabulary.bytes.values())
         self.digits = [str(i) for i in range(len(vocabulary.pieces))]
+        # what an id stands for wherever it is; the ids that are left out depend on their neighbours or vanish
         self.plain = [p.replace(MARK, " ") for p in vocabulary.pieces]
+        for byte, i in vocabulary.bytes.items():
+            self.plain[i] = chr(byte)
+        self.by_context = {i for byte, i in vocabulary.bytes.items() if byte > 127} | vocabulary.control | {vocabulary.unknown}
         self.within = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.cuts_blanks = not any(MARK in p.lstrip(MARK) for p in self.ids)
         self.cuts_lines = not any("\n" in p for p in self.ids)
@@ -130,18 +136,11 @@ class Codec:
                 at -= self.lengths[token]
         return out[::-1]
 
-    def _entry(self, part: str) -> tuple[str, str]:
+    def _entry(self, part: str) -> tuple[str, tuple[int, ...]]:
         ids, digits = self.encode_part(part), self.digits
-        return ",".join([digits[i] for i in ids]), self._plain(ids)
+        return ",".join([digits[i] for i in ids]), tuple(ids)
 
-    def _plain(self, ids: list[int]) -> str:
-        if self.byte_ids.isdisjoint(ids):
-            plain = self.plain
-            return "".join([plain[i] for i in ids])
-        raw = b"".join(bytes([int(self.v.pieces[i][3:5], 16)]) if i in self.byte_ids else self.plain[i].encode() for i in ids)
-        return raw.decode("utf-8", "replace")
-
-    def _miss(self, memo: list[dict], key: str, part: str) -> tuple[str, str]:
+    def _miss(self, memo: list[dict], key: str, part: str) -> tuple[str, tuple[int, ...]]:
         entry = memo[1].get(key)
         if entry is None:
             entry = self._without_tail(memo, key, part) or self._entry(part)
@@ -152,7 +151,7 @@ class Codec:
             memo[0][key] = entry
         return entry
 
-    def _without_tail(self, memo: list[dict], key: str, part: str) -> tuple[str, str] | None:
+    def _without_tail(self, memo: list[dict], key: str, part: str) -> tuple[str, tuple[int, ...]] | None:
         """A part that ends in punctuation, from the entries of both halves where no piece spans the cut."""
         if not key or key[-1].isalnum():
             return None
@@ -165,8 +164,8 @@ class Codec:
         tail = self.bare[0].get(key[at:]) or self._miss(self.bare, key[at:], key[at:])
         return head[0] + "," + tail[0], head[1] + tail[1]
 
-    def parts(self, text: str) -> list[tuple[str, str]]:
-        """Entries (ids as text, plain text) whose concatenation encodes ``text``."""
+    def parts(self, text: str) -> list[tuple[str, tuple[int, ...]]]:
+        """Entries (ids as text, ids) whose concatenation encodes ``text``."""
         if not text:
             return []
         if not self.cuts_blanks:
@@ -207,7 +206,7 @@ class Codec:
         return out
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for part in self.parts(text or "") for i in part[0].split(",")]
+        return [i for part in self.parts(text or "") for i in part[1]]
 
     def decode(self, ids: list[int]) -> str:
         """Pieces joined, bytes put together, blank marks as blanks, less the blank that encoding adds.
@@ -215,6 +214,9 @@ class Codec:
         Bytes that are no UTF-8 become U+FFFD one by one; control ids vanish; the unknown id
         is the library's mark.
         """
+        if ids and self.by_context.isdisjoint(ids):
+            text = "".join([self.plain[i] for i in ids])
+            return text[1:] if self.v.pieces[ids[0]].startswith(MARK) else text
         out, held, begun = [], bytearray(), False
         for i in [*ids, -1]:
             if i in self.byte_ids:
@@ -250,12 +252,12 @@ def _bytes_to_text(raw: bytes) -> str:
     return "".join(out)
 
 
-_CODECS: dict[int, Codec] = {}
+_CODECS: dict[str, Codec] = {}
 
 
 def _codec(shared: object) -> Codec:
-    """One codec per Python worker and broadcast, so that its memo serves every batch."""
-    key = shared._jbroadcast.id() if getattr(shared, "_jbroadcast", None) is not None else id(shared)
+    """One codec per Python worker and vocabulary, so that its memo serves every batch."""
+    key = shared.value.digest
     if key not in _CODECS:
         _CODECS.clear()
         _CODECS[key] = Codec(shared.value)
@@ -280,13 +282,12 @@ def encode(docs: DataFrame, model_file: str, *, text: str = "text", into: str =
             counts, first, second, flat, ends = [], [], [], [], [0]
             for value in column:
                 parts = codec.parts(value.as_py() or "")
-                joined = ",".join([p[0] for p in parts])
-                counts.append(joined.count(",") + 1 if joined else 0)
-                first.append(sha(joined.encode()).hexdigest())
-                plain = "".join([p[1] for p in parts])
-                second.append(sha((plain[1:] if plain[:1] == " " else plain).encode()).hexdigest())
+                ids = [i for p in parts for i in p[1]]
+                counts.append(len(ids))
+                first.append(sha(",".join([p[0] for p in parts]).encode()).hexdigest())
+                second.append(sha(codec.decode(ids).encode()).hexdigest())
                 if with_ids:
-                    flat.append(np.fromstring(joined, dtype=np.int32, sep=",") if joined else np.zeros(0, np.int32))
+                    flat.append(np.array(ids, dtype=np.int32))
                     ends.append(ends[-1] + counts[-1])
             arrays = [pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())]
             if with_ids:

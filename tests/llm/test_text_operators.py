@@ -54,6 +54,20 @@ def test_codec_on_random_text_and_ids(sentencepiece_model):
         assert codec.decode(ids) == sentencepiece_model.decode(ids), ids
 
 
+def test_digest_is_of_the_decoded_ids(sentencepiece_model):
+    """Bytes of other scripts, marks, control pieces and the unknown id, in every neighbourhood."""
+    codec, dice = sentencepiece_bpe.Codec(sentencepiece_bpe.Vocabulary(queries.piece_model())), random.Random(6)
+    bytes_, n = list(codec.v.bytes.values()), sentencepiece_model.get_piece_size()
+    ascii_ = [i for byte, i in codec.v.bytes.items() if byte < 128]
+    for _ in range(3000):
+        ids = [dice.choice([dice.choice(ascii_), dice.randrange(n), codec.v.normal[dice.randrange(300)], dice.choice(bytes_) if dice.random() < 0.2 else 300]) for _ in range(dice.randrange(8))]
+        assert codec.decode(ids) == sentencepiece_model.decode(ids), ids
+    one, other = codec.v, sentencepiece_bpe.Vocabulary(queries.piece_model())
+    other.pieces, other.digest = other.pieces[::-1], "other"
+    holds = lambda v: type("Shared", (), {"value": v})()
+    assert sentencepiece_bpe._codec(holds(one)).v is one and sentencepiece_bpe._codec(holds(other)).v is other
+
+
 def test_decode_column(spark, sentencepiece_model):
     ids = sentencepiece_model.encode("one two\nthree")
     rows = spark.createDataFrame([(1, ids), (2, None), (3, [])], "k long, ids array<int>")
