@@ -6,9 +6,10 @@ apart. Rules become boundary events that carry the stack of rules active from th
 are sorted together with the events, and the last event at or before a url's key is its
 stack. Of the stack's rules whose path begins the url's path, the longest wins.
 
-Urls are dealt over partitions round robin and the events, whose number is measured and
-bounded, are repeated into each, so a host with most of the urls is spread evenly and each
-partition is one sweep over a sorted run.
+The keys are cut into ranges of about ``block`` events each, with the stack that is active where
+the range begins, so rules of any number are swept in bounded pieces. The urls of a range are
+dealt round robin over as many partitions as their share of all urls asks for, and only that
+range's events are repeated into those, so a host with most of the urls is spread evenly.
 
 Defined cases: a null url or one without ``://`` has an empty host and path and no rule; an
 empty path fits no rule; ports and user names count as part of the host; rules with a null
@@ -21,10 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkweave.runtime import shuffle_partitions
+from linkweave.runtime import checkpoint, shuffle_partitions
 
-#: Boundary events of one sweep at most: two for each distinct host of the rules.
-MOST_EVENTS = 2_000_000
+#: Boundary events of one range of keys, about: two for each distinct host of the rules.
+BLOCK = 65_536
 
 _STACK = "array<struct<size:int,host_size:int,block:int,path:string,rule:string,verdict:string>>"
 
@@ -67,17 +68,41 @@ def boundaries(rules: DataFrame) -> DataFrame:
     return opens.union(closes)
 
 
-def judge(urls: DataFrame, rules: DataFrame, *, url: str = "url", into: str = "filtered", default: str = "allow", most_events: int = MOST_EVENTS) -> DataFrame:
+def _range_of(key: Column, bounds: list[str]) -> Column:
+    """How many of the sorted ``bounds`` are at or below ``key``, by halving."""
+    if not bounds:
+        return F.lit(0)
+    known = F.array(*[F.lit(b) for b in bounds])
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(bounds)) & (F.try_element_at(known, F.least(at + step, F.lit(len(bounds)))) <= key), at + step).otherwise(at))
+
+
+def judge(urls: DataFrame, rules: DataFrame, *, url: str = "url", into: str = "filtered", default: str = "allow", block: int = BLOCK) -> DataFrame:
     """``urls`` with a struct ``into``: host, path, rule and verdict."""
-    events = boundaries(rules)
-    n = events.count()
-    if n > most_events:
-        raise ValueError(f"{n} boundaries; one sweep takes {most_events} at most: deal the rules by their first label and judge part by part")
-    spread = shuffle_partitions(urls.sparkSession)
+    spark = urls.sparkSession
+    events = checkpoint(boundaries(rules))
+    ranges, bounds = max(1, -(-events.count() // block)), []
+    if ranges > 1:
+        dealt = events.repartitionByRange(ranges, "key").groupBy(F.spark_partition_id().alias("n")).agg(F.min("key").alias("least"))
+        # one key for each range, whose number is that of the rules by ``block``
+        bounds = sorted(r["least"] for r in dealt.collect())[1:]
     host, path = split_url(F.col(url))
     row = F.struct(*[F.col(f"`{c}`") for c in urls.columns])
-    asked = urls.select((F.monotonically_increasing_id() % spread).cast("int").alias("part"), row.alias("row"), host.alias("host"), path.alias("path")).withColumn("key", host_key(F.col("host"))).withColumn("kind", F.lit(1))
-    told = events.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))).withColumn("kind", F.lit(0))
+    asked = urls.select(row.alias("row"), host.alias("host"), path.alias("path")).withColumn("key", host_key(F.col("host")))
+    asked = asked.withColumn("range", _range_of(F.col("key"), bounds)).withColumn("kind", F.lit(1))
+    told = events.withColumn("range", _range_of(F.col("key"), bounds))
+    parts = [shuffle_partitions(spark)]
+    if bounds:
+        ends = told.groupBy("range").agg(F.max_by("stack", "key").alias("stack"))
+        told = told.unionByName(ends.select((F.col("range") + 1).alias("range"), F.lit("").alias("key"), "stack").where(F.col("range") <= len(bounds)))
+        sizes = {r["range"]: r["count"] for r in asked.groupBy("range").count().collect()}
+        whole = max(1, sum(sizes.values()))
+        parts = [max(1, -(-parts[0] * sizes.get(k, 0) // whole)) for k in range(len(bounds) + 1)]
+    first = F.array(*[F.lit(sum(parts[:k])) for k in range(len(parts))])
+    many = F.try_element_at(F.array(*[F.lit(n) for n in parts]), F.col("range") + 1)
+    start = F.try_element_at(first, F.col("range") + 1)
+    asked = asked.withColumn("part", (start + F.monotonically_increasing_id() % many).cast("int"))
+    told = told.withColumn("part", F.explode(F.sequence(start, start + many - 1))).withColumn("kind", F.lit(0))
     sweep = Window.partitionBy("part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = asked.unionByName(told, allowMissingColumns=True).withColumn("active", F.last("stack", ignorenulls=True).over(sweep)).where("kind = 1")
     best = F.try_element_at(F.filter("active", lambda r: F.col("path").startswith(r["path"])), F.lit(1))

@@ -377,6 +377,16 @@ def test_policies_and_ablations(spark):
     assert table["few_words"] == (2, 1) and table["symbols"] == (1, 0) and table["repeated_words"] == (1, 0)
 
 
+def test_repeated_lines_by_version(spark):
+    """v1 counts lines, in texts of any number of them; v2 their characters; a bit keeps its meaning."""
+    long = " ".join(f"word{n}" for n in range(30))
+    texts = ["note\nnote\n" + long, f"{long}\n{long[:-1]}\n{long}", f"{long}\nx\ny\nz", "\n".join(f"{long} {n}" for n in range(9))]
+    rows = quality_rules.ledger(_docs(spark, texts)).select("doc_id", "quality_ledger.*")
+    got = {r["doc_id"]: (r["failed"] >> 3 & 1, r["failed"] >> 7 & 1, r["dup_line_chars"], r["line_chars"]) for r in rows.collect()}
+    assert got == {0: (1, 0, 4, 8 + len(long)), 1: (1, 1, len(long), 3 * len(long) - 1), 2: (0, 0, 0, len(long) + 3), 3: (0, 0, 0, 9 * len(long) + 18)}
+    assert [r.bit for r in quality_rules.RULES] == list(range(8)) and quality_rules.POLICIES["v1"].mask == 63 and quality_rules.POLICIES["v2"].mask == 183
+
+
 # URL filters
 
 
@@ -398,8 +408,26 @@ def test_url_rules(spark):
     assert url_filters.url_verdicts(frame, url_filters.rule_table(spark, [])).where("verdict <> 'allow'").count() == 0
     kept = url_filters.judge(frame, url_filters.rule_table(spark))
     assert kept.columns == ["page_id", "url", "key", "filtered"]
-    with pytest.raises(ValueError):
-        url_filters.judge(frame, url_filters.rule_table(spark), most_events=1)
+
+
+def test_more_url_rules_than_a_block(spark):
+    """Rules far over the block size give what one sweep over them gives, and what brute force gives."""
+    dice = random.Random(8)
+    hosts = [".".join(dice.choice(["a", "b", "cc", "d-e", "com", "net"]) for _ in range(dice.randrange(1, 5))) for _ in range(300)]
+    rules = sorted({(h, dice.choice(["/", "/x/", "/x/y"]), dice.choice(["allow", "block"])) for h in hosts})
+    table = spark.createDataFrame(rules, "host string, path string, verdict string")
+    urls = [(n, f"http://{dice.choice(['', 'www.', 'z.'])}{dice.choice(hosts)}/{dice.choice(['', 'x/', 'x/y', 'q'])}") for n in range(400)] + [(400 + n, f"http://{hosts[0]}/x/") for n in range(200)]
+    frame = spark.createDataFrame([*urls, (None, None)], "page_id long, url string")
+
+    def brute(url):
+        host, _, rest = url.partition("://")[2].partition("/")
+        fits = [(len(h) + len(p), len(h), v, h + p) for h, p, v in rules if (host == h or host.endswith("." + h)) and f"/{rest}".startswith(p)]
+        return max(fits, default=(0, 0, "allow", None))[2:]
+
+    want = {n: brute(u) for n, u in urls} | {None: ("allow", None)}
+    for block in (7, 50, url_filters.BLOCK):
+        got = url_filters.judge(frame, table, block=block).select("page_id", "filtered.verdict", "filtered.rule").collect()
+        assert len(got) == len(frame.collect()) and {r[0]: (r[1], r[2]) for r in got} == want
 
 
 # licences
