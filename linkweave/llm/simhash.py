@@ -16,9 +16,9 @@ to keep five of the eight nibbles of the other segment (three differing bits tou
 three nibbles), which bounds it at 4096 distinct fingerprints, exactly.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; equal
-fingerprints are one node; repeated rows and ids each give a row; a null id takes part but
-never is a component's id unless all its ids are null; no rows give no rows; the columns of
-the documents are kept by :func:`keep_one_per_component`.
+fingerprints are one node; repeated rows and ids each give a row of :func:`near_duplicates`; a
+null id takes part but never is a component's id unless all its ids are null; no rows give no
+rows; the columns of the documents are kept by :func:`keep_one_per_component`.
 """
 
 from __future__ import annotations
@@ -174,7 +174,9 @@ def fingerprint_links(fps: DataFrame, *, dense: int = DENSE) -> DataFrame:
 
     Not every pair is listed: within a bucket only enough of them to connect what is connected.
     """
-    entries = fps.select("fp").mapInArrow(_entries, "bucket bigint, probe boolean, fp bigint")
+    # a few MB of fingerprints become about 34 times as many rows: adaptive reading must not leave them to a few tasks
+    fps = fps.select("fp").repartition(shuffle_partitions(fps.sparkSession))
+    entries = fps.mapInArrow(_entries, "bucket bigint, probe boolean, fp bigint")
     segments = fps.select(F.explode(F.array(F.col("fp").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("fp", 32).bitwiseOR(1 << 32))).alias("bucket"))
     crowded = checkpoint(segments.groupBy("bucket").count().where(F.col("count") > dense).select("bucket"))
     if is_empty(crowded):
@@ -184,25 +186,37 @@ def fingerprint_links(fps: DataFrame, *, dense: int = DENSE) -> DataFrame:
     return thin.union(_search(thick))
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", dense: int = DENSE) -> DataFrame:
-    """One row per document: doc_id, fingerprint (hex) and component_id, the smallest reachable doc_id."""
-    marked = checkpoint(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), into="fp").select("doc_id", "fp"))
+def _components(marked: DataFrame, dense: int) -> DataFrame:
+    """(node, component, component_id) of each fingerprint of ``marked`` (doc_id, fp): its component's mark and smallest id."""
     nodes = checkpoint(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     components = connected_components(fingerprint_links(nodes, dense=dense))
     placed = nodes.join(components, nodes.fp == components.node)
     smallest = placed.groupBy("component").agg(F.min("first_id").alias("least_id"))
-    linked = placed.join(smallest, "component").select(F.col("fp").alias("linked_fp"), "least_id")
-    named = nodes.join(linked, nodes.fp == F.col("linked_fp"), "left").select(F.col("fp").alias("node"), F.coalesce("least_id", "first_id").alias("component_id"))
-    named = checkpoint(named)  # so that both sides of the join below are plain shuffles, whose hot fingerprints Spark splits
+    linked = placed.join(smallest, "component").select(F.col("fp").alias("linked_fp"), "component", "least_id")
+    named = nodes.join(linked, nodes.fp == F.col("linked_fp"), "left").select(F.col("fp").alias("node"), F.coalesce("component", "fp").alias("component"), F.coalesce("least_id", "first_id").alias("component_id"))
+    return checkpoint(named)  # so that both sides of a join with the documents are plain shuffles, whose hot fingerprints Spark splits
+
+
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", dense: int = DENSE) -> DataFrame:
+    """One row per document: doc_id, fingerprint (hex) and component_id, the smallest reachable doc_id."""
+    marked = checkpoint(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), into="fp").select("doc_id", "fp"))
+    named = _components(marked, dense)
     return marked.join(named, marked.fp == named.node).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_per_component(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the documents whose component has a smaller id; its columns stay.
+def keep_one_per_component(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", dense: int = DENSE) -> DataFrame:
+    """``docs`` with exactly one row of each component: the smallest id, then the least text hash; its columns stay.
 
-    Rows with a null id are kept, as nothing can name them; rows that repeat the smallest id
-    of a component are kept too, since they are one document.
+    Null ids come last, so that of a component of null ids alone one row stays. Rows that
+    repeat id and text are one document, of which one row stays; rows that share an id alone
+    are not, and each is judged by its own text.
     """
-    found = near_duplicates(docs, doc_id=doc_id, text=text)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[doc_id] == F.col("__gone"), "left_anti")
+    keys = {"__null": F.col(doc_id).isNull(), "__id": F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "__hash": F.xxhash64(text)}
+    marked = with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text")), into="fp")
+    marked = checkpoint(marked.select("doc_id", "hash", "fp"))
+    named = _components(marked, dense)
+    rank = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "hash")
+    first = marked.join(named, marked.fp == named.node).groupBy("component").agg(F.min(rank).alias("f"))
+    first = first.select(F.col("f.null").alias("__null"), F.coalesce(F.col("f.doc_id").cast("string"), F.lit("")).alias("__id"), F.col("f.hash").alias("__hash"))
+    # rows that repeat meet on the keys of the join, so that they are told apart without another shuffle
+    return docs.withColumns(keys).join(first, list(keys), "left_semi").dropDuplicates(list(keys)).drop(*keys)

@@ -201,6 +201,12 @@ def test_near_duplicates_against_brute_force(spark):
 def test_keep_one(spark):
     docs = _docs(spark, ["a b c", "other words entirely", "a b c", "", None, "no id"])
     assert sorted(str(r["text"]) for r in simhash.keep_one_per_component(docs).collect()) == ["", "a b c", "no id", "other words entirely"]
+    # each row twice, one id with two texts, copies without an id
+    texts = [(1, "a b c"), (1, "a b c"), (1, "some other words"), (2, "a b c"), (None, "a b c"), (None, "unnamed copy here"), (None, "unnamed copy here"), (2, "x y z")]
+    odd = spark.createDataFrame([(i, t, "clash", "clash") for i, t in texts], "doc_id long, text string, hash string, component string")
+    kept = simhash.keep_one_per_component(odd)
+    assert kept.columns == odd.columns and simhash.keep_one_per_component(odd.limit(0)).count() == 0
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(0, "unnamed copy here"), (1, "a b c"), (1, "some other words"), (2, "x y z")]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
     assert docs.columns == simhash.keep_one_per_component(docs).columns
 
