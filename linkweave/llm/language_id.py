@@ -164,17 +164,20 @@ def _packed(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", sample_per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
-    """Learn from rows with text and label: a hash of the text picks about ``sample_per_language`` of each label.
+    """Learn from rows with text and label: a hash of the text picks about ``sample_per_language`` texts of each label.
 
-    Only the sample's feature rows (8 KB each) reach the driver; labels are few by nature.
+    A text counts once however many copies it has, so copies can neither fill the sample nor
+    fall out of it together. Only the sample's feature rows (8 KB each) reach the driver; the
+    labels are a list of languages, each with a count.
     """
-    rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(text).alias("mark")).where("text is not null and lang is not null")
+    sizes = {r["lang"]: r["n"] for r in rows.select("lang", "mark").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return LanguageModel(None, {})
     share = F.create_map(*[F.lit(v) for lang_, n in sizes.items() for v in (lang_, min(1.0, sample_per_language / n))])
-    dice = F.pmod(F.xxhash64("text"), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    picked = rows.where(dice < F.element_at(share, F.col("lang"))).select("lang", _packed("text").alias("x")).collect()
+    dice = F.pmod("mark", F.lit(1 << 30)).cast("double") / float(1 << 30)
+    texts = rows.where(dice < F.element_at(share, F.col("lang"))).groupBy("lang", "mark").agg(F.first("text").alias("text"))
+    picked = texts.select("lang", _packed("text").alias("x")).collect()
     picked.sort(key=lambda r: (r["lang"], bytes(r["x"])))
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in picked), dtype=np.float32).reshape(len(picked), DIMENSIONS)
     return LanguageModel.fit(x, np.array([r["lang"] for r in picked], dtype=object).astype(str))

@@ -169,10 +169,10 @@ def _measured(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> AdditiveModel:
     """Learn from labels of these documents; a hash of the id picks about ``sample_rows`` of them.
 
-    The picked labels (two numbers a row, bounded by that parameter) are broadcast; their
+    A label that is given several times counts once. The picked labels (two numbers a row, bounded by that parameter) are broadcast; their
     documents' features, and never their texts, come to the driver.
     """
-    known = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("__label")).where("__id is not null and __label in (0, 1)")
+    known = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("__label")).where("__id is not null and __label in (0, 1)").distinct()
     n = known.count()
     dice = F.pmod(F.xxhash64("__id"), F.lit(1 << 30))
     picked = known.where(dice < int((1 << 30) * min(1.0, sample_rows / max(1, n))))
