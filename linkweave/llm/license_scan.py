@@ -1,13 +1,15 @@
 """Licence scans by sparse TF-IDF cosine and directory inheritance, in DataFrame functions only.
 
-Every line of a whole text that names a licence is a header; a file that is called LICENSE,
-COPYING or NOTICE, or most of whose words are headers, is a licence file and is compared as a
-whole too. Headers and files become sparse term vectors, terms are weighted by their inverse
-frequency over all headers of the corpus and the templates, and the cosine to each template is a
-sum over shared terms: an equi-join on the term with the templates' weights, a fixed table.
-The best template at ``threshold`` or above is the licence. A file without one of its own
-inherits from the licence file in its nearest ancestor directory, found by joining its
-ancestor paths with the directories that hold a licence file.
+A text that names a licence anywhere is looked at line by line. A line that has a telling word
+of the templates is a header line; it is compared alone, sentence by sentence, and in runs of up
+to ``RUN`` adjacent header lines, as notices are wrapped. A file that is called LICENSE, COPYING
+or NOTICE, or most of whose words are header lines, is a licence file and is compared as a whole
+too. These units become sparse term vectors, terms are weighted by their inverse frequency over
+all units of the corpus and the templates, and the cosine to each template is a sum over shared
+terms: an equi-join on the term with the templates' weights, a fixed table. One shared term alone
+(the German word "mit") is no licence. The best template at ``threshold`` or above is the licence.
+A file without one of its own inherits from the licence file in its nearest ancestor directory,
+found by joining its ancestor paths with the directories that hold a licence file.
 
 Defined cases: null and empty texts have no header and can only inherit; null paths cannot
 inherit; equal scores go to the first name; several licence files of one directory give the
@@ -17,27 +19,41 @@ columns are not read.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkweave.runtime import checkpoint
 
 THRESHOLD = 0.6
-NAMES_LICENCE = r"(?i)licen[sc]ed?\b|copyright|all rights reserved|spdx|public domain|creative commons|redistribution and use|permission is hereby granted|as is"
+NAMES_LICENCE = r"(?i)licen[sc]ed?|copyright|all rights reserved|spdx|public domain|creative commons|redistribution and use|permission is hereby granted|as is"
+#: Header lines that are compared together, at most.
+RUN = 5
 LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice)[^/]*$"
 
-#: SPDX identifiers and notices that stand for them.
+#: SPDX identifiers and notices, titles and tags that stand for them.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
     ("MIT", "Released under the MIT License"),
+    ("MIT", "MIT License"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"),
     ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3"),
     ("GPL-3.0-only", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3"),
+    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("GPL-3.0-only", "GNU General Public License Version 3, 29 June 2007"),
     ("GPL-2.0-only", "This work is licensed under the GNU General Public License, version 2"),
+    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"),
+    ("GPL-2.0-only", "GNU General Public License Version 2, June 1991"),
     ("LGPL-3.0-only", "This library is licensed under the GNU Lesser General Public License, version 3"),
+    ("LGPL-3.0-only", "GNU Lesser General Public License Version 3, 29 June 2007"),
     ("AGPL-3.0-only", "This work is licensed under the GNU Affero General Public License, version 3"),
+    ("AGPL-3.0-only", "GNU Affero General Public License Version 3, 19 November 2007"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License"),
@@ -45,10 +61,26 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
     ("LicenseRef-Proprietary", "All rights reserved"),
+    *[(name, f"SPDX-License-Identifier: {name}") for name in ("Apache-2.0", "MIT", "GPL-3.0-only", "GPL-3.0-or-later", "GPL-2.0-only", "GPL-2.0-or-later", "LGPL-3.0-only", "AGPL-3.0-only", "MPL-2.0", "BSD-3-Clause", "BSD-2-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "Unlicense")],
 ]
 
+#: Words of the templates that tell nothing by themselves.
+COMMON = frozenset("a all an and any are as at be by can code do either except for form forms free in is it june january november july legal met may not of or person persons sell so the this to use v whom with without work you your under source file http www org com only that".split())
+
+
+def telling_words(texts: list[tuple[str, str]]) -> list[str]:
+    """Words of the templates that mark a header line: letters, three at least, and not common."""
+    found = {w for _, text in texts for w in re.findall("[a-z0-9]+", text.lower())}
+    return sorted(w for w in found if len(w) > 2 and w.isalpha() and w not in COMMON)
+
+
+def header_line(texts: list[tuple[str, str]]) -> str:
+    """The pattern of a header line, the same in Java and in DuckDB."""
+    return f"(?i)(^|[^a-z0-9])({'|'.join(telling_words(texts))})([^a-z0-9]|$)"
+
 
 def terms(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^a-z0-9]+"), "")
@@ -61,29 +93,35 @@ def templates(spark: SparkSession, texts: list[tuple[str, str]] = TEMPLATES) ->
     return each.groupBy("template", "licence", "term").agg(F.count("*").alias("tf"))
 
 
-def _tagged(files: DataFrame, file_id: str, path: str, text: str) -> DataFrame:
-    """(row, id, path, units): the units to compare, a header line each, and the whole of a licence file."""
-    lines = F.filter(F.split(F.col("text"), "\n"), lambda x: x.rlike(NAMES_LICENCE))
+def _tagged(files: DataFrame, file_id: str, path: str, text: str, texts: list[tuple[str, str]]) -> DataFrame:
+    """(row, id, path, units): the units to compare, those of header lines, and the whole of a licence file."""
+    none = F.array().cast("array<string>")
     rows = files.select(F.monotonically_increasing_id().alias("row"), F.col(file_id).alias("id"), F.col(path).alias("path"), F.col(text).alias("text"))
-    named = rows.withColumn("lines", F.when(F.col("text").rlike(NAMES_LICENCE), lines).otherwise(F.array().cast("array<string>")))
+    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), x.rlike(header_line(texts)).alias("header")))
+    named = rows.withColumn("all", F.when(F.col("text").rlike(NAMES_LICENCE), lines).otherwise(F.array().cast("array<struct<line:string,header:boolean>>")))
+    named = named.withColumn("lines", F.transform(F.filter("all", lambda x: x["header"]), lambda x: x["line"]))
     count = lambda t: F.size(terms(t))
     held = F.aggregate("lines", F.lit(0), lambda n, x: n + count(x))
     is_file = F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False)) | ((F.size("lines") > 0) & (2 * held >= count(F.coalesce("text", F.lit("")))))
-    units = F.when(is_file, F.array_union("lines", F.array("text"))).otherwise(F.array_distinct("lines"))
-    return named.select("row", "id", "path", is_file.alias("is_file"), F.coalesce(units, F.array().cast("array<string>")).alias("units"))
+    sentences = F.flatten(F.transform("lines", lambda x: F.split(x, r"[.;](?: |$)")))
+    part = lambda i, k: F.slice("all", i, k)
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("all")), lambda i: F.transform(F.filter(F.sequence(F.lit(2), F.lit(RUN)), lambda k: (i + k - 1 <= F.size("all")) & F.forall(part(i, k), lambda x: x["header"])), lambda k: F.array_join(F.transform(part(i, k), lambda x: x["line"]), " "))))
+    units = F.when(F.size("lines") == 0, none).otherwise(F.array_distinct(F.concat("lines", sentences, F.when(F.size("lines") > 1, runs).otherwise(none))))
+    units = F.filter(F.when(is_file, F.array_union(units, F.array("text"))).otherwise(units), lambda x: count(x) > 0)
+    return named.select("row", "id", "path", is_file.alias("is_file"), F.coalesce(units, none).alias("units"))
 
 
 def scan(files: DataFrame, *, file_id: str = "doc_id", path: str = "path", text: str = "text", threshold: float = THRESHOLD, texts: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """One row per file: id, path, own licences and best score, licence, and the directory it comes from."""
     spark = files.sparkSession
-    tagged = checkpoint(_tagged(files, file_id, path, text))
+    tagged = checkpoint(_tagged(files, file_id, path, text, texts))
     units = tagged.where(F.size("units") > 0).select("row", F.posexplode("units").alias("unit", "text"))
-    counts = units.select("row", "unit", F.explode(terms(F.col("text"))).alias("term")).groupBy("row", "unit", "term").agg(F.count("*").alias("tf"))
+    counts = checkpoint(units.select("row", "unit", F.explode(terms(F.col("text"))).alias("term")).groupBy("row", "unit", "term").agg(F.count("*").alias("tf")))
     given = templates(spark, texts)
     vocabulary = given.select("term").distinct()
     n = F.lit(float(len(texts))) + F.lit(float(units.count()))
     seen = counts.join(F.broadcast(vocabulary), "term").groupBy("term").agg(F.count("*").alias("in_units"))
-    idf = vocabulary.join(seen, "term", "left").join(given.groupBy("term").agg(F.countDistinct("template").alias("in_templates")), "term").select("term", (F.log((n + 1) / (F.coalesce("in_units", F.lit(0)) + F.col("in_templates") + 1)) + 1).alias("idf"))
+    idf = checkpoint(vocabulary.join(seen, "term", "left").join(given.groupBy("term").agg(F.countDistinct("template").alias("in_templates")), "term").select("term", (F.log((n + 1) / (F.coalesce("in_units", F.lit(0)) + F.col("in_templates") + 1)) + 1).alias("idf")))
     unseen = F.log(n + 1) + 1
     # both tables have a row for each template term: their size is fixed by TEMPLATES
     weights = given.join(idf, "term").select("template", "licence", "term", (F.col("tf") * F.col("idf")).alias("w"))
@@ -91,11 +129,11 @@ def scan(files: DataFrame, *, file_id: str = "doc_id", path: str = "path", text:
     unit_weights = counts.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", unseen))
     unit_lengths = unit_weights.groupBy("row", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("unit_length"))
     table = weights.join(lengths, "template").select("template", "licence", "term", (F.col("w") / F.col("length")).alias("share"))
-    dots = unit_weights.join(F.broadcast(table), "term").groupBy("row", "unit", "template", "licence").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
+    dots = unit_weights.join(F.broadcast(table), "term").groupBy("row", "unit", "template", "licence").agg(F.sum(F.col("w") * F.col("share")).alias("dot"), F.count("*").alias("shared")).where("shared >= 2")
     scored = dots.join(unit_lengths, ["row", "unit"]).select("row", "unit", "licence", F.round(F.col("dot") / F.col("unit_length"), 6).alias("score")).where(F.col("score") >= threshold)
     best_of_unit = scored.groupBy("row", "unit").agg(F.min(F.struct((-F.col("score")).alias("loss"), "licence")).alias("b"))
     own = best_of_unit.groupBy("row").agg(F.array_join(F.array_sort(F.collect_set("b.licence")), ",").alias("own_licences"), F.min("b").alias("b")).select(F.col("row").alias("own_row"), "own_licences", F.col("b.licence").alias("own_licence"), (-F.col("b.loss")).alias("score"))
-    joined = tagged.select("row", "id", "path", "is_file").join(own, F.col("row") == F.col("own_row"), "left")
+    joined = checkpoint(tagged.select("row", "id", "path", "is_file").join(own, F.col("row") == F.col("own_row"), "left"))
     held = joined.where("is_file and own_licence is not null and path is not null")
     folder = F.when(F.locate("/", F.col("path")) > 0, F.regexp_replace("path", r"/[^/]*$", "")).otherwise(F.lit(""))
     folders = held.select(folder.alias("folder"), "score", "own_licence").groupBy("folder").agg(F.min(F.struct((-F.col("score")).alias("loss"), F.col("own_licence").alias("licence"))).alias("f")).select("folder", F.col("f.licence").alias("folder_licence"))
@@ -110,6 +148,6 @@ def scan(files: DataFrame, *, file_id: str = "doc_id", path: str = "path", text:
 
 
 def licence_report(docs: DataFrame) -> DataFrame:
-    """The documents as files of a tree: their source is the top folder, with a folder for every hundred ids."""
+    """The documents as files of a made-up tree, as they have no paths: their source is the top folder, with a folder for every hundred ids."""
     path = F.concat_ws("/", F.col("source"), F.expr("cast(doc_id div 100 as string)"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     return scan(docs.select("doc_id", path.alias("path"), "text"))

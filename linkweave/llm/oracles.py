@@ -6,7 +6,8 @@ against brute force, the library's own output or held-out accuracy in tests/llm.
 
 from __future__ import annotations
 
-from linkweave.llm.license_scan import LICENCE_FILE, NAMES_LICENCE, TEMPLATES, THRESHOLD
+from linkweave.llm.license_scan import LICENCE_FILE, NAMES_LICENCE, TEMPLATES, THRESHOLD, header_line
+from linkweave.llm.license_scan import RUN as HEADERS
 from linkweave.llm.line_dedup import RUN, STRETCH, UNSPACED
 from linkweave.llm.url_filters import RULES
 
@@ -143,9 +144,15 @@ WITH tp(template, licence, txt) AS (VALUES {_TEMPLATE_ROWS}),
 tt AS (SELECT template, licence, unnest({_terms("txt")}) AS term FROM tp),
 given AS (SELECT template, licence, term, count(*) AS tf FROM tt GROUP BY ALL),
 d AS (SELECT row_number() OVER () AS rid, doc_id, concat_ws('/', source, CAST(doc_id // 100 AS VARCHAR), CAST(doc_id AS VARCHAR) || '.txt') AS path, text FROM documents),
-h AS (SELECT rid, doc_id, path, text, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{NAMES_LICENCE}')) AS ls FROM d),
+ha AS (SELECT rid, doc_id, path, text, CASE WHEN regexp_matches(text, '{NAMES_LICENCE}') THEN string_split(text, chr(10)) ELSE [] END AS al FROM d),
+h AS (SELECT *, list_transform(al, lambda x: regexp_matches(x, '{header_line(TEMPLATES)}')) AS hd, list_filter(al, lambda x: regexp_matches(x, '{header_line(TEMPLATES)}')) AS ls FROM ha),
 k AS (SELECT *, regexp_matches(path, '{LICENCE_FILE}') OR (len(ls) > 0 AND 2 * len({_terms("array_to_string(ls, ' ')")}) >= len({_terms("coalesce(text, '')")})) AS is_file FROM h),
-us AS (SELECT rid, unnest(CASE WHEN is_file THEN list_distinct(list_append(ls, text)) ELSE list_distinct(ls) END) AS unit FROM k),
+ka AS (SELECT rid, al, hd, unnest(range(1, len(al) + 1)) AS i FROM k),
+us AS (SELECT DISTINCT rid, unit FROM (
+  SELECT rid, unnest(ls) AS unit FROM k
+  UNION ALL SELECT rid, unnest(string_split_regex(line, '[.;](?: |$)')) FROM (SELECT rid, unnest(ls) AS line FROM k)
+  UNION ALL SELECT rid, array_to_string(al[i:i + n - 1], ' ') FROM ka, range(2, {HEADERS + 1}) r(n) WHERE i + n - 1 <= len(al) AND NOT list_contains(hd[i:i + n - 1], false)
+  UNION ALL SELECT rid, text FROM k WHERE is_file AND text IS NOT NULL) WHERE len({_terms("unit")}) > 0),
 un AS (SELECT row_number() OVER () AS uid, rid, unit FROM us),
 te AS (SELECT uid, rid, unnest({_terms("unit")}) AS term FROM un),
 counts AS (SELECT uid, rid, term, count(*) AS tf FROM te GROUP BY ALL),
@@ -156,7 +163,7 @@ wt AS (SELECT template, licence, term, tf * idf AS w FROM given JOIN idf USING (
 ln1 AS (SELECT template, sqrt(sum(w * w)) AS length FROM wt GROUP BY template),
 uw AS (SELECT uid, rid, term, tf * coalesce(idf, (SELECT ln(n + 1) + 1 FROM n)) AS w FROM counts LEFT JOIN idf USING (term)),
 ul AS (SELECT uid, sqrt(sum(w * w)) AS unit_length FROM uw GROUP BY uid),
-dots AS (SELECT uid, rid, licence, template, sum(uw.w * wt.w / length) AS dot FROM uw JOIN wt USING (term) JOIN ln1 USING (template) GROUP BY ALL),
+dots AS (SELECT uid, rid, licence, template, sum(uw.w * wt.w / length) AS dot FROM uw JOIN wt USING (term) JOIN ln1 USING (template) GROUP BY ALL HAVING count(*) >= 2),
 sc AS (SELECT uid, rid, licence, round(dot / unit_length, 6) AS score FROM dots JOIN ul USING (uid)),
 bu AS (SELECT rid, licence, score, row_number() OVER (PARTITION BY uid ORDER BY score DESC, licence) AS n FROM sc WHERE score >= {THRESHOLD}),
 own AS (SELECT rid, string_agg(DISTINCT licence, ',' ORDER BY licence) AS own_licences, max(score) AS score, arg_min(licence, struct_pack(a := -score, b := licence)) AS own_licence FROM bu WHERE n = 1 GROUP BY rid),

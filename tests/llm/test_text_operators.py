@@ -457,6 +457,42 @@ def test_license_scan(spark):
     assert license_scan.scan(frame.limit(0)).count() == 0
 
 
+MIT_FILE = """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY."""
+
+
+def test_license_notices_as_they_are_written(spark):
+    code = "\n" + "\n".join(f"value_{n} = compute({n})" for n in range(30))
+    wrapped = "/*\n * This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation; either version {} of the License, or\n * (at your option) any later version.\n */"
+    texts = {
+        "GPL-2.0-or-later": wrapped.format(2) + code,
+        "GPL-3.0-or-later": wrapped.format(3) + code,
+        "MIT": MIT_FILE,
+        "Apache-2.0": "// SPDX-License-Identifier: Apache-2.0" + code,
+        "LicenseRef-Proprietary": "# Copyright 2020 Foo Inc. All rights reserved." + code,
+        "BSD-3-Clause": "# Use of this source code is governed as follows.\n# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:" + code,
+    }
+    plain = ["we met under the general terms of the old software house" + code, "the public was free to copy", "A licensed driver with public rights to copy" + code, "Mit. Das Werk ist, as is, gut.\nMit"]
+    rows = [(n, f"r{n}/a.c", t) for n, t in enumerate([*texts.values(), *plain])]
+    got = {r["doc_id"]: r["licence"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert list(got[n] for n in range(len(texts))) == list(texts)
+    assert all(got[n] is None for n in range(len(texts), len(rows)))
+
+
 # preferences
 
 
