@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -30,8 +31,10 @@ from pyspark.sql import functions as F
 
 MARK = "\u2581"
 #: Parts and pair tests that one Python worker remembers at most, and the longest part kept.
-MEMO, PAIRS, LONGEST = 250_000, 1_000_000, 64
+MEMO, PAIRS, LONGEST = 120_000, 500_000, 64
 _UNKNOWN = 1 << 20
+#: Rows of an Arrow batch that are Python objects at a time.
+SLICE = 512
 
 
 class Vocabulary:
@@ -62,9 +65,7 @@ class Codec:
         for piece, i in self.ids.items():
             self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
-        self.pairs: dict[int, bool] = {}
-        self.marked: list[dict] = [{}, {}]
-        self.bare: list[dict] = [{}, {}]
+        self.forget()
         self.byte_ids = set(vocabulary.bytes.values())
         self.digits = [str(i) for i in range(len(vocabulary.pieces))]
         # what an id stands for wherever it is; the ids that are left out depend on their neighbours or vanish
@@ -77,6 +78,12 @@ class Codec:
         self.cuts_lines = not any("\n" in p for p in self.ids)
         self.newline = self._entry("\n") if self.cuts_lines else None
 
+    def forget(self) -> None:
+        """Empty the memo, so that a worker which goes on to other work doesn't hold it."""
+        self.pairs: dict[int, bool] = {}
+        self.marked: list[dict] = [{}, {}]
+        self.bare: list[dict] = [{}, {}]
+
     def merged(self, text: str) -> list[str]:
         """Merge characters, the best score first and from the left: what the table must reproduce."""
         parts, ids, scores = list(text), self.ids, self.v.scores
@@ -136,11 +143,10 @@ class Codec:
                 at -= self.lengths[token]
         return out[::-1]
 
-    def _entry(self, part: str) -> tuple[str, tuple[int, ...]]:
-        ids, digits = self.encode_part(part), self.digits
-        return ",".join([digits[i] for i in ids]), tuple(ids)
+    def _entry(self, part: str) -> tuple[int, ...]:
+        return tuple(self.encode_part(part))
 
-    def _miss(self, memo: list[dict], key: str, part: str) -> tuple[str, tuple[int, ...]]:
+    def _miss(self, memo: list[dict], key: str, part: str) -> tuple[int, ...]:
         entry = memo[1].get(key)
         if entry is None:
             entry = self._without_tail(memo, key, part) or self._entry(part)
@@ -151,7 +157,7 @@ class Codec:
             memo[0][key] = entry
         return entry
 
-    def _without_tail(self, memo: list[dict], key: str, part: str) -> tuple[str, tuple[int, ...]] | None:
+    def _without_tail(self, memo: list[dict], key: str, part: str) -> tuple[int, ...] | None:
         """A part that ends in punctuation, from the entries of both halves where no piece spans the cut."""
         if not key or key[-1].isalnum():
             return None
@@ -162,10 +168,10 @@ class Codec:
             return None
         head = memo[0].get(key[:at]) or self._miss(memo, key[:at], part[: at - len(key)])
         tail = self.bare[0].get(key[at:]) or self._miss(self.bare, key[at:], key[at:])
-        return head[0] + "," + tail[0], head[1] + tail[1]
+        return head + tail
 
-    def parts(self, text: str) -> list[tuple[str, tuple[int, ...]]]:
-        """Entries (ids as text, ids) whose concatenation encodes ``text``."""
+    def parts(self, text: str) -> list[tuple[int, ...]]:
+        """The ids of the parts of ``text``, one part after the other."""
         if not text:
             return []
         if not self.cuts_blanks:
@@ -206,7 +212,7 @@ class Codec:
         return out
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for part in self.parts(text or "") for i in part[1]]
+        return list(chain.from_iterable(self.parts(text or "")))
 
     def decode(self, ids: list[int]) -> str:
         """Pieces joined, bytes put together, blank marks as blanks, less the blank that encoding adds.
@@ -256,7 +262,7 @@ _CODECS: dict[str, Codec] = {}
 
 
 def _codec(shared: object) -> Codec:
-    """One codec per Python worker and vocabulary, so that its memo serves every batch."""
+    """One codec per Python worker and vocabulary; its memo serves every batch of a task."""
     key = shared.value.digest
     if key not in _CODECS:
         _CODECS.clear()
@@ -277,22 +283,25 @@ def encode(docs: DataFrame, model_file: str, *, text: str = "text", into: str =
 
     @F.arrow_udf(kind)
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec, sha = _codec(shared), hashlib.sha256
+        codec = _codec(shared)
         for column in columns:
-            counts, first, second, flat, ends = [], [], [], [], [0]
-            for value in column:
-                parts = codec.parts(value.as_py() or "")
-                ids = [i for p in parts for i in p[1]]
-                counts.append(len(ids))
-                first.append(sha(",".join([p[0] for p in parts]).encode()).hexdigest())
-                second.append(sha(codec.decode(ids).encode()).hexdigest())
-                if with_ids:
-                    flat.append(np.array(ids, dtype=np.int32))
-                    ends.append(ends[-1] + counts[-1])
-            arrays = [pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())]
+            yield pa.concat_arrays([some(codec, column[at : at + SLICE]) for at in range(0, max(1, len(column)), SLICE)])
+        codec.forget()
+        pa.default_memory_pool().release_unused()
+
+    def some(codec: Codec, column: pa.Array) -> pa.Array:
+        counts, first, second, flat, sha = [], [], [], [np.zeros(0, np.int32)], hashlib.sha256
+        for value in column:
+            ids = codec.encode(value.as_py())
+            counts.append(len(ids))
+            first.append(sha(",".join(map(codec.digits.__getitem__, ids)).encode()).hexdigest())
+            second.append(sha(codec.decode(ids).encode()).hexdigest())
             if with_ids:
-                arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32))))
-            yield pa.StructArray.from_arrays(arrays, fields=[pa.field(n, t) for n, t in fields])
+                flat.append(np.array(ids, dtype=np.int32))
+        arrays = [pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())]
+        if with_ids:
+            arrays.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), pa.array(np.concatenate(flat))))
+        return pa.StructArray.from_arrays(arrays, fields=[pa.field(n, t) for n, t in fields])
 
     return docs.withColumn(into, run(F.col(text)))
 
