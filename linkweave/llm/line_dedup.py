@@ -142,6 +142,8 @@ def cut_units(text: str, units: list[tuple[list[str], bool]], gone: set[int]) ->
     return "".join([*kept, text[before:]]), spans
 
 
+#: Rows of an Arrow batch that are Python objects at a time.
+SLICE = 512
 _RUN = pa.struct([("position", pa.int32()), ("digest", pa.int64()), ("more", pa.int32())])
 _RUN_SQL = "array<struct<position:int,digest:bigint,more:int>>"
 
@@ -152,15 +154,19 @@ def _runs_of(unit: str, min_words: int):
     @F.arrow_udf(_RUN_SQL)
     def runs(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
-            ends, position, digest, more = [0], [], [], []
-            for value in column:
-                for start, _, d in unit_runs(text_units(value.as_py() or "", unit), min_words):
-                    position.append(start)
-                    digest.append(d & 0xFFFFFFFFFFFFFFFF)
-                    more.append(d >> 64 & 0x7FFFFFFF)
-                ends.append(len(position))
-            fields = [pa.array(position, pa.int32()), pa.array(np.array(digest, np.uint64).view(np.int64)), pa.array(more, pa.int32())]
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(_RUN)))
+            yield pa.concat_arrays([some_runs(column[at : at + SLICE]) for at in range(0, max(1, len(column)), SLICE)])
+        pa.default_memory_pool().release_unused()
+
+    def some_runs(column: pa.Array) -> pa.Array:
+        ends, position, digest, more = [0], [], [], []
+        for value in column:
+            for start, _, d in unit_runs(text_units(value.as_py() or "", unit), min_words):
+                position.append(start)
+                digest.append(d & 0xFFFFFFFFFFFFFFFF)
+                more.append(d >> 64 & 0x7FFFFFFF)
+            ends.append(len(position))
+        fields = [pa.array(position, pa.int32()), pa.array(np.array(digest, np.uint64).view(np.int64)), pa.array(more, pa.int32())]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(_RUN)))
 
     return runs
 
@@ -187,17 +193,21 @@ def _cut_of(unit: str, min_words: int):
     @F.arrow_udf(f"struct<text:string,n:bigint,spans:{_REMOVED}>")
     def cut(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for values, positions in columns:
-            out = []
-            for value, found in zip(values, positions, strict=True):
-                whole, starts = value.as_py(), set(found.as_py() or [])
-                if not whole or not starts:
-                    out.append((whole, 0, []))
-                    continue
-                units = list(text_units(whole, unit))
-                gone = units_inside(units, starts, min_words)
-                rest, spans = cut_units(whole, units, gone)
-                out.append((rest, len(gone), [{"start": a, "stop": b} for a, b in spans]))
-            yield pa.array([{"text": t, "n": n, "spans": s} for t, n, s in out], kind)
+            yield pa.concat_arrays([some_cuts(values[at : at + SLICE], positions[at : at + SLICE]) for at in range(0, max(1, len(values)), SLICE)])
+        pa.default_memory_pool().release_unused()
+
+    def some_cuts(values: pa.Array, positions: pa.Array) -> pa.Array:
+        out = []
+        for value, found in zip(values, positions, strict=True):
+            whole, starts = value.as_py(), set(found.as_py() or [])
+            if not whole or not starts:
+                out.append({"text": whole, "n": 0, "spans": []})
+                continue
+            units = list(text_units(whole, unit))
+            gone = units_inside(units, starts, min_words)
+            rest, spans = cut_units(whole, units, gone)
+            out.append({"text": rest, "n": len(gone), "spans": [{"start": a, "stop": b} for a, b in spans]})
+        return pa.array(out, kind)
 
     return cut
 
