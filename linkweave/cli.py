@@ -16,6 +16,7 @@ from linkweave.schemas import CONSERVATIVE, FAN_OUT_CAP, GRAPH_EVIDENCE, GRAPH_I
 from linkweave.serve import server
 from linkweave.sources import landed
 from linkweave.sources.store import Store
+from linkweave.sources.writers import write_json
 
 
 def parser() -> argparse.ArgumentParser:
@@ -29,6 +30,7 @@ def parser() -> argparse.ArgumentParser:
             sub.add_argument(*option[:-1], **option[-1])
 
     run, out = ("--run-id", {}), ("--out", {})
+    tables = ("--tables", {"help": "folder for whole tables as JSON lines"})
     policy = [("--min-evidence", {"type": int, "default": 1}), ("--fan-out-cap", {"type": int, "default": FAN_OUT_CAP}), ("--conservative", {"action": "store_true"})]
     add("ingest", ("--addresses", {}), ("--transfers", {}), ("--ens", {}), ("--safe-owners", {}), ("--did-documents", {}))
     add("link", *policy, ("--denylist", {}), ("--chain", {"default": "mainnet"}), ("--window-start", {"type": int, "default": 0}), ("--window-end", {"type": int, "default": 0}), ("--stable", {"type": float, "default": STABLE}), ("--related", {"type": float, "default": RELATED}))
@@ -40,10 +42,10 @@ def parser() -> argparse.ArgumentParser:
     add("export-graph", run, out, ("--mode", {"choices": ["evidence", "pairwise"], "default": "evidence"}), ("--max-identifiers", {"type": int, "default": GRAPH_IDENTIFIERS}), ("--max-evidence", {"type": int, "default": GRAPH_EVIDENCE}), ("--params", {}))
     add("score-pairs", out, ("--params", {}), ("--limit", {"type": int, "default": 5000}))
     add("cohort", *policy, out, ("governance", {}), ("control", {}), ("transfers", {}), ("--window-start", {"type": int, "required": True}), ("--window-end", {"type": int, "required": True}), ("--per-cohort", {"type": int, "default": 500}), ("--denylist", {}), ("--snapshot", {}))
-    add("eval", ("gold", {}), ("--modes", {"default": "all"}), ("--min-evidence", {"type": int, "default": 2}), ("--params", {}))
-    add("audit")
-    add("pair-baseline", ("--gold", {}))
-    add("cluster-features", run)
+    add("eval", tables, ("gold", {}), ("--modes", {"default": "all"}), ("--min-evidence", {"type": int, "default": 2}), ("--params", {}))
+    add("audit", tables)
+    add("pair-baseline", tables, ("--gold", {}))
+    add("cluster-features", run, tables)
     add("serve", ("--host", {"default": "127.0.0.1"}), ("--port", {"type": int, "default": 8080}))
     return top
 
@@ -53,8 +55,17 @@ def _policy(a: argparse.Namespace) -> MergePolicy:
     return MergePolicy(conservative=base.conservative, fan_out_cap=a.fan_out_cap, funded_fan_out_cap=a.fan_out_cap)
 
 
-def _rows(df: DataFrame, limit: int = 1000) -> list[dict]:
-    return [r.asDict(recursive=True) for r in df.limit(limit).collect()]
+def _rows(df: DataFrame) -> list[dict]:
+    return [r.asDict(recursive=True) for r in df.toLocalIterator()]
+
+
+def _tables(found: dict[str, DataFrame], folder: str | None) -> dict[str, object]:
+    """Every row of each table: as JSON lines in ``folder``, written by the executors, or printed."""
+    if not folder:
+        return {k: _rows(v) for k, v in found.items()}
+    for name, df in found.items():
+        write_json(df, f"{folder}/{name}")
+    return {k: f"{folder}/{k}" for k in found}
 
 
 def _one(store: Store, table: str, **values: object) -> dict:
@@ -95,7 +106,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
             if a.out:
                 pipelines.record_export(store, json.loads(said)["run"]["run_id"], a.out, said)
         case "score-pairs":
-            said = _rows(pipelines.score_pairs(store, params=params(), limit=a.limit), a.limit)
+            said = _rows(pipelines.score_pairs(store, params=params(), limit=a.limit))
         case "cohort":
             seeds = [landed.read_seeds(spark, p, r) for p, r in ((a.governance, "governance"), (a.control, "control"))]
             snapshot = landed.read_snapshot_hash(spark, a.snapshot) if a.snapshot else ""
@@ -104,13 +115,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
                 write_text(f"{a.out}.md", pipelines.render_cohort(summary))
             said = dump(summary)
         case "eval":
-            said = {k: _rows(v) for k, v in pipelines.evaluate(store, landed.read_gold(spark, a.gold), a.modes, min_evidence=a.min_evidence, params=params()).items()}
+            said = _tables(pipelines.evaluate(store, landed.read_gold(spark, a.gold), a.modes, min_evidence=a.min_evidence, params=params()), a.tables)
         case "audit":
-            said = {k: _rows(v) for k, v in pipelines.evidence_audit(store).items()}
+            said = _tables(pipelines.evidence_audit(store), a.tables)
         case "pair-baseline":
-            said = {k: _rows(v) for k, v in pipelines.pair_baseline(store, gold=landed.read_flexible_gold(spark, a.gold) if a.gold else None).items()}
+            said = _tables(pipelines.pair_baseline(store, gold=landed.read_flexible_gold(spark, a.gold) if a.gold else None), a.tables)
         case "cluster-features":
-            said = _rows(pipelines.cluster_features(store, a.run_id))
+            found = pipelines.cluster_features(store, a.run_id)
+            said = _tables({"cluster_features": found}, a.tables) if a.tables else _rows(found)
         case "serve":
             server(store, a.host, a.port).serve_forever()
             said = ""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from linkweave.operators.baseline import ALSO_CONTROL, CAVEATS, HUB_NOTE, RANKINGS
 from linkweave.plans.fixture import FIXTURES
 from linkweave.schemas import EXCHANGES, SUPPRESSED_FUNDERS
 
@@ -140,6 +141,8 @@ CTES |= {
   string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, coalesce(string_agg(DISTINCT kind, ',' ORDER BY kind) FILTER (kind IN ('funded_by', 'safe_owner')), '') AS directed_kinds, max(hi) - min(lo) AS block_span FROM bpr GROUP BY ALL""",
     "br": f"""SELECT *, CASE WHEN identity_count > 0 THEN 'identity_claim_candidate' WHEN safe_owner_count > 0 THEN 'control_link_candidate' ELSE 'related_only' END AS recommendation,
   {_BURST.format(s='block_span')} AS temporal_pattern FROM bf""",
+    "bs": """SELECT address_a, address_b, round(least(1.0, least(0.55, 0.14 * funded_by_count) * hub_penalty + least(0.35, 0.12 * safe_owner_count) * hub_penalty + least(0.3, 0.1 * identity_count) * hub_penalty), 4) AS related_score,
+  round(least(0.9, 0.22 * safe_owner_count) * hub_penalty, 4) AS control_score, CAST(0 AS DOUBLE) AS did_score FROM bf""",
     "zp": """SELECT a.address AS address_a, b.address AS address_b FROM subj a JOIN subj b ON a.address < b.address
   WHERE NOT EXISTS (SELECT 1 FROM bf WHERE bf.address_a = a.address AND bf.address_b = b.address)""",
     "zn": "SELECT count(*) AS z FROM zp",
@@ -205,6 +208,8 @@ _MODES = {
     "safe_owner_only": "'safe_owner'",
     "did_controller_only": "'did_controller'",
     "funded_by_only": "'funded_by'",
+    "ens_handle_only": "'ens_handle'",
+    "safe_owner_and_funded_by": "'safe_owner', 'funded_by'",
     "without_ens": "'funded_by', 'safe_owner', 'did_controller'",
 }
 for _mode, _kinds in _MODES.items():
@@ -290,7 +295,7 @@ _SELECTS: dict[str, str] = {
     "ablation_counts": """SELECT mode, kind, count(*) AS n FROM ev JOIN (VALUES ('all_evidence', ['funded_by', 'safe_owner', 'ens_handle', 'did_controller']), ('safe_owner_only', ['safe_owner']), ('did_controller_only', ['did_controller']), ('funded_by_only', ['funded_by']),
   ('ens_handle_only', ['ens_handle']), ('safe_owner_and_funded_by', ['safe_owner', 'funded_by']), ('without_ens', ['funded_by', 'safe_owner', 'did_controller'])) m(mode, kinds) ON list_contains(kinds, kind) GROUP BY ALL""",
     "eval_confusion": _confusion("all_evidence"),
-    "eval_ablations": " UNION ALL ".join(_confusion(m) for m in ("safe_owner_only", "did_controller_only", "funded_by_only", "without_ens")),
+    "eval_ablations": " UNION ALL ".join(_confusion(m) for m in _MODES),
     "eval_counts": "SELECT 'all_evidence' AS mode, (SELECT count(DISTINCT cluster_id) FROM gm_all_evidence_cl) AS cluster_count, (SELECT count(*) FROM (SELECT kind, key FROM ge_all_evidence GROUP BY ALL HAVING count(*) > 50)) AS skipped_keys",
     "precision_at_k": """SELECT k, round(hits / k, 6) AS precision FROM (SELECT row_number() OVER w AS k, sum((label = 'same_control')::INT) OVER w AS hits FROM gj_all_evidence WHERE label <> 'uncertain'
   WINDOW w AS (ORDER BY round(score, 6) DESC, address_a, address_b ROWS UNBOUNDED PRECEDING)) WHERE k IN (1, 2, 5, 10, 20, 50, 100)""",
@@ -318,11 +323,15 @@ _SELECTS: dict[str, str] = {
     "fetch_cap_hits": """SELECT count(*) FILTER (r >= 12) AS row_cap_hits, CAST(0 AS BIGINT) AS page_cap_hits, count(*) FILTER (p >= 6) AS peer_cap_hits, count(*) FILTER (r >= 12 OR p >= 6) / count(*) > 0.2 AS bias_risk
   FROM (SELECT seed, count(*) AS r, count(DISTINCT peer) AS p FROM bqa GROUP BY seed)""",
     "baseline_pair_features": "SELECT * FROM bf",
-    "baseline_scores": """SELECT address_a, address_b, round(least(1.0, least(0.55, 0.14 * funded_by_count) * hub_penalty + least(0.35, 0.12 * safe_owner_count) * hub_penalty + least(0.3, 0.1 * identity_count) * hub_penalty), 4) AS related_score,
-  round(least(0.9, 0.22 * safe_owner_count) * hub_penalty, 4) AS control_score, CAST(0 AS DOUBLE) AS did_score FROM bf""",
+    "baseline_scores": "SELECT * FROM bs",
     "baseline_recommendation": """SELECT address_a, address_b, recommendation, CASE WHEN recommendation = 'related_only' THEN 'weak' WHEN hub_penalty >= 0.5 THEN 'medium' ELSE 'medium_low' END AS confidence,
   CASE WHEN recommendation = 'identity_claim_candidate' AND safe_owner_count > 0 THEN 'control_link_candidate' ELSE '' END AS secondary_signals, hub_penalty < 0.75 AS hub_note, temporal_pattern FROM br
   UNION ALL SELECT address_a, address_b, 'insufficient_evidence', 'none', '', FALSE, 'unknown' FROM zp""",
+    "baseline_rankings": " UNION ALL ".join(f"""SELECT '{name}' AS ranking, row_number() OVER (ORDER BY {order}, address_a, address_b) AS place, address_a, address_b
+  FROM (SELECT br.*, related_score, control_score, 0.0 AS did_score FROM br JOIN bs USING (address_a, address_b)) WHERE {taken} QUALIFY place <= 20""" for name, (taken, order) in RANKINGS.items()),
+    "baseline_caveats": f"""SELECT recommendation, secondary, text || CASE WHEN secondary <> '' THEN '{ALSO_CONTROL}' ELSE '' END || CASE WHEN hub THEN '{HUB_NOTE.replace("=%.3f", "")}' ELSE '' END AS caveat, count(*) AS n FROM
+  (SELECT recommendation, hub_penalty < 0.75 AS hub, CASE WHEN recommendation = 'identity_claim_candidate' AND safe_owner_count > 0 THEN 'control_link_candidate' ELSE '' END AS secondary FROM br)
+  JOIN (VALUES {", ".join(f"('{k}', '{v}')" for k, v in CAVEATS.items())}) v(recommendation, text) USING (recommendation) GROUP BY ALL""".replace("secondary,", "secondary AS secondary_signals,", 1),
     "baseline_zero_pairs": "SELECT address_a, address_b, CAST(1.0 AS DOUBLE) AS hub_penalty, CAST(0 AS BIGINT) AS evidence_total FROM zp",
     "baseline_diagnostics": """SELECT count(*) + (SELECT z FROM zn) AS pair_count, (SELECT z FROM zn) AS pairs_with_no_evidence, count(*) FILTER (funded_by_count > 0) AS pairs_with_funded_by, count(*) FILTER (funded_by_count > 0 AND safe_owner_count = 0 AND identity_count = 0) AS pairs_with_funded_by_only,
   count(*) FILTER (safe_owner_count > 0) AS pairs_with_safe_owner, count(*) FILTER (identity_count > 0) AS pairs_with_identity, CAST(0 AS BIGINT) AS pairs_with_verified, (SELECT z FROM zn) AS insufficient_without_evidence, CAST(0 AS BIGINT) AS insufficient_with_evidence,

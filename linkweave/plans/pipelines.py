@@ -143,7 +143,7 @@ def pair_baseline(store: Store, addresses: DataFrame | None = None, gold: DataFr
     """All C(n,2) pairs of ``addresses``, by default those of the store, and found pairs of others."""
     addresses = store.read("addresses") if addresses is None else addresses
     rows = checkpoint(baseline.pair_baseline(store.read("evidence"), addresses))
-    out = {"pairs": rows, "diagnostics": baseline.diagnostics(rows), "hub_quantiles": baseline.hub_quantiles(rows)}
+    out = {"pairs": rows, "diagnostics": baseline.diagnostics(rows), "hub_quantiles": baseline.hub_quantiles(rows), "rankings": baseline.rankings(rows)}
     return out if gold is None else out | {"gold": baseline.gold_matrix(rows, gold)}
 
 

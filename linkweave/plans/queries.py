@@ -421,7 +421,7 @@ def eval_confusion(i: Inputs) -> DataFrame:
 @query
 def eval_ablations(i: Inputs) -> DataFrame:
     gold = checkpoint(i.gold)
-    modes = ["safe_owner_only", "did_controller_only", "funded_by_only", "without_ens"]
+    modes = ["all_evidence", "safe_owner_only", "did_controller_only", "funded_by_only", "ens_handle_only", "safe_owner_and_funded_by", "without_ens"]
     return evaluation.evaluate(gold, i.evidence, modes)["confusion"]
 
 
@@ -562,6 +562,16 @@ def baseline_recommendation(i: Inputs) -> DataFrame:
     return rows.select("address_a", "address_b", "recommendation", "confidence", "secondary_signals", "hub_note", "temporal_pattern")
 
 
+@query
+def baseline_rankings(i: Inputs) -> DataFrame:
+    return baseline.rankings(_baseline(i))
+
+
+@query
+def baseline_caveats(i: Inputs) -> DataFrame:
+    return _baseline(i).groupBy("recommendation", "secondary_signals", F.regexp_replace("caveat", r"=\d\.\d+", "").alias("caveat")).agg(F.count("*").alias("n"))
+
+
 @query
 def baseline_zero_pairs(i: Inputs) -> DataFrame:
     return baseline.zero_pairs(i.subjects, baseline.pair_features(i.evidence)).select("address_a", "address_b", "hub_penalty", "evidence_total")

@@ -73,6 +73,9 @@ def test_command_line(spark, tmp_path):
     assert json.loads(run("eval", str(gold), "--modes", "all,funded_by_only", "--min-evidence", "1"))["counts"]
     assert json.loads(run("audit"))["kinds"]
     assert json.loads(run("pair-baseline", "--gold", str(gold)))["gold"][0]["recommendation"] == "control_link_candidate"
+    where = json.loads(run("pair-baseline", "--tables", f"{gold}-tables"))
+    assert set(where) == {"pairs", "diagnostics", "hub_quantiles", "rankings"}
+    assert {r["ranking"] for r in spark.read.json(where["rankings"]).collect()} >= {"top"}
     assert json.loads(run("cluster-features"))[0]["tier"] == "candidate_medium"
     with pytest.raises(Exception, match="not an address"):
         run("add-ens-record", "0x12")
