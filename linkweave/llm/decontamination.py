@@ -10,6 +10,8 @@ Defined cases: null or wordless texts have no words and no hits; a null item tex
 windows; a null item id still hits but is not counted or listed as an item; repeated items
 and repeated documents behave as one item and as separate rows; an empty benchmark leaves
 every document clean; columns of the documents are kept and never read but for the text.
+A text of over 4 MB is scanned in overlapping slices, so it takes memory for its bytes and not
+for all its words at once.
 """
 
 from __future__ import annotations
@@ -25,15 +27,18 @@ from linkweave.llm.arrow_text import LOWER, LOWER_BYTES, blocks
 from linkweave.runtime import checkpoint
 
 #: Bytes of benchmark text that one broadcast block holds on average at most; an index of it takes
-#: about a hundred times as much memory in a worker.
-BLOCK_BYTES = 1 << 20
+#: some eight times as much memory in a worker.
+BLOCK_BYTES = 1 << 24
+
+#: A longer text is scanned in slices of about this many bytes.
+_SLICE = 1 << 22
 
 _WORD = np.zeros(256, dtype=bool)
 _WORD[48:58] = _WORD[97:123] = True
 _WORD[128:] = True
 _BASE, _STEP = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_MASK_BITS = 20
+_NOTHING = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
 
 HIT_TYPE = "struct<n_words:bigint,covered:array<struct<first:bigint,stop:bigint>>,items:array<string>,spans:array<struct<start:bigint,stop:bigint>>>"
 
@@ -86,81 +91,159 @@ def _windows(hashes: np.ndarray, size: int) -> np.ndarray:
     return out * _BASE
 
 
+def _slices(low: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Cuts of one text at about ``_SLICE`` bytes each, never inside a word."""
+    start = 0
+    while start < len(low):
+        stop = min(len(low), start + _SLICE)
+        while stop < len(low) and _WORD[low[stop]]:
+            gap = np.flatnonzero(~_WORD[low[stop : stop + 4096]])
+            stop = min(len(low), stop + (int(gap[0]) if len(gap) else 4096))
+        yield start, stop
+        start = stop
+
+
+def _merged(runs: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Runs (first word, end word, start, end) with those that meet joined."""
+    out: list[tuple[int, int, int, int]] = []
+    for run in sorted(runs):
+        if out and run[0] <= out[-1][1]:
+            if run[1] > out[-1][1]:
+                out[-1] = (out[-1][0], run[1], out[-1][2], run[3])
+        else:
+            out.append(run)
+    return out
+
+
+class _Windows:
+    """Distinct windows of one size, sorted by hash: where their words stand, and whose they are."""
+
+    def __init__(self, hashes: np.ndarray, at: np.ndarray, stop: np.ndarray, items: np.ndarray, words: bytes) -> None:
+        order = np.argsort(hashes, kind="stable")
+        hashes, at, stop, items = hashes[order], at[order], stop[order], items[order]
+        head = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+        count = np.diff(np.append(head, len(hashes)))
+        lone = head[count == 1]
+        rows_at, rows_hash, owners, owned = [at[lone]], [hashes[lone]], [items[lone]], [np.ones(len(lone), np.int64)]
+        for first, n in zip(head[count > 1].tolist(), count[count > 1].tolist(), strict=True):
+            same: dict[bytes, tuple[int, set[int]]] = {}
+            for j in range(first, first + n):
+                same.setdefault(words[at[j] : stop[j]], (int(at[j]), set()))[1].add(int(items[j]))
+            for where, own in same.values():
+                rows_at.append(np.array([where], at.dtype))
+                rows_hash.append(hashes[first : first + 1])
+                owners.append(np.array(sorted(own), items.dtype))
+                owned.append(np.array([len(own)]))
+        self.hashes, self.at, owned = np.concatenate(rows_hash), np.concatenate(rows_at), np.concatenate(owned)
+        self.owners, begin = np.concatenate(owners), np.concatenate(([0], np.cumsum(owned)))
+        order = np.argsort(self.hashes, kind="stable")
+        self.hashes, self.at = self.hashes[order], self.at[order]
+        self.first_owner, self.end_owner = begin[:-1][order].astype(np.uint32), begin[1:][order].astype(np.uint32)
+        self.bits = np.uint64(64 - min(25, max(20, len(self.hashes).bit_length() + 3)))
+        self.mask = np.zeros(1 << (64 - int(self.bits)), dtype=bool)
+        self.mask[self.hashes >> self.bits] = True
+
+
 class NgramIndex:
-    """Windows of some benchmark items, by size and hash, with the words to verify them."""
+    """Windows of some benchmark items, by size and hash, with the words to verify them.
+
+    Flat arrays: about 35 bytes a window besides the items' words, one blank between two words
+    and a line feed after an item's last one.
+    """
 
     def __init__(self, items: list[tuple[object, str | None]], window: int) -> None:
         self.ids: list[str | None] = []
-        self.by_size: dict[int, dict[int, dict[bytes, set[int]]]] = {}
+        found: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        words, length = [], 0
         for item_id, text in items:
             low = np.frombuffer((text or "").encode().translate(LOWER_BYTES), dtype=np.uint8)
-            if not len(low):
-                continue
-            first, stop, _, hashes = _words(low, np.array([0, len(low)]))
+            first, stop, _, hashes = _words(low, np.array([0, len(low)])) if len(low) else _NOTHING
             size = min(window, len(first))
             if not size:
                 continue
-            number, raw = len(self.ids), low.tobytes()
+            raw = low.tobytes()
+            words.append(b" ".join(raw[a:b] for a, b in zip(first.tolist(), stop.tolist(), strict=True)) + b"\n")
+            ends = length + np.cumsum(stop - first + 1) - 1
+            n = len(first) - size + 1
+            found.setdefault(size, []).append((_windows(hashes, size), (ends - (stop - first))[:n].astype(np.uint32), ends[size - 1 :].astype(np.uint32), np.full(n, len(self.ids), np.uint32)))
             self.ids.append(None if item_id is None else str(item_id))
-            found = self.by_size.setdefault(size, {})
-            for i, h in enumerate(_windows(hashes, size).tolist()):
-                words = b" ".join(raw[a:b] for a, b in zip(first[i : i + size].tolist(), stop[i : i + size].tolist(), strict=True))
-                found.setdefault(h, {}).setdefault(words, set()).add(number)
-        self.masks = {}
-        for size, found in self.by_size.items():
-            mask = np.zeros(1 << _MASK_BITS, dtype=bool)
-            mask[np.fromiter(found, dtype=np.uint64, count=len(found)) >> np.uint64(64 - _MASK_BITS)] = True
-            self.masks[size] = mask
+            length += len(words[-1])
+        self.words = b"".join(words)
+        self.by_size = {size: _Windows(*(np.concatenate(column) for column in zip(*rows, strict=True)), self.words) for size, rows in found.items()}
+        self.longest = max(self.by_size, default=1)
 
     def scan(self, column: pa.Array, before: pa.Array | None = None) -> pa.Array:
         """Hits of this index, together with those that an earlier one found."""
         rows, known = [], [None] * len(column) if before is None else before.to_pylist()
         for start, end, data, offsets in blocks(column):
-            rows += self._scan(LOWER[data], offsets, known[start:end])
+            count = end - start
+            n_words, runs, items = [0] * count, {}, {}
+            if len(data) > _SLICE and count == 1:
+                self._scan_long(LOWER[data], n_words, runs, items)
+            elif len(data):
+                low = LOWER[data]
+                first, _, doc, hits = self._hits(low, offsets)
+                n_words, begin = np.bincount(doc, minlength=count).tolist(), np.searchsorted(doc, np.arange(count))
+                for i, size, start_byte, stop_byte, names in hits:
+                    d = int(doc[i])
+                    runs.setdefault(d, []).append((int(i - begin[d]), int(i - begin[d]) + size, start_byte - int(offsets[d]), stop_byte - int(offsets[d])))
+                    items.setdefault(d, set()).update(names)
+            for d, had in enumerate(known[start:end]):
+                rows.append(_result(n_words[d], runs.get(d, ()), items.get(d, set()), data[offsets[d] : offsets[d + 1]], had))
         return pa.array(rows, type=_ARROW_TYPE)
 
-    def _scan(self, low: np.ndarray, offsets: np.ndarray, known: list[dict | None]) -> list[dict]:
-        count = len(known)
-        out = [{"n_words": 0, "covered": [], "items": [], "spans": []} for _ in range(count)]
-        if not len(low):
-            return out
+    def _scan_long(self, low: np.ndarray, n_words: list[int], runs: dict, items: dict) -> None:
+        """One long text in slices, each of which takes up the last words of the one before."""
+        base = since = 0
+        for _, stop in _slices(low):
+            first, _, _, hits = self._hits(low[since:stop], np.array([0, stop - since]))
+            for i, size, start_byte, stop_byte, names in hits:
+                runs.setdefault(0, []).append((base + i, base + i + size, since + start_byte, since + stop_byte))
+                items.setdefault(0, set()).update(names)
+            if len(runs.get(0, ())) > 1 << 16:
+                runs[0] = _merged(runs[0])
+            again = min(self.longest - 1, len(first))
+            n_words[0] = base + len(first)
+            base, since = n_words[0] - again, since + int(first[-again]) if again else stop
+
+    def _hits(self, low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple]]:
+        """Words of a block, and (word, size, first byte, end byte, item ids) of every verified window."""
         first, stop, doc, hashes = _words(low, offsets)
-        for i, n in enumerate(np.bincount(doc, minlength=count).tolist()):
-            out[i]["n_words"] = n
-        starts = np.searchsorted(doc, np.arange(count + 1))
-        raw, cover, items = None, np.zeros(len(first) + 1, dtype=np.int32), {}
-        for d, had in enumerate(known):
-            if had and had["covered"]:
-                items[d] = set(had["items"])
-                for run in had["covered"]:
-                    cover[starts[d] + run["first"]] += 1
-                    cover[starts[d] + run["stop"]] -= 1
-        for size, found in self.by_size.items():
+        raw, out = None, []
+        for size, known in self.by_size.items():
             if len(first) < size:
                 continue
             windows = _windows(hashes, size)
-            likely = np.flatnonzero(self.masks[size][windows >> np.uint64(64 - _MASK_BITS)])
+            likely = np.flatnonzero(known.mask[windows >> known.bits])
             likely = likely[doc[likely] == doc[likely + size - 1]]
-            for i, h in zip(likely.tolist(), windows[likely].tolist(), strict=True):
-                if h not in found:
-                    continue
+            place = np.searchsorted(known.hashes, windows[likely])
+            own = place < len(known.hashes)
+            own[own] = known.hashes[place[own]] == windows[likely[own]]
+            for i, j in zip(likely[own].tolist(), place[own].tolist(), strict=True):
                 raw = raw or low.tobytes()
                 words = b" ".join(raw[a:b] for a, b in zip(first[i : i + size].tolist(), stop[i : i + size].tolist(), strict=True))
-                if words in found[h]:
-                    cover[i] += 1
-                    cover[i + size] -= 1
-                    items.setdefault(int(doc[i]), set()).update(self.ids[n] for n in found[h][words])
-        if items:
-            raw, hit = raw or low.tobytes(), np.cumsum(cover[:-1]) > 0
-            for d, names in items.items():
-                own, base = hit[starts[d] : starts[d + 1]].astype(np.int8), int(starts[d])
-                turns = np.diff(own, prepend=0, append=0)
-                runs = list(zip(np.flatnonzero(turns == 1).tolist(), np.flatnonzero(turns == -1).tolist(), strict=True))
-                text = raw[offsets[d] : offsets[d + 1]]
-                out[d]["covered"] = [{"first": a, "stop": b} for a, b in runs]
-                out[d]["items"] = sorted(names - {None})
-                out[d]["spans"] = [{"start": len(text[: first[base + a] - offsets[d]].decode()), "stop": len(text[: stop[base + b - 1] - offsets[d]].decode())} for a, b in runs]
-        return out
+                h = known.hashes[j]
+                while j < len(known.hashes) and known.hashes[j] == h:
+                    at = int(known.at[j])
+                    if self.words.startswith(words, at) and self.words[at + len(words)] in b" \n":
+                        out.append((i, size, int(first[i]), int(stop[i + size - 1]), [self.ids[n] for n in known.owners[known.first_owner[j] : known.end_owner[j]]]))
+                        break
+                    j += 1
+        return first, stop, doc, out
+
+
+def _result(n_words: int, runs: list[tuple[int, int, int, int]], names: set, data: np.ndarray, had: dict | None) -> dict:
+    """One row of the result; byte places become code points in one sweep of the text."""
+    found, at, points = [], 0, 0
+    for first, stop, start_byte, stop_byte in _merged(runs):
+        points += int(np.count_nonzero((data[at:start_byte] & 0xC0) != 0x80))
+        end = points + int(np.count_nonzero((data[start_byte:stop_byte] & 0xC0) != 0x80))
+        found.append((first, stop, points, end))
+        at, points = stop_byte, end
+    if had:
+        found = _merged(found + [(run["first"], run["stop"], span["start"], span["stop"]) for run, span in zip(had["covered"], had["spans"], strict=True)])
+        names = names | set(had["items"])
+    return {"n_words": n_words, "covered": [{"first": r[0], "stop": r[1]} for r in found], "items": sorted(names - {None}), "spans": [{"start": r[2], "stop": r[3]} for r in found]}
 
 
 _PAIR = lambda a, b: pa.list_(pa.struct([(a, pa.int64()), (b, pa.int64())]))
@@ -188,10 +271,10 @@ def _scanner(index: object, text: str, before: str | None) -> Column:
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, into: str = "contamination", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with a column ``into``: n_words, covered word runs, item ids and text spans (code points).
 
-    The benchmark's size is measured first. Up to ``block_bytes`` it is one broadcast; a
-    larger one is dealt into that many blocks by a hash of its rows and the documents are
-    scanned block by block, with a checkpoint between, so neither the driver nor an
-    executor ever holds more than one block.
+    The benchmark's size is measured first. Up to ``block_bytes`` it is one broadcast and one
+    scan; a larger one is dealt into blocks of that size by a hash of its rows and the documents
+    are scanned block by block, with a checkpoint between, so neither the driver nor an
+    executor ever holds more than one block. An item is never split.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t"))

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +120,23 @@ def test_random_contamination(spark):
         assert (row["n_words"], row["n_hit"], row["n_items"]) == (n, hit, len(found))
 
 
+def test_long_text_in_slices(monkeypatch):
+    dice = random.Random(5)
+    word = lambda: dice.choice(("a", "bb", "é", "日本", "B")) * dice.randrange(1, 3)
+    items = [(n, " ".join(word() for _ in range(dice.randrange(1, 9)))) for n in range(40)] + [(77, "zz " * 12)]
+    index = decontamination.NgramIndex(items, 5)
+    for text in (" ".join(word() + dice.choice(("", "", " ,\n", "." * 90)) for _ in range(400)), "." * 500, "q" * 300, "zz " * 300):
+        whole = index.scan(pa.array([text, None, text])).to_pylist()
+        n, hit, found = _brute_contamination(text, items, 5)
+        assert (whole[0]["n_words"], sum(r["stop"] - r["first"] for r in whole[0]["covered"]), whole[0]["items"]) == (n, hit, found)
+        for r, s in zip(whole[0]["covered"], whole[0]["spans"], strict=True):
+            assert _brute_contamination(text[s["start"] : s["stop"]], [], 5)[0] == r["stop"] - r["first"]
+        for size in (16, 61, 400):
+            monkeypatch.setattr(decontamination, "_SLICE", size)
+            assert index.scan(pa.array([text])).to_pylist() == whole[:1]
+        monkeypatch.undo()
+
+
 def test_decontaminate_modes(spark):
     bench = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
     docs = _docs(spark, ["clean", f"é {PASSAGE} tail", None]).withColumn("item_id", F.lit(7))
