@@ -49,6 +49,8 @@ _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.
 #: The classifier is fitted on about this many labelled texts of each language at most.
 SAMPLE_PER_LANGUAGE = 600
 DIMENSIONS = 2048
+#: Bytes of text whose n-grams are counted at a time.
+_SLICE = 1 << 19
 _STEPS, _RATE, _DECAY = 400, 2.0, 1e-4
 
 _FOLD = np.arange(256, dtype=np.uint64)
@@ -63,21 +65,21 @@ def features(column: pa.Array) -> np.ndarray:
     """A row of ``DIMENSIONS`` floats per text."""
     out = np.zeros((len(column), DIMENSIONS), dtype=np.float32)
     bits = np.uint64(64 - DIMENSIONS.bit_length() + 1)
-    for start, end, data, offsets in blocks(column, 1 << 19, 256):
+    for start, end, data, offsets in blocks(column, _SLICE, 256):
         count = end - start
         if not len(data):
             continue
-        one = _FOLD[data]
-        key, row = one.copy(), np.repeat(np.arange(count), np.diff(offsets))
         total = np.zeros(count * DIMENSIONS)
-        for size in (1, 2, 3):
-            if size > 1:
-                key = key[:-1] * np.uint64(257) + one[size - 1 :]
-            if not len(key):
-                break
-            own = row[: len(key)] == row[size - 1 :]
-            slot = ((key + np.uint64(size << 40)) * _MIX) >> bits
-            total += np.bincount((row[: len(key)] * DIMENSIONS + slot.astype(np.int64))[own], minlength=count * DIMENSIONS)
+        for begin in range(0, len(data), _SLICE):  # only a text longer than a block has more than one slice
+            one = _FOLD[data[begin : begin + _SLICE + 2]]
+            key, row = one.copy(), np.repeat(np.arange(count), np.diff(offsets)) if count > 1 else np.zeros(len(one), np.int64)
+            for size in (1, 2, 3):
+                if size > 1:
+                    key = key[:-1] * np.uint64(257) + one[size - 1 :]
+                n = min(_SLICE, len(key))
+                own = row[:n] == row[size - 1 : size - 1 + n]
+                slot = ((key[:n] + np.uint64(size << 40)) * _MIX) >> bits
+                total += np.bincount((row[:n] * DIMENSIONS + slot.astype(np.int64))[own], minlength=count * DIMENSIONS)
         out[start:end] = np.sqrt(total).reshape(count, DIMENSIONS)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norm > 0, norm, 1)

@@ -1,6 +1,8 @@
 """Training-data operators against brute force on small tables with nulls, ties, repeats and clashing columns."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 
@@ -560,6 +562,63 @@ def test_language_edges(spark):
     assert language_id.identify(rows, one).where("doc_id = 4").first()["language"]["lang_pred"] == "de"
 
 
+def _brute_features(text):
+    """Hashed n-gram frequencies of one text, counted byte by byte."""
+    fold = lambda b: b + 32 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else 32 if 9 <= b <= 13 else b
+    raw, counts = [fold(b) for b in (text or "").encode()], {}
+    for size in (1, 2, 3):
+        for i in range(len(raw) - size + 1):
+            key = 0
+            for b in raw[i : i + size]:
+                key = key * 257 + b
+            slot = ((key + (size << 40)) * 0x9E3779B97F4A7C15 % 2**64) >> 53
+            counts[slot] = counts.get(slot, 0) + 1
+    total = math.sqrt(sum(counts.values()))
+    return {k: math.sqrt(n) / total for k, n in counts.items()}
+
+
+def _brute_vote(vote, x):
+    """Name and confidence by counting each pair's winner, one pair at a time."""
+    if len(vote.names) == 1:
+        return vote.names[0], 1.0
+    votes, margins = dict.fromkeys(vote.names, 0), dict.fromkeys(vote.names, 0.0)
+    for (a, b), w, bias in zip(itertools.combinations(vote.names, 2), vote.weights, vote.bias, strict=True):
+        m = sum(v * float(w[k]) for k, v in x.items()) + float(bias)
+        votes[a if m >= 0 else b] += 1
+        margins[a] += m
+        margins[b] -= m
+    best = max(vote.names, key=lambda name: (votes[name], margins[name], -vote.names.index(name)))
+    return best, 1 / (1 + math.exp(-4 * margins[best] / (len(vote.names) - 1)))
+
+
+def test_language_against_brute_force(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("text", "lang")
+    model = language_id.fit(docs.where("lang is not null"))
+    texts = [r["text"] for r in docs.limit(150).collect()] + ["A", "Üb 12", "", None]
+    x = language_id.features(pa.array(texts))
+    names, scores = model.predict(x)
+    for text, row, name, score in zip(texts, x, names, scores, strict=True):
+        own = _brute_features(text)
+        assert np.allclose(row, [own.get(k, 0.0) for k in range(language_id.DIMENSIONS)], atol=1e-6)
+        family, sure = _brute_vote(model.families, own)
+        lang, inner = _brute_vote(model.within[family], own)
+        assert lang == name and abs(sure * inner - score) < 1e-4
+    monkeypatch.setattr(language_id, "_SLICE", 50)
+    assert np.array_equal(language_id.features(pa.array(texts)), x)
+
+
+def test_quality_against_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("documents", "labels"))
+    model = quality_gam.fit(docs, labels)
+    texts = [r["text"] for r in docs.limit(300).collect()] + ["", None, "a !"]
+    assert model.pairs and any(t.any() for t in model.tables)
+    for x, score in zip(quality_gam.measure(pa.array(texts)), model.score(quality_gam.measure(pa.array(texts))), strict=True):
+        below = lambda cuts, v: sum(c <= v for c in cuts)
+        logit = model.intercept + sum(t[below(c, v)] for t, c, v in zip(model.tables, model.cuts, x, strict=True))
+        logit += sum(t[below(model.coarse[i], x[i])][below(model.coarse[j], x[j])] for t, (i, j) in zip(model.pair_tables, model.pairs, strict=True))
+        assert abs(1 / (1 + math.exp(-logit)) - score) < 1e-9
+
+
 def test_quality_on_held_out_rows(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select(F.col("doc_id").alias("id"), "quality")
     got = queries.op2_quality_classifier(spark, "/root/testdata/sf0.01").join(labels, F.col("doc_id") == F.col("id"))
