@@ -69,10 +69,29 @@ def sinks(transfers: DataFrame, members: DataFrame) -> DataFrame:
     return joined.withColumn("possible_consolidation", F.coalesce((F.col("num_addresses") >= 2) & (F.col("top_sink_share") >= 0.55) & (F.col("num_unique_sinks") <= 4), F.lit(False))).drop("total", "num_addresses")
 
 
+def _classes(rows: DataFrame, item: str) -> tuple[DataFrame, DataFrame]:
+    """Addresses of a cluster that hold the same items, as one class.
+
+    Takes distinct (cluster_id, address, item). Gives the classes (cluster_id, one, n, m), where
+    ``one`` is the first address, ``n`` the number of items and ``m`` that of addresses, and the
+    same with a row per item. Sets are told apart by their size and a 128-bit digest, so no set is gathered.
+    """
+    sets = rows.groupBy("cluster_id", "address").agg(F.bit_xor(F.xxhash64(item)).alias("x"), F.bit_xor(F.xxhash64(F.lit("second"), item)).alias("y"), F.count("*").alias("n"))
+    classes = sets.groupBy("cluster_id", "x", "y", "n").agg(F.min("address").alias("one"), F.count("*").alias("m")).drop("x", "y")
+    return classes, rows.withColumnRenamed("address", "one").join(classes, ["cluster_id", "one"])
+
+
+def _class_pairs(held: DataFrame, item: str) -> DataFrame:
+    """(cluster_id, one_a, one_b, n_a, n_b, m_a, m_b, c): two classes with ``c`` common items."""
+    side = lambda s: held.select("cluster_id", item, *[F.col(c).alias(f"{c}_{s}") for c in ("one", "n", "m")])
+    return side("a").join(side("b"), ["cluster_id", item]).where("one_a < one_b").groupBy("cluster_id", "one_a", "one_b", "n_a", "n_b", "m_a", "m_b").agg(F.count("*").alias("c"))
+
+
 def control(rows: DataFrame, members: DataFrame, cap: int | None = None) -> DataFrame:
     """Owner counts, and the share of member pairs with a common owner.
 
-    Pairs are made per owner inside a cluster; owners above the linking cap never merged anyone,
+    Members with the same owners are one class, and pairs of classes are made per owner inside a
+    cluster, so an owner of many members alike costs one row; owners above the linking cap never merged anyone,
     and ``cap`` leaves them out where one is given.
     """
     owners = rows.where("kind = 'safe_owner'").select("cluster_id", F.lower("key").alias("owner"), F.lower("address").alias("safe"))
@@ -80,7 +99,10 @@ def control(rows: DataFrame, members: DataFrame, cap: int | None = None) -> Data
     counts = per.groupBy("cluster_id").agg(F.sum("n").alias("safe_owner_count"), F.count("*").alias("unique_safe_owners"), F.count_if(F.col("safes") >= 2).alias("shared_safe_owner_count"))
     inside = owners.distinct().join(members.select("cluster_id", F.col("address").alias("safe")), ["cluster_id", "safe"], "left_semi")
     inside = inside.join(per.where("safes >= 2" + (f" and safes <= {cap}" if cap else "")).select("cluster_id", "owner"), ["cluster_id", "owner"], "left_semi")
-    pairs = inside.join(inside.withColumnRenamed("safe", "other"), ["cluster_id", "owner"]).where("safe < other").select("cluster_id", "safe", "other").distinct().groupBy("cluster_id").agg(F.count("*").alias("pairs"))
+    classes, held = _classes(inside.withColumnRenamed("safe", "address"), "owner")
+    within = classes.select("cluster_id", F.expr("m * (m - 1) div 2").alias("p"))
+    across = _class_pairs(held, "owner").select("cluster_id", F.expr("m_a * m_b").alias("p"))
+    pairs = within.unionByName(across).groupBy("cluster_id").agg(F.sum("p").alias("pairs"))
     sizes = members.groupBy("cluster_id").agg(F.count("*").alias("num_addresses"))
     joined = sizes.join(counts, "cluster_id", "left").join(pairs, "cluster_id", "left").fillna(0)
     n = F.col("num_addresses").cast("double")
@@ -112,17 +134,18 @@ def token_overlap(rows: DataFrame, members: DataFrame) -> DataFrame:
     """Mean pairwise Jaccard of members' contract and method tokens; null with fewer than two that have any.
 
     The mean over all pairs is a sum over pairs that share a token, divided by the number of
-    pairs, so pairs without a common token are never made.
+    pairs, so pairs without a common token are never made. Members with the same tokens are one
+    class: pairs inside it count one each, and only pairs of classes are joined.
     """
     sizes = members.groupBy("cluster_id").agg(F.count("*").alias("num_addresses"))
     out = sizes.select("cluster_id")
     for name, fields in (("contract", CONTRACT_FIELDS), ("method", METHOD_FIELDS)):
         tokens = rows.where("payload_json is not null").select("cluster_id", F.lower("address").alias("address"), F.explode(_payload_tokens(fields)).alias("token")).distinct().join(members, ["cluster_id", "address"], "left_semi")
-        held = tokens.groupBy("cluster_id", "address").agg(F.count("*").alias("n"))
-        common = tokens.withColumnRenamed("address", "a").join(tokens.withColumnRenamed("address", "b"), ["cluster_id", "token"]).where("a < b").groupBy("cluster_id", "a", "b").agg(F.count("*").alias("c"))
-        na, nb = held.select("cluster_id", F.col("address").alias("a"), F.col("n").alias("na")), held.select("cluster_id", F.col("address").alias("b"), F.col("n").alias("nb"))
-        summed = common.join(na, ["cluster_id", "a"]).join(nb, ["cluster_id", "b"]).groupBy("cluster_id").agg(F.sum(F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("s"))
-        n = held.groupBy("cluster_id").agg(F.count("*").alias("n"))
+        classes, held = _classes(tokens, "token")
+        within = classes.select("cluster_id", F.expr("m * (m - 1) / 2").alias("j"))
+        across = _class_pairs(held, "token").select("cluster_id", (F.col("m_a") * F.col("m_b") * F.col("c") / (F.col("n_a") + F.col("n_b") - F.col("c"))).alias("j"))
+        summed = within.unionByName(across).groupBy("cluster_id").agg(F.sum("j").alias("s"))
+        n = classes.groupBy("cluster_id").agg(F.sum("m").alias("n"))
         joined = n.join(summed, "cluster_id", "left").select("cluster_id", F.col("n").alias(f"{name}_addresses"), F.when(F.col("n") >= 2, F.coalesce("s", F.lit(0.0)) / (F.col("n") * (F.col("n") - 1) / 2)).alias(f"{name}_overlap"))
         out = out.join(joined, "cluster_id", "left").fillna(0, [f"{name}_addresses"])
     return out

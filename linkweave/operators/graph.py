@@ -78,10 +78,12 @@ def events(evidence: DataFrame, identifiers: DataFrame, nodes: DataFrame) -> Dat
 
 
 def pairwise_links(evidence: DataFrame, identifiers: DataFrame, params: LinkageParams = LinkageParams(), *, cap: int = FAN_OUT_CAP, max_links: int = 2000) -> DataFrame:
-    """Scored pairs among the identifiers that are not rejected; fan-out is that of the whole run."""
-    scored = score_evidence(evidence, params, cap=cap)
-    ids = identifiers.select(F.col("address").alias("id_address"))
-    both = scored.join(F.broadcast(ids), F.col("address_a") == F.col("id_address"), "left_semi").join(F.broadcast(ids), F.col("address_b") == F.col("id_address"), "left_semi")
+    """Scored pairs among the identifiers that are not rejected; fan-out is that of the whole run.
+
+    The identifiers are bounded by their limit; they are broadcast and restrict the keys before
+    the self-join, so no pair outside them is ever built.
+    """
+    both = score_evidence(evidence, params, cap=cap, among=F.broadcast(identifiers.select("address").distinct()))
     kept = both.orderBy("address_a", "address_b").limit(max_links).where("tier <> 'rejected'")
     return kept.select(F.concat(F.lit("addr:"), "address_a").alias("source"), F.concat(F.lit("addr:"), "address_b").alias("target"), "tier", "score", "probability", "contributions", "anchor")
 

@@ -29,12 +29,16 @@ def candidate_pairs(evidence: DataFrame, cap: int = FAN_OUT_CAP, limit: int | No
     return pairs if limit is None else pairs.orderBy("address_a", "address_b").limit(limit)
 
 
-def pairwise_features(evidence: DataFrame, params: LinkageParams = LinkageParams(), *, cap: int = FAN_OUT_CAP, pairs: DataFrame | None = None) -> DataFrame:
+def pairwise_features(evidence: DataFrame, params: LinkageParams = LinkageParams(), *, cap: int = FAN_OUT_CAP, pairs: DataFrame | None = None, among: DataFrame | None = None) -> DataFrame:
     """Shared counts per kind, owner overlaps and the funders' weight, for candidates or the given ``pairs``.
 
-    ``pairs`` may hold pairs that share nothing; they get zeros.
+    ``pairs`` may hold pairs that share nothing; they get zeros. ``among``, a table of distinct
+    addresses, keeps candidates to pairs of those before any pair is built; a key's fan-out
+    stays that of all the evidence.
     """
     keys = usable_keys(evidence, cap)
+    if among is not None:
+        keys = keys.join(among.select("address"), "address", "left_semi")
     of = lambda kind: F.count_if(F.col("kind") == kind)
     weight = params.w_shared_funder / F.greatest(F.lit(1e-6), F.log(F.lit(max(params.funder_fanout_ln_offset, 1e-6)) + F.col("fan_out")))
     shared = shared_keys(keys).groupBy("address_a", "address_b").agg(
@@ -79,10 +83,10 @@ def score_pairs(features: DataFrame, params: LinkageParams = LinkageParams()) ->
     return scored.withColumn("probability", probability).withColumn("tier", tier)
 
 
-def score_evidence(evidence: DataFrame, params: LinkageParams = LinkageParams(), *, cap: int = FAN_OUT_CAP, pairs: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+def score_evidence(evidence: DataFrame, params: LinkageParams = LinkageParams(), *, cap: int = FAN_OUT_CAP, pairs: DataFrame | None = None, limit: int | None = None, among: DataFrame | None = None) -> DataFrame:
     """Candidate (or given) pairs, scored; with a limit, those first in address order."""
     chosen = candidate_pairs(evidence, cap, limit) if limit is not None and pairs is None else pairs
-    return score_pairs(pairwise_features(evidence, params, cap=cap, pairs=chosen), params)
+    return score_pairs(pairwise_features(evidence, params, cap=cap, pairs=chosen, among=among), params)
 
 
 def contributions(scored: DataFrame) -> DataFrame:

@@ -208,6 +208,36 @@ def test_cluster_features(spark):
     assert (a["contract_addresses"], a["contract_overlap"], a["method_addresses"]) == (1, None, 1)
 
 
+def test_features_of_a_hub(spark):
+    """5,000 members on one owner and one token are few classes; the figures are those of all pairs."""
+    n = 5000
+    addresses = [f"0x{k:040x}" for k in range(n)]
+    members = _members(spark, {"c": addresses})
+    rows = []
+    for k, a in enumerate(addresses):
+        rows.append(("c", a, "safe_owner", "hub", '{"contract": ["t"' + (f', "u{k % 3}"' if k % 2 else "") + "]}"))
+        rows += [("c", a, "safe_owner", "other", None)] * (k < 10)
+    rows = spark.createDataFrame(rows + [("d", "0xd", "safe_owner", "hub", None)], "cluster_id string, address string, kind string, key string, payload_json string")
+    members = members.unionByName(_members(spark, {"d": ["0xd"]}))
+    got = {r["cluster_id"]: r["control_link_density"] for r in features.control(rows, members).collect()}
+    assert got == {"c": 1.0, "d": None}
+    sets = [frozenset(["t"] + [f"u{k % 3}"] * (k % 2)) for k in range(n)]
+    kinds = {s: sets.count(s) for s in set(sets)}
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    total = sum(m * kinds[b] * jaccard(a, b) for a, m in kinds.items() for b in kinds) - n
+    row = features.token_overlap(rows, members).where("cluster_id = 'c'").first()
+    assert row["contract_addresses"] == n and row["contract_overlap"] == pytest.approx(total / (n * (n - 1)))
+
+
+def test_pairs_among_some_addresses(spark):
+    dice = random.Random(6)
+    evidence = _evidence(spark, [(dice.choice((A, B, C, D)), dice.choice(("safe_owner", "funded_by", "did_controller")), dice.choice("kmn"), 2, 0, None) for _ in range(30)])
+    some = spark.createDataFrame([(A,), (C,), (D,)], "address string")
+    everything = {(r["address_a"], r["address_b"]): r for r in pairwise.score_evidence(evidence).collect()}
+    got = {(r["address_a"], r["address_b"]): r for r in pairwise.score_evidence(evidence, among=some).collect()}
+    assert got == {pair: r for pair, r in everything.items() if B not in pair} and len(got) < len(everything)
+
+
 def test_audit(spark):
     rows = _evidence(spark, [(A, "funded_by", "f", 2, 3, '{"tx_hash": "t", "timestamp": "2020"}'), (A, "funded_by", "f", 2, 0, None), (B, "funded_by", "f", 2, 0, "not json")])
     assert tuple(audit.duplication(rows).first()) == (3, 2, 2, 1, 1, 1.5, 1.5)
