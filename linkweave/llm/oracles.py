@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express.
 
-The rest (language identification, the quality model, SentencePiece and SimHash) is held
+The rest (language identification, the quality model, SentencePiece, SimHash, token counts and whitening) is held
 against brute force, the library's own output or held-out accuracy in tests/llm.
 """
 
@@ -175,6 +175,17 @@ SELECT doc_id, path, is_file, coalesce(own_licences, '') AS own_licences, coales
 FROM j LEFT JOIN (SELECT * FROM ih WHERE n = 1) USING (rid)
 """
 
+FILL_IN_MIDDLE = """
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM t),
+c AS (SELECT *, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT doc_id, t, len(u) AS n, form, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN t ELSE p || m || s END) AS restored_sha256 FROM p
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_license_scan": LICENSE_SCAN,
     "op5_decontamination": DECONTAMINATION,
@@ -182,4 +193,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_quality_rules": QUALITY_RULES,
     "op9_line_dedup": LINE_DEDUP,
     "op10_url_filters": URL_FILTERS,
+    "op12_fill_in_middle": FILL_IN_MIDDLE,
 }

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkweave.llm import decontamination, language_id, license_scan, line_dedup, preference, quality_gam, quality_rules, sentencepiece_bpe, simhash, url_filters
+from linkweave.llm import decontamination, fill_in_middle, language_id, license_scan, line_dedup, preference, quality_gam, quality_rules, sentencepiece_bpe, simhash, token_counts, url_filters, whitening
 from linkweave.llm.oracles import ORACLE_SQL
 from linkweave.runtime import spread
 
 #: A document is held out from learning when its id's CRC-32 leaves this remainder.
 HELD_OUT, FOLDS = 2, 4
-#: Where the public tokenizer files lie on the driver, unless the package names another place.
-TOKENIZERS, PIECES = "/opt/tokenizers", "piece_bpe_32k.model"
+#: Files of the public tokenizers that the queries take.
+PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_50k.json"
 GOOD = 0.7
 
 
@@ -36,13 +36,17 @@ def _learnable(docs: DataFrame) -> DataFrame:
 
 
 def piece_model() -> str:
-    try:
-        import public_tokenizers
-    except ImportError:
-        return f"{TOKENIZERS}/{PIECES}"
+    import public_tokenizers
+
     return public_tokenizers.path(PIECES)
 
 
+def byte_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(BYTES)
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit(_learnable(_documents(spark, sf_dir, "doc_id", "text", "lang")))
     found = language_id.identify(_documents(spark, sf_dir, "doc_id", "text"), model, into="__l")
@@ -92,11 +96,23 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_verdicts(_table(spark, sf_dir, "pages"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_report(_documents(spark, sf_dir, "doc_id", "text"), byte_tokenizer())
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.fim_report(_documents(spark, sf_dir, "doc_id", "text"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening_report(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_classifier, op3_license_scan, op4_sentencepiece, op5_decontamination, op6_preference_format, op7_quality_rules, op8_simhash, op9_line_dedup, op10_url_filters, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_classifier, op3_license_scan, op4_sentencepiece, op5_decontamination, op6_preference_format, op7_quality_rules, op8_simhash, op9_line_dedup, op10_url_filters, op11_token_counts, op12_fill_in_middle, op13_whitening, pipeline)}
 ORACLES = ORACLE_SQL
