@@ -172,15 +172,26 @@ CTES |= {
   num_addresses >= 2 AND fs >= 0.35 AND fs < 0.65 AND funding_burst_label <> 'long_span' AS mf, num_addresses >= 2 AND ss >= 0.35 AND ss < 0.6 AS ms, shared_safe_owner_count >= 1 AND num_addresses >= 2 AS mo, num_unique_funders = 1 AND num_addresses >= 2 AS m1 FROM fx0""",
     "tiers": """SELECT *, CASE WHEN hf OR hs THEN 'candidate_high' WHEN mf OR ms OR mo OR m1 THEN 'candidate_medium' ELSE 'low' END AS tier,
   CASE WHEN hf OR hs THEN concat_ws(',', CASE WHEN hf THEN 'high_funding' END, CASE WHEN hs THEN 'high_sink' END) ELSE concat_ws(',', CASE WHEN mf THEN 'medium_funding' END, CASE WHEN ms THEN 'medium_sink' END, CASE WHEN mo THEN 'medium_shared_owner' END, CASE WHEN m1 THEN 'medium_single_funder' END) END AS reasons FROM fx1""",
-    "bt": """SELECT seed, direction, min(block_num) AS block_num, from_addr, to_addr, value, tx_hash, asset, peer FROM (SELECT to_addr AS seed, 0 AS direction, from_addr AS peer, * FROM fx_transfers WHERE to_addr IN (SELECT address FROM fx_cohort)
-  UNION ALL SELECT from_addr, 1, to_addr, * FROM fx_transfers WHERE from_addr IN (SELECT address FROM fx_cohort)) {window} GROUP BY ALL""".replace("{window}", "WHERE block_num BETWEEN 1000 AND 40000"),
+    "blg": """SELECT *, row_number() OVER (PARTITION BY seed, leg ORDER BY block_num NULLS FIRST, tx_hash NULLS FIRST, from_addr NULLS FIRST, to_addr NULLS FIRST, asset NULLS FIRST, value NULLS FIRST) AS r
+  FROM (SELECT to_addr AS seed, 0 AS leg, from_addr AS peer, * FROM fx_transfers UNION ALL SELECT from_addr, 1, to_addr, * FROM fx_transfers) WHERE block_num BETWEEN 1000 AND 40000 AND seed IN (SELECT address FROM fx_cohort)""",
+    "bfr": "SELECT *, (r - 1) // 3 AS page, row_number() OVER (PARTITION BY seed, leg, coalesce(tx_hash, ''), from_addr, to_addr, coalesce(asset, ''), coalesce(value, '') ORDER BY r) = 1 AS fresh FROM blg",
+    "bpg": """SELECT seed, leg, page, max(page) OVER (PARTITION BY seed, leg) > page AS more, rs FROM (SELECT seed, leg, page,
+  coalesce(list({'peer': peer, 'from_addr': from_addr, 'to_addr': to_addr, 'value': value, 'block_num': block_num, 'tx_hash': tx_hash, 'asset': asset} ORDER BY r) FILTER (fresh), []) AS rs FROM bfr GROUP BY ALL)""",
+    # one row a page that is fetched: the rows that it adds, all addresses met by its end, the room that it leaves
+    "bst": """SELECT s.address AS seed, 0 AS leg, 0 AS page, coalesce(rs, [])[1:7] AS got, list_distinct(list_transform(coalesce(rs, [])[1:7], lambda x: x.peer)) AS peers, 7 - len(coalesce(rs, [])[1:7]) AS room, coalesce(more, FALSE) AS more
+    FROM (SELECT DISTINCT address FROM fx_cohort) s LEFT JOIN bpg ON bpg.seed = s.address AND bpg.leg = 0 AND bpg.page = 0
+  UNION ALL SELECT n.seed, n.leg, n.page, coalesce(rs, [])[1:n.room], list_distinct(n.peers || list_transform(coalesce(rs, [])[1:n.room], lambda x: x.peer)), n.room - len(coalesce(rs, [])[1:n.room]), coalesce(bpg.more, FALSE)
+    FROM (SELECT seed, CASE WHEN stop THEN 1 ELSE leg END AS leg, CASE WHEN stop THEN 0 ELSE page + 1 END AS page, CASE WHEN stop THEN [] ELSE peers END AS peers, room
+      FROM (SELECT *, room <= 0 OR len(peers) >= 5 OR NOT more OR page >= 1 AS stop FROM bst) WHERE NOT stop OR (leg = 0 AND room > 0)) n LEFT JOIN bpg ON bpg.seed = n.seed AND bpg.leg = n.leg AND bpg.page = n.page""",
+    "bfe": "SELECT seed, leg, count(*) AS calls, min(room) <= 0 AS row_cap, max(len(peers)) >= 5 AS peer_cap, min(room) > 0 AND max(len(peers)) < 5 AND bool_and(more) AND count(*) = 2 AS page_cap FROM bst GROUP BY ALL",
+    "rgb": "SELECT range AS lo, least(range + 4095, t) AS hi FROM (SELECT min(o_orderkey) AS f, max(o_orderkey) AS t FROM orders) r, range(f, t + 1, 4096)",
+    "rgk": "SELECT list(l_orderkey) AS ks FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40",
+    # a call fails while its range has over 28 logs; of others, the first (logs mod 3) calls
+    "rgn": """SELECT lo, hi, 0 AS depth, len(list_filter(ks, lambda x: x BETWEEN lo AND hi)) AS logs FROM rgb, rgk
+  UNION ALL SELECT h.lo, h.hi, h.depth, len(list_filter(ks, lambda x: x BETWEEN h.lo AND h.hi)) FROM
+    (SELECT unnest([lo, lo + (hi - lo) // 2 + 1]) AS lo, unnest([lo + (hi - lo) // 2, hi]) AS hi, depth + 1 AS depth FROM rgn WHERE logs > 28 AND hi - lo + 1 > 128) h, rgk""",
+    "rgs": "SELECT *, CASE WHEN logs <= 28 THEN 'fetched' WHEN hi - lo + 1 > 128 THEN 'split' ELSE 'failed' END AS status, CASE WHEN logs <= 28 THEN logs % 3 ELSE 3 END AS retries FROM rgn",
 }
-CTES["bta"] = CTES["bt"].replace("WHERE block_num BETWEEN 1000 AND 40000", "")
-for _name, _from in (("bq", "bt"), ("bqa", "bta")):
-    CTES[f"{_name}1"] = f"SELECT *, row_number() OVER (PARTITION BY seed ORDER BY direction, block_num NULLS FIRST, tx_hash NULLS FIRST, from_addr NULLS FIRST, to_addr NULLS FIRST, asset NULLS FIRST, value NULLS FIRST) AS position FROM {_from}"
-    CTES[f"{_name}2"] = f"SELECT *, row_number() OVER (PARTITION BY seed, peer ORDER BY position) = 1 AS fresh FROM {_name}1 WHERE position <= 12"
-    CTES[f"{_name}3"] = f"SELECT *, sum(fresh::INT) OVER (PARTITION BY seed ORDER BY position) AS peers FROM {_name}2"
-    CTES[_name] = f"SELECT * FROM {_name}3 WHERE peers < 6 OR (peers = 6 AND fresh)"
 
 
 def _judged(mode: str, kinds: str) -> dict[str, str]:
@@ -228,7 +239,9 @@ _SELECTS: dict[str, str] = {
     "transfers_window": "SELECT * FROM fx_transfers WHERE block_num BETWEEN 1000 AND 40000",
     "transfers_dedup": """SELECT from_addr, to_addr, value, min(block_num) AS block_num, tx_hash, asset FROM fx_transfers WHERE tx_hash IS NOT NULL AND asset IS NOT NULL AND value IS NOT NULL GROUP BY ALL
   UNION ALL SELECT * FROM fx_transfers WHERE tx_hash IS NULL OR asset IS NULL OR value IS NULL""",
-    "transfers_bounded": "SELECT seed, direction, CAST(position AS INT) AS position, from_addr, to_addr, value, block_num, tx_hash, asset FROM bq",
+    "transfers_bounded": """SELECT seed, leg AS direction, CAST(row_number() OVER (PARTITION BY seed ORDER BY leg, page, k) AS INT) AS position, CAST(page AS BIGINT) AS page, g.from_addr, g.to_addr, g.value, g.block_num, g.tx_hash, g.asset
+  FROM (SELECT seed, leg, page, unnest(got) AS g, unnest(range(len(got))) AS k FROM bst)""",
+    "bounded_fetches": """SELECT seed, leg AS direction, CAST(n AS BIGINT) AS n_rows, calls, calls + page_cap::BIGINT AS pages, row_cap, page_cap, peer_cap FROM bfe JOIN (SELECT seed, leg, sum(len(got)) AS n FROM bst GROUP BY ALL) USING (seed, leg)""",
     "address_validation": """SELECT coalesce(regexp_matches(trim(raw), '^0x[0-9a-fA-F]{40}$'), FALSE) AS valid, count(*) AS n, count(DISTINCT CASE WHEN regexp_matches(trim(raw), '^0x[0-9a-fA-F]{40}$') THEN lower(trim(raw)) END) AS n_addresses
   FROM (SELECT unnest([from_addr, to_addr, upper(to_addr), ' ' || to_addr, to_addr[1:40]]) AS raw FROM fx_transfers) GROUP BY ALL""",
     "addresses_upsert": "SELECT address, min(first_seen_block) AS first_seen_block, any_value(label) AS label FROM (SELECT address, first_seen_block, label FROM fx_addresses UNION ALL SELECT to_addr, block_num, NULL FROM fx_transfers) GROUP BY address",
@@ -317,11 +330,12 @@ _SELECTS: dict[str, str] = {
   (SELECT role, count(*) AS n_addresses, round(count(*) FILTER (size > 1) / count(*), 6) AS multi_rate, median(size) AS median_cluster_size FROM (SELECT DISTINCT address, role FROM fx_cohort) JOIN mb USING (address) JOIN cs USING (cluster_id) GROUP BY role)
   LEFT JOIN (SELECT role, count(*) AS pure_clusters, count(*) FILTER (b) AS short_burst, count(*) FILTER (f) AS top_funder, count(*) FILTER (k) AS common_sink, count(*) FILTER (b OR f) AS candidate_medium, count(*) FILTER (size >= 3 AND b AND f) AS candidate_high FROM
     (SELECT CASE WHEN n_control = size THEN 'control' ELSE 'governance' END AS role, size, coalesce(funding_block_span <= 5000, FALSE) AS b, coalesce(fs > 0.8, FALSE) AS f, coalesce(ss > 0.8, FALSE) AS k FROM cs JOIN fx0 USING (cluster_id) WHERE size > 1 AND (n_governance = size OR n_control = size)) GROUP BY role) USING (role)""",
-    "chunk_ranges": "SELECT range AS from_block, least(range + 49999, 459307198) AS to_block FROM range(428203933, 459307199, 50000)",
-    "bisected_ranges": "SELECT unnest([f, m + 1]) AS from_block, unnest([m, t]) AS to_block FROM (SELECT f, t, f + (t - f) // 2 AS m FROM (SELECT range AS f, least(range + 49999, 459307198) AS t FROM range(428203933, 459307199, 50000)) WHERE t - f + 1 > 1000)",
+    "range_bisection": "SELECT lo AS from_block, hi AS to_block, depth, status, CAST(retries + 1 AS BIGINT) AS calls, CAST(retries AS BIGINT) AS retries FROM rgs",
+    "range_counters": """SELECT CAST(sum(retries + 1) AS BIGINT) AS total_calls, CAST(sum(retries) AS BIGINT) AS retries_attempted, CAST(sum(retries) AS BIGINT) AS retried_chunks, count(*) FILTER (status = 'split') AS split_chunks, count(*) FILTER (status = 'failed') AS failed_chunks,
+  count(*) FILTER (status = 'fetched') AS fetched_chunks, CAST(0 AS BIGINT) AS pending_chunks, CAST(sum(hi - lo + 1) FILTER (status = 'failed') AS BIGINT) AS failed_blocks FROM rgs""",
+    "range_logs": "SELECT kind, address, count(*) AS n, min(b) AS first_block FROM (SELECT o_orderkey AS b, CASE WHEN o_orderkey % 97 = 0 THEN 'proposal' ELSE 'vote' END AS kind, '0xc' || lpad(CAST(o_custkey AS VARCHAR), 39, '0') AS address FROM orders WHERE o_orderkey % 5 = 0) JOIN rgs ON b BETWEEN lo AND hi AND status = 'fetched' GROUP BY ALL",
     "merge_policy_comparison": "SELECT 'legacy' AS policy, count(*) AS clusters, count(*) FILTER (n > 1) AS multi, max(n) AS largest FROM (SELECT cluster_id, count(*) AS n FROM me_l2_cl GROUP BY ALL) UNION ALL SELECT 'conservative', count(*), count(*) FILTER (size > 1), max(size) FROM sizes",
-    "fetch_cap_hits": """SELECT count(*) FILTER (r >= 12) AS row_cap_hits, CAST(0 AS BIGINT) AS page_cap_hits, count(*) FILTER (p >= 6) AS peer_cap_hits, count(*) FILTER (r >= 12 OR p >= 6) / count(*) > 0.2 AS bias_risk
-  FROM (SELECT seed, count(*) AS r, count(DISTINCT peer) AS p FROM bqa GROUP BY seed)""",
+    "fetch_cap_hits": "SELECT count(*) FILTER (row_cap) AS row_cap_hits, count(*) FILTER (page_cap) AS page_cap_hits, count(*) FILTER (peer_cap) AS peer_cap_hits, CAST(sum(calls) AS BIGINT) AS calls, (count(*) FILTER (row_cap) + count(*) FILTER (page_cap) + count(*) FILTER (peer_cap)) / count(DISTINCT seed) > 0.2 AS bias_risk FROM bfe",
     "baseline_pair_features": "SELECT * FROM bf",
     "baseline_scores": "SELECT * FROM bs",
     "baseline_recommendation": """SELECT address_a, address_b, recommendation, CASE WHEN recommendation = 'related_only' THEN 'weak' WHEN hub_penalty >= 0.5 THEN 'medium' ELSE 'medium_low' END AS confidence,

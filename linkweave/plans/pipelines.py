@@ -14,7 +14,7 @@ from linkweave.operators import audit, baseline, cohort, evaluation, features, g
 from linkweave.operators.evidence import extract_all, normalize_subjects, parse_ablations
 from linkweave.runtime import checkpoint
 from linkweave.schemas import BOUNDARY, CONSERVATIVE, KINDS, LEGACY, RELATED, STABLE, LinkageParams, MergePolicy
-from linkweave.sources import landed
+from linkweave.sources import landed, pages
 from linkweave.sources.store import Store, upsert_addresses
 
 
@@ -165,15 +165,14 @@ class Halted(RuntimeError):
     """A large cluster rests on suppressed keys only."""
 
 
-def cohort_run(store: Store, governance: DataFrame, control: DataFrame, transfers: DataFrame, *, window: tuple[int, int], per_cohort: int = 500, max_rows: int = 250, max_peers: int = 220, policy: MergePolicy = CONSERVATIVE, min_evidence: int = 1, deny: DataFrame | None = None, ens: DataFrame | None = None, owners: DataFrame | None = None, top: int = 3, snapshot_hash: str = "") -> dict:
+def cohort_run(store: Store, governance: DataFrame, control: DataFrame, transfers: DataFrame, *, window: tuple[int, int], per_cohort: int = 500, caps: pages.Caps = pages.Caps(), policy: MergePolicy = CONSERVATIVE, min_evidence: int = 1, deny: DataFrame | None = None, ens: DataFrame | None = None, owners: DataFrame | None = None, top: int = 3, snapshot_hash: str = "") -> dict:
     """A bounded two-cohort run: exact cohort sizes, bounded transfers per seed, link, halt guard, tiers, summary."""
     seeds = checkpoint(governance.select("address", "first_seen_block", F.lit("governance").alias("role")).unionByName(control.select("address", "first_seen_block", F.lit("control").alias("role"))))
     sizes = {r["role"]: r["count"] for r in seeds.groupBy("role").count().collect()}
     if sizes != {"governance": per_cohort, "control": per_cohort}:
         raise ValueError(f"cohorts must have {per_cohort} seeds each, not {sizes}")
-    own = checkpoint(landed.bounded_transfers(transfers, seeds.select("address").distinct(), start=window[0], end=window[1], max_rows=max_rows, max_peers=max_peers))
-    peer = F.when(F.col("direction") == 0, F.col("from_addr")).otherwise(F.col("to_addr"))
-    hits = cohort.cap_hits(own.groupBy("seed").agg(F.count("*").alias("n_rows"), F.countDistinct(peer).alias("n_peers"), F.lit(0).alias("n_pages")), max_rows=max_rows, max_pages=1, max_peers=max_peers).first().asDict()
+    rows, fetches = pages.bounded_fetch(transfers, seeds, caps, start=window[0], end=window[1])
+    own, hits = checkpoint(rows), pages.cap_hits(fetches).first().asDict()
     moves = own.select("from_addr", "to_addr", "value", "block_num", "tx_hash", "asset")
     inserted = ingest(store, subjects=seeds.select("address", "first_seen_block"), transfers=moves, ens=ens, owners=owners)
     linked = link(store, addresses=seeds, min_evidence=min_evidence, policy=policy, deny=deny, window=window)

@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkweave.functions import scalar
-from linkweave.operators import audit, baseline, cohort, evaluation, evidence, features, graph, lineage, linking, metrics, pairwise, report
+from linkweave.operators import audit, baseline, cohort, evaluation, evidence, features, graph, lineage, linking, metrics, pairwise, ranges, report
 from linkweave.plans.fixture import FIXTURES, fixture
 from linkweave.runtime import checkpoint
 from linkweave.schemas import CONSERVATIVE, LEGACY
-from linkweave.sources import landed, store
+from linkweave.sources import landed, pages, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 MIN_EVIDENCE = 2
@@ -76,10 +76,22 @@ def transfers_dedup(i: Inputs) -> DataFrame:
     return store.new_transfers(i.transfers)
 
 
+#: Caps small enough that busy seeds of the benchmark tables reach each of them.
+CAPS = pages.Caps(max_rows=7, max_pages=2, max_peers=5, page_size=3)
+
+
+def _fetch(i: Inputs) -> tuple[DataFrame, DataFrame]:
+    return pages.bounded_fetch(i.transfers, i.cohort.select("address"), CAPS, start=WINDOW[0], end=WINDOW[1])
+
+
 @query
 def transfers_bounded(i: Inputs) -> DataFrame:
-    seeds = i.cohort.select("address")
-    return landed.bounded_transfers(i.transfers, seeds, start=WINDOW[0], end=WINDOW[1], max_rows=12, max_peers=6)
+    return _fetch(i)[0]
+
+
+@query
+def bounded_fetches(i: Inputs) -> DataFrame:
+    return _fetch(i)[1]
 
 
 @query
@@ -513,14 +525,36 @@ def cohort_comparison(i: Inputs) -> DataFrame:
     return _rounded(cohort.cohort_comparison(i.members, i.cohort, _features(i)), "multi_rate", "median_cluster_size")
 
 
+#: Ranges of the orders' blocks: their first width, the width that is not halved, the logs that a call can give.
+CHUNK, MIN_BLOCKS, MOST_LOGS, RETRIES = 4096, 128, 28, 3
+
+
+def _bisection(i: Inputs) -> DataFrame:
+    """A scan of the orders' blocks: a range with too many line items as logs fails, others after (logs mod 3) calls."""
+    orders = i.spark.read.parquet(f"{i.sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("block_num"))
+    blocks = i.spark.read.parquet(f"{i.sf_dir}/lineitem.parquet").where("l_returnflag = 'R' and l_quantity > 40").select(F.col("l_orderkey").alias("block_num"))
+
+    def calls(frontier: DataFrame) -> DataFrame:
+        counted = ranges.count_in_ranges(frontier, blocks).select("from_block", "to_block", F.col("n").alias("logs"), F.explode(F.sequence(F.lit(0), F.lit(RETRIES))).alias("attempt"))
+        return counted.select("from_block", "to_block", "attempt", ((F.col("logs") <= MOST_LOGS) & (F.col("attempt") >= F.col("logs") % 3)).alias("ok"))
+
+    return ranges.bisect(ranges.chunk_ranges(orders, CHUNK), calls, retries=RETRIES, min_blocks=MIN_BLOCKS)
+
+
+@query
+def range_bisection(i: Inputs) -> DataFrame:
+    return _bisection(i)
+
+
 @query
-def chunk_ranges(i: Inputs) -> DataFrame:
-    return cohort.chunk_ranges(i.spark, 428_203_933, 459_307_198, 50_000)
+def range_counters(i: Inputs) -> DataFrame:
+    return ranges.counters(_bisection(i))
 
 
 @query
-def bisected_ranges(i: Inputs) -> DataFrame:
-    return cohort.bisect_failed(cohort.chunk_ranges(i.spark, 428_203_933, 459_307_198, 50_000), 1000)
+def range_logs(i: Inputs) -> DataFrame:
+    logs = landed.decode_logs(i.logs, {"vote": "vote", "proposal": "proposal"})
+    return ranges.rows_in_fetched(_bisection(i), logs).groupBy("kind", "address").agg(F.count("*").alias("n"), F.min("block_num").alias("first_block"))
 
 
 @query
@@ -532,10 +566,7 @@ def merge_policy_comparison(i: Inputs) -> DataFrame:
 
 @query
 def fetch_cap_hits(i: Inputs) -> DataFrame:
-    got = landed.bounded_transfers(i.transfers, i.cohort.select("address"), max_rows=12, max_peers=6)
-    peer = F.when(F.col("direction") == 0, F.col("from_addr")).otherwise(F.col("to_addr"))
-    fetches = got.groupBy("seed").agg(F.count("*").alias("n_rows"), F.countDistinct(peer).alias("n_peers"), F.lit(1).alias("n_pages"))
-    return cohort.cap_hits(fetches, max_rows=12, max_pages=30, max_peers=6)
+    return pages.cap_hits(_fetch(i)[1])
 
 
 # baseline

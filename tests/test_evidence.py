@@ -89,16 +89,6 @@ def test_safe_responses_and_probe_failure(spark):
     assert got == {"0xo1": False, "0xo2": True, "0xo3": True}
 
 
-def test_bounded_transfers(spark):
-    moves = [(f"p{n}", A, "1", n, f"t{n}", "ETH") for n in range(10)] + [("p0", A, "1", 0, "t0", "ETH"), (A, "q", "1", 3, "u", "ETH"), ("p1", A, "1", None, "v", "ETH")]
-    seeds = _subjects(spark, A)
-    run = lambda **k: landed.bounded_transfers(_frame(spark, "transfers", moves), seeds, **k)
-    assert run().count() == 12
-    assert run(start=0, end=99).count() == 11
-    assert [r["from_addr"] for r in run(start=0, end=99, max_rows=3).orderBy("position").collect()] == ["p0", "p1", "p2"]
-    assert run(start=0, end=99, max_peers=4).count() == 4
-
-
 def test_transfer_key_with_null_is_never_a_duplicate(spark):
     rows = [(A, B, "1", 1, "t", "ETH"), (A, B, "1", 1, "t", "ETH"), (A, B, "1", 1, None, "ETH"), (A, B, "1", 1, None, "ETH")]
     frame = _frame(spark, "transfers", rows)

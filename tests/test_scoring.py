@@ -141,9 +141,6 @@ def test_cohort_rules(spark):
     assert {r["cluster_id"]: r["tier"] for r in cohort.coordination_tiers(members, roles).collect()} == {A: "multi_identifier_coordination_mixed_governance_and_control", C: "singleton_negative_control_reference", D: "singleton"}
     merged = cohort.merge_governance(spark.createDataFrame([(A, 9)], "address string, first_seen_block long"), spark.createDataFrame([(A, 3), (B, 4)], "address string, first_seen_block long"))
     assert {tuple(r) for r in merged.collect()} == {(A, 3, "voter"), (B, 4, "proposer")}
-    ranges = cohort.chunk_ranges(spark, 0, 24, 10)
-    assert [tuple(r) for r in ranges.orderBy("from_block").collect()] == [(0, 9), (10, 19), (20, 24)]
-    assert [tuple(r) for r in cohort.bisect_failed(ranges, 5).orderBy("from_block").collect()] == [(0, 4), (5, 9), (10, 14), (15, 19)]
     shared = spark.createDataFrame([(A, "funded_by", "F")], "cluster_id string, kind string, key string")
     services = spark.createDataFrame([("funded_by", "F", 9)], "kind string, key string, fan_out long")
     assert {r["cluster_id"]: r["dominated"] for r in cohort.service_dominated(members, shared, services, min_size=2).collect()} == {A: True, C: False, D: False}
