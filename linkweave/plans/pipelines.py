@@ -23,7 +23,12 @@ def new_run_id() -> str:
 
 
 def ingest(store: Store, *, transfers: DataFrame | None = None, ens: DataFrame | None = None, owners: DataFrame | None = None, documents: DataFrame | None = None, subjects: DataFrame | None = None) -> dict[str, int]:
-    """Store facts; owners, controllers and funders never become subjects. Returns rows inserted."""
+    """Store facts, all or none; owners, controllers and funders never become subjects. Returns rows inserted."""
+    with store.transaction():
+        return _ingest(store, transfers, ens, owners, documents, subjects)
+
+
+def _ingest(store: Store, transfers: DataFrame | None, ens: DataFrame | None, owners: DataFrame | None, documents: DataFrame | None, subjects: DataFrame | None) -> dict[str, int]:
     counts = {}
     if subjects is not None:
         rows = subjects.select(F.lower("address").alias("address"), *[F.col(c) if c in subjects.columns else F.lit(None).cast(t).alias(c) for c, t in (("first_seen_block", "bigint"), ("label", "string"))])
@@ -42,8 +47,17 @@ def ingest(store: Store, *, transfers: DataFrame | None = None, ens: DataFrame |
 
 
 def link(store: Store, *, addresses: DataFrame | None = None, min_evidence: int = 1, policy: MergePolicy = LEGACY, deny: DataFrame | None = None, chain: str = "mainnet", window: tuple[int, int] = (0, 0), run_id: str | None = None, stable: float = STABLE, related: float = RELATED) -> dict:
-    """Extract evidence of the addresses, replace it in the store, cluster, and record run, service keys and lineage."""
-    spark, run_id = store.spark, run_id or new_run_id()
+    """Extract evidence of the addresses, replace it in the store, cluster, and record run, service keys and lineage.
+
+    Everything is staged under the run's id and published in one step at the end, so a run that
+    fails leaves the store as it was.
+    """
+    with store.transaction():
+        return _link(store, addresses, min_evidence, policy, deny, chain, window, run_id or new_run_id(), stable, related)
+
+
+def _link(store: Store, addresses: DataFrame | None, min_evidence: int, policy: MergePolicy, deny: DataFrame | None, chain: str, window: tuple[int, int], run_id: str, stable: float, related: float) -> dict:
+    spark = store.spark
     subjects = checkpoint(normalize_subjects(store.read("addresses") if addresses is None else addresses))
     fresh = checkpoint(extract_all(subjects, transfers=store.read("transfers"), ens=store.read("ens_records"), owners=store.read("safe_owners"), documents=store.read("did_documents"), deny=deny))
     store.replace_evidence(fresh, subjects, KINDS)
@@ -166,7 +180,16 @@ class Halted(RuntimeError):
 
 
 def cohort_run(store: Store, governance: DataFrame, control: DataFrame, transfers: DataFrame, *, window: tuple[int, int], per_cohort: int = 500, caps: pages.Caps = pages.Caps(), policy: MergePolicy = CONSERVATIVE, min_evidence: int = 1, deny: DataFrame | None = None, ens: DataFrame | None = None, owners: DataFrame | None = None, top: int = 3, snapshot_hash: str = "") -> dict:
-    """A bounded two-cohort run: exact cohort sizes, bounded transfers per seed, link, halt guard, tiers, summary."""
+    """A bounded two-cohort run: exact cohort sizes, bounded transfers per seed, link, halt guard, tiers, summary.
+
+    Facts, run and clusters are published together at its end: a run that halts or fails leaves
+    neither rows nor files, and the latest run is the one before.
+    """
+    with store.transaction():
+        return _cohort_run(store, governance, control, transfers, window, per_cohort, caps, policy, min_evidence, deny, ens, owners, top, snapshot_hash)
+
+
+def _cohort_run(store: Store, governance: DataFrame, control: DataFrame, transfers: DataFrame, window: tuple[int, int], per_cohort: int, caps: pages.Caps, policy: MergePolicy, min_evidence: int, deny: DataFrame | None, ens: DataFrame | None, owners: DataFrame | None, top: int, snapshot_hash: str) -> dict:
     seeds = checkpoint(governance.select("address", "first_seen_block", F.lit("governance").alias("role")).unionByName(control.select("address", "first_seen_block", F.lit("control").alias("role"))))
     sizes = {r["role"]: r["count"] for r in seeds.groupBy("role").count().collect()}
     if sizes != {"governance": per_cohort, "control": per_cohort}:

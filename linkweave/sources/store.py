@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from linkweave.schemas import TABLES
@@ -57,63 +60,160 @@ def insert_or_ignore_evidence(existing: DataFrame, incoming: DataFrame) -> DataF
 
 
 class Store:
-    """Parquet tables in one folder of any Hadoop file system.
-
-    Appended tables get files; replaced tables are written beside the old one and swapped in,
-    so a lost job leaves the old table. Tables of runs are partitioned by their run.
+    """Parquet tables in one folder of any Hadoop file system, published together.
+
+    Data files lie under ``table/version=.../`` and are never changed. What a reader sees is one
+    manifest, which names the versions of each table; publishing is the rename of a complete new
+    manifest, so a reader sees all of a change or nothing of it, and never a missing table.
+    Evidence is further split by kind and a bucket of its address, and the manifest names the
+    versions of each part: replacing the evidence of some addresses rewrites their buckets only.
+
+    Changes inside :meth:`transaction` are published together, and leave nothing where it fails.
+    There is one writer at a time; another one that publishes first makes this one fail. Files
+    that neither of the last two manifests names are deleted when a manifest is published, so a
+    reader may go on through one publication.
     """
 
-    PARTITIONS = {"entity_clusters": ["cluster_run_id"], "suspected_service_keys": ["cluster_run_id"], "evidence": ["kind"], "cluster_lineage": ["current_run_id"], "cluster_metrics": ["run_id"]}
+    PARTITIONS = {"entity_clusters": ["cluster_run_id"], "suspected_service_keys": ["cluster_run_id"], "cluster_lineage": ["current_run_id"], "cluster_metrics": ["run_id"]}
+    #: Tables whose parts are replaced one by one: the columns of a part, the last one a bucket of the address.
+    SCOPED = {"evidence": ("kind", "bucket")}
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, *, buckets: int = 32) -> None:
+        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
+        self._open: dict | None = None
+        self._made: list[str] = []
 
-    def path(self, table: str) -> str:
-        return f"{self.folder}/{table}"
+    # files
 
     def _fs(self, path: str):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def _names(self, path: str) -> list[str]:
+        fs, p = self._fs(path)
+        return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+    def remove(self, path: str) -> None:
+        fs, p = self._fs(path)
+        fs.delete(p, True)
+
+    # manifests
+
+    def _versions(self) -> list[int]:
+        return sorted(int(n.removesuffix(".json")) for n in self._names(f"{self.folder}/_manifest") if n.endswith(".json"))
+
+    def _load(self, version: int) -> dict:
+        return json.loads(self.spark.read.text(f"{self.folder}/_manifest/{version:012d}.json", wholetext=True).first()["value"])
+
+    def manifest(self) -> dict:
+        """What is published, or staged in the open transaction: {"version", "tables": {table: {part: versions}}, "batches"}."""
+        if self._open is not None:
+            return self._open
+        versions = self._versions()
+        return self._load(versions[-1]) if versions else {"version": 0, "tables": {}, "batches": {}}
+
+    @staticmethod
+    def _folders(manifest: dict) -> set[str]:
+        return {f"{table}/{version}/{part}".rstrip("/") for table, parts in manifest["tables"].items() for part, versions in parts.items() for version in versions}
+
+    def _publish(self, manifest: dict) -> None:
+        versions = self._versions()
+        if (versions[-1] if versions else 0) != manifest["version"]:
+            raise RuntimeError("another writer published first")
+        made = manifest | {"version": manifest["version"] + 1}
+        target = f"{self.folder}/_manifest/{made['version']:012d}.json"
+        fs, fresh = self._fs(f"{self.folder}/_manifest/.{uuid.uuid4().hex}")
+        out = fs.create(fresh, False)
+        out.write(json.dumps(made, sort_keys=True).encode())
+        out.close()
+        if not fs.rename(fresh, self._fs(target)[1]):
+            raise RuntimeError("another writer published first")
+        old = versions[:-1]
+        kept = self._folders(made) | (self._folders(self._load(versions[-1])) if versions else set())
+        for version in old:
+            for folder in self._folders(self._load(version)) - kept:
+                self.remove(f"{self.folder}/{folder}")
+            self.remove(f"{self.folder}/_manifest/{version:012d}.json")
+
+    @contextmanager
+    def transaction(self) -> Iterator[Store]:
+        """Changes made inside are seen by this store at once, and by others when it ends; a failure leaves no trace.
+
+        Inside an open transaction it is a part of that one.
+        """
+        if self._open is not None:
+            yield self
+            return
+        self._open, self._made = self.manifest(), []
+        try:
+            yield self
+            self._publish(self._open)
+        except BaseException:
+            for path in self._made:
+                self.remove(path)
+            raise
+        finally:
+            self._open, self._made = None, []
+
+    # tables
+
     def exists(self, table: str) -> bool:
-        fs, p = self._fs(self.path(table))
-        return fs.exists(p)
+        return table in self.manifest()["tables"]
 
-    def read(self, table: str) -> DataFrame:
-        """The table, or no rows of its schema."""
-        if not self.exists(table):
-            if table not in TABLES:
+    def _paths(self, table: str, parts: list[str] | None = None) -> list[str]:
+        entry = self.manifest()["tables"].get(table, {})
+        return [f"{self.folder}/{table}/{v}/{p}".rstrip("/") for p in (entry if parts is None else parts) for v in entry.get(p, [])]
+
+    def _read(self, table: str, paths: list[str]) -> DataFrame:
+        known = TABLES.get(table)
+        if not paths:
+            if known is None:
                 raise KeyError(table)
-            return self.spark.createDataFrame([], TABLES[table])
-        reader = self.spark.read.schema(TABLES[table]) if table in TABLES else self.spark.read
-        return reader.parquet(self.path(table))
+            return self.spark.createDataFrame([], known)
+        reader = self.spark.read if known is None else self.spark.read.schema(known)
+        rows = reader.option("basePath", f"{self.folder}/{table}").parquet(*paths)
+        return rows.drop("version", "bucket") if known is None else rows.select(*known.names)
+
+    def read(self, table: str) -> DataFrame:
+        """The table as it is published now (or staged here), or no rows of its schema."""
+        return self._read(table, self._paths(table))
+
+    def bucket(self, address: str = "address") -> Column:
+        return F.pmod(F.xxhash64(address), F.lit(self.buckets)).cast("int")
+
+    def _write(self, table: str, rows: DataFrame) -> tuple[str, list[str]]:
+        """A new version of some rows and the parts in it; only a manifest makes it part of the table."""
+        version = f"version={uuid.uuid4().hex}"
+        path = f"{self.folder}/{table}/{version}"
+        self._made.append(path)
+        by = list(self.SCOPED.get(table, self.PARTITIONS.get(table, [])))
+        if table in self.SCOPED:
+            # a part's rows meet before they are written, so that a part is a few files
+            rows = rows.withColumn("bucket", self.bucket()).repartition(*by)
+        rows.write.partitionBy(*by).parquet(path)
+        if table not in self.SCOPED:
+            return version, [""]
+        return version, [f"{a}/{b}" for a in self._names(path) if "=" in a for b in self._names(f"{path}/{a}")]
 
     def append(self, table: str, rows: DataFrame) -> int:
         """Number of rows appended, counted as they are written."""
-        seen = Observation()
-        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy(*self.PARTITIONS.get(table, [])).parquet(self.path(table))
-        return seen.get["n"]
+        with self.transaction():
+            seen = Observation()
+            version, parts = self._write(table, rows.observe(seen, F.count(F.lit(1)).alias("n")))
+            entry = self._open["tables"].setdefault(table, {})
+            for part in parts:
+                entry[part] = [*entry.get(part, []), version]
+            return seen.get["n"]
 
     def replace(self, table: str, rows: DataFrame) -> None:
-        """Write ``rows`` as the table, which may be derived from what it was."""
-        target = self.path(table)
-        fresh, old = f"{target}.new-{uuid.uuid4().hex}", f"{target}.old-{uuid.uuid4().hex}"
-        try:
-            rows.write.partitionBy(*self.PARTITIONS.get(table, [])).parquet(fresh)
-        except Exception:
-            self.remove(fresh)
-            raise
-        fs, t = self._fs(target)
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        if fs.exists(t):
-            fs.rename(t, path(old))
-        fs.rename(path(fresh), t)
-        fs.delete(path(old), True)
+        """``rows`` as the whole table; they may be derived from what it was."""
+        with self.transaction():
+            version, parts = self._write(table, rows)
+            self._open["tables"][table] = {part: [version] for part in parts}
 
-    def remove(self, path: str) -> None:
-        fs, p = self._fs(path)
-        fs.delete(p, True)
+    def compact(self, table: str) -> None:
+        """The table's appended versions as one."""
+        self.replace(table, self.read(table))
 
     def insert_transfers(self, incoming: DataFrame) -> int:
         return self.append("transfers", new_transfers(incoming, self.read("transfers") if self.exists("transfers") else None))
@@ -123,7 +223,26 @@ class Store:
         self.replace(table, last_write_wins(both, keys, "__seq"))
 
     def replace_evidence(self, new: DataFrame, addresses: DataFrame, kinds: tuple[str, ...]) -> None:
-        table = self.read("evidence")
-        for kind in kinds:
-            table = replace_scope(table, new, addresses, kind)
-        self.replace("evidence", table)
+        """Rows of ``kinds`` and of ``addresses`` replaced by those of ``new``: only the buckets that hold such an address are rewritten.
+
+        The buckets come to the driver; there are :attr:`buckets` of them at most.
+        """
+        with self.transaction():
+            touched = [r["b"] for r in addresses.select(self.bucket().alias("b")).distinct().collect()]
+            parts = [f"kind={kind}/bucket={b}" for kind in kinds for b in touched]
+            rows = self._read("evidence", self._paths("evidence", parts))
+            for kind in kinds:
+                rows = replace_scope(rows, new, addresses, kind)
+            version, made = self._write("evidence", rows)
+            kept = {p: v for p, v in self._open["tables"].get("evidence", {}).items() if p not in parts}
+            self._open["tables"]["evidence"] = kept | {part: [version] for part in made}
+
+    # streams
+
+    def once(self, stream: str, batch: int) -> bool:
+        """Whether a stream's batch is new here; noted in the open transaction, so it is stored with what the batch writes."""
+        batches = self.manifest()["batches"]
+        if batch <= batches.get(stream, -1):
+            return False
+        batches[stream] = batch
+        return True

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from linkweave.schemas import TABLES
-from linkweave.sources.store import TRANSFER_KEY, Store, new_transfers
+from linkweave.sources.store import TRANSFER_KEY, Store
 
 
 def transfer_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -18,11 +18,16 @@ def transfer_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def distinct_transfers(stream: DataFrame, *, event_time: str | None = None, delay: str = "1 hour") -> DataFrame:
-    """Transfers once by key; with an event time, the state is dropped behind the watermark."""
-    keyed = stream.where(F.col("tx_hash").isNotNull() & F.col("asset").isNotNull() & F.col("value").isNotNull())
+    """Transfers once by key; with an event time, the state is dropped behind the watermark.
+
+    A key with a null equals no other, so such rows pass beside the deduplication and cost no state.
+    """
     if event_time:
-        return keyed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(TRANSFER_KEY))
-    return keyed.dropDuplicates(list(TRANSFER_KEY))
+        stream = stream.withWatermark(event_time, delay)
+    whole = F.col("tx_hash").isNotNull() & F.col("asset").isNotNull() & F.col("value").isNotNull()
+    keyed = stream.where(whole)
+    once = keyed.dropDuplicatesWithinWatermark(list(TRANSFER_KEY)) if event_time else keyed.dropDuplicates(list(TRANSFER_KEY))
+    return once.unionByName(stream.where(~whole))
 
 
 def first_funding(stream: DataFrame) -> DataFrame:
@@ -33,14 +38,16 @@ def first_funding(stream: DataFrame) -> DataFrame:
 def insert_stream(stream: DataFrame, store: Store, checkpoint: str, *, after: Callable[[Store, int], None] | None = None) -> StreamingQuery:
     """Insert each batch into the store as if by insert-or-ignore, then call ``after`` (to link again, say).
 
-    A batch that is repeated after a failure adds nothing twice where its keys have no null; a
-    row with a null key is told apart only by the stream's own exactly-once offsets.
+    The batch's number is published with its rows and with what ``after`` stores, so a batch
+    that is repeated after a failure adds nothing, rows with null keys included.
     """
 
     def insert(batch: DataFrame, number: int) -> None:
-        known = store.read("transfers") if store.exists("transfers") else None
-        store.append("transfers", new_transfers(batch, known))
-        if after is not None:
-            after(store, number)
+        with store.transaction():
+            if not store.once(checkpoint, number):
+                return
+            store.insert_transfers(batch)
+            if after is not None:
+                after(store, number)
 
     return stream.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -118,6 +118,21 @@ def test_cohort_run(spark, tmp_path):
         pipelines.cohort_run(store, seeds(A), seeds(C, D), moves, window=(1, 2), per_cohort=2)
 
 
+def test_halted_run_leaves_nothing(spark, tmp_path, monkeypatch):
+    """A cluster that rests on suppressed keys halts the run: no rows, no files, and the run before stays the latest."""
+    seeds = lambda *xs: spark.createDataFrame([(x, 1) for x in xs], "address string, first_seen_block long")
+    moves = spark.createDataFrame([(f, x, "1", b, f"{f}{x}{b}", "E") for f in (O, K) for x, b in ((A, 10), (B, 12))], TABLES["transfers"])
+    store = Store(spark, f"file://{tmp_path}/db")
+    done = pipelines.cohort_run(store, seeds(A, B), seeds(C, D), moves, window=(1, 100), per_cohort=2)["run"]["run_id"]
+    files = lambda: {str(p) for p in tmp_path.rglob("*.parquet")}
+    before, manifest = files(), store.manifest()
+    monkeypatch.setattr(pipelines.cohort, "service_dominated", lambda members, *_: members.selectExpr("cluster_id", "99 as size", "true as dominated"))
+    with pytest.raises(pipelines.Halted):
+        pipelines.cohort_run(store, seeds(A, B), seeds(C, D), moves.union(moves.selectExpr("from_addr", "to_addr", "'2'", "block_num", "tx_hash", "asset")), window=(1, 100), per_cohort=2)
+    assert files() == before and store.manifest() == manifest
+    assert pipelines.Run(store).run_id == done and store.read("transfers").count() == 4
+
+
 def test_streams(spark, tmp_path):
     folder, store = f"{tmp_path}/in", Store(spark, f"file://{tmp_path}/db")
     rows = spark.createDataFrame([(A, B, "1", 5, "t", "E"), (A, B, "1", 5, "t", "E"), (A, B, "1", 3, None, "E")], TABLES["transfers"])
@@ -130,7 +145,7 @@ def test_streams(spark, tmp_path):
     assert store.read("transfers").count() == 3
     q = streams.first_funding(streams.distinct_transfers(streams.transfer_stream(spark, folder))).writeStream.outputMode("complete").format("memory").queryName("funding").trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert [tuple(r) for r in spark.table("funding").collect()] == [(B, A, 5)]
+    assert [tuple(r) for r in spark.table("funding").collect()] == [(B, A, 3)]
 
 
 def _plain(v):
