@@ -38,22 +38,24 @@ def linking_keys(evidence: DataFrame, policy: MergePolicy) -> DataFrame:
     return row_fanout(evidence).where((F.col("fan_out") >= 2) & ~is_service(policy))
 
 
-def shared_rows(evidence: DataFrame, policy: MergePolicy) -> DataFrame:
+def shared_rows(evidence: DataFrame, policy: MergePolicy, *, keys_link: bool = False) -> DataFrame:
     """A row for each pair of claims of different addresses on a linking key, the smaller address first.
 
     The cap bounds each key's rows, and capped keys go before the self-join, so a key yields at
-    most cap·(cap-1)/2 rows whatever its popularity was.
+    most cap·(cap-1)/2 rows whatever its popularity was. With ``keys_link`` the claims are known
+    to be on linking keys only, as where they are a part of all claims.
     """
-    kept = evidence.join(linking_keys(evidence, policy).select("kind", "key"), ["kind", "key"], "left_semi").select("kind", "key", "address", "strength", F.col("observed_block").alias("block"))
+    linking = evidence if keys_link else evidence.join(linking_keys(evidence, policy).select("kind", "key"), ["kind", "key"], "left_semi")
+    kept = linking.select("kind", "key", "address", "strength", F.col("observed_block").alias("block"))
     other = kept.select("kind", "key", F.col("address").alias("address_b"), F.col("strength").alias("strength_b"), F.col("block").alias("block_b"))
     pairs = kept.withColumnRenamed("address", "address_a").join(other, ["kind", "key"]).where("address_a < address_b")
     return pairs.select("address_a", "address_b", "kind", "key", F.greatest("strength", "strength_b").alias("strength"), F.abs(F.col("block") - F.col("block_b")).alias("block_delta"))
 
 
-def pair_stats(evidence: DataFrame, policy: MergePolicy) -> DataFrame:
+def pair_stats(evidence: DataFrame, policy: MergePolicy, *, keys_link: bool = False) -> DataFrame:
     """Per pair: rows, strongest, the same without funding, distinct funders, bursts."""
     funded = F.col("kind") == "funded_by"
-    return shared_rows(evidence, policy).groupBy("address_a", "address_b").agg(
+    return shared_rows(evidence, policy, keys_link=keys_link).groupBy("address_a", "address_b").agg(
         F.count("*").alias("n_edges"),
         F.max("strength").alias("max_strength"),
         F.count_if(~funded).alias("nf_edges"),

@@ -336,6 +336,8 @@ _SELECTS: dict[str, str] = {
     "range_logs": "SELECT kind, address, count(*) AS n, min(b) AS first_block FROM (SELECT o_orderkey AS b, CASE WHEN o_orderkey % 97 = 0 THEN 'proposal' ELSE 'vote' END AS kind, '0xc' || lpad(CAST(o_custkey AS VARCHAR), 39, '0') AS address FROM orders WHERE o_orderkey % 5 = 0) JOIN rgs ON b BETWEEN lo AND hi AND status = 'fetched' GROUP BY ALL",
     "merge_policy_comparison": "SELECT 'legacy' AS policy, count(*) AS clusters, count(*) FILTER (n > 1) AS multi, max(n) AS largest FROM (SELECT cluster_id, count(*) AS n FROM me_l2_cl GROUP BY ALL) UNION ALL SELECT 'conservative', count(*), count(*) FILTER (size > 1), max(size) FROM sizes",
     "fetch_cap_hits": "SELECT count(*) FILTER (row_cap) AS row_cap_hits, count(*) FILTER (page_cap) AS page_cap_hits, count(*) FILTER (peer_cap) AS peer_cap_hits, CAST(sum(calls) AS BIGINT) AS calls, (count(*) FILTER (row_cap) + count(*) FILTER (page_cap) + count(*) FILTER (peer_cap)) / count(DISTINCT seed) > 0.2 AS bias_risk FROM bfe",
+    "incremental_clusters": "SELECT cluster_id, address FROM mb WHERE address IN (SELECT address FROM ev)",
+    "running_participants": "SELECT address, min(block_num) AS first_block, count(*) AS n, CAST(count(*) >= 20 AS INT) AS crossings FROM (SELECT unnest([from_addr, to_addr]) AS address, block_num FROM fx_transfers) GROUP BY address",
     "baseline_pair_features": "SELECT * FROM bf",
     "baseline_scores": "SELECT * FROM bs",
     "baseline_recommendation": """SELECT address_a, address_b, recommendation, CASE WHEN recommendation = 'related_only' THEN 'weak' WHEN hub_penalty >= 0.5 THEN 'medium' ELSE 'medium_low' END AS confidence,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -11,9 +12,11 @@ from pyspark.sql import functions as F
 from linkweave.functions import scalar
 from linkweave.operators import audit, baseline, cohort, evaluation, evidence, features, graph, lineage, linking, metrics, pairwise, ranges, report
 from linkweave.plans.fixture import FIXTURES, fixture
-from linkweave.runtime import checkpoint
-from linkweave.schemas import CONSERVATIVE, LEGACY
+from linkweave.runtime import checkpoint, checkpoint_dir
+from linkweave.schemas import CONSERVATIVE, LEGACY, TABLES
 from linkweave.sources import landed, pages, store
+from linkweave.streaming.linking import IncrementalLinks
+from linkweave.streaming.participants import STATE_STORE, participant_counters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 MIN_EVIDENCE = 2
@@ -569,6 +572,46 @@ def fetch_cap_hits(i: Inputs) -> DataFrame:
     return pages.cap_hits(_fetch(i)[1])
 
 
+# as batches arrive
+
+#: Micro-batches that the queries below deal the tables into, and the transfers that make an address a service.
+BATCHES, SERVICE = 3, 20
+
+
+def _scratch(i: Inputs, name: str) -> str:
+    return f"{checkpoint_dir(i.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def incremental_clusters(i: Inputs) -> DataFrame:
+    """Clusters kept through micro-batches of claims, dealt by a hash of the claim."""
+    links = IncrementalLinks(store.Store(i.spark, _scratch(i, "links")), CONSERVATIVE, MIN_EVIDENCE)
+    dealt = F.pmod(F.xxhash64("address", "kind", "key"), F.lit(BATCHES))
+    for number in range(BATCHES):
+        links.update(i.evidence.where(dealt == number), number)
+    return links.clusters()
+
+
+@query
+def running_participants(i: Inputs) -> DataFrame:
+    """Counters of a stream of transfers that arrives in micro-batches, the last state of each address."""
+    folder, kept = _scratch(i, "stream"), store.Store(i.spark, _scratch(i, "participants"))
+    for key, value in STATE_STORE.items():
+        i.spark.conf.set(key, value)
+    late = i.transfers.withColumn("slice", F.pmod(F.xxhash64("tx_hash"), F.lit(BATCHES)))
+    late.repartition(BATCHES, "slice").write.parquet(f"{folder}/in")
+    stream = participant_counters(i.spark.readStream.schema(TABLES["transfers"]).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), cap=SERVICE)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        with kept.transaction():
+            if kept.once("participants", number):
+                kept.append("participants", batch.withColumn("batch", F.lit(number)))
+
+    stream.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
+    last = kept.read("participants").groupBy("address").agg(F.max_by("first_block", "batch").alias("first_block"), F.max("n").alias("n"), F.count_if("crossed").cast("int").alias("crossings"))
+    return last
+
+
 # baseline
 
 
