@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkweave.functions.scalar import normalize_address
-from linkweave.operators.report import dump, write_text
+from linkweave.operators.report import dump, write_ordered, write_text
 from linkweave.plans import pipelines
 from linkweave.schemas import CONSERVATIVE, FAN_OUT_CAP, GRAPH_EVIDENCE, GRAPH_IDENTIFIERS, LEGACY, RELATED, STABLE, TABLES, MergePolicy
 from linkweave.serve import server
@@ -35,7 +35,7 @@ def parser() -> argparse.ArgumentParser:
     add("ingest", ("--addresses", {}), ("--transfers", {}), ("--ens", {}), ("--safe-owners", {}), ("--did-documents", {}))
     add("link", *policy, ("--denylist", {}), ("--chain", {"default": "mainnet"}), ("--window-start", {"type": int, "default": 0}), ("--window-end", {"type": int, "default": 0}), ("--stable", {"type": float, "default": STABLE}), ("--related", {"type": float, "default": RELATED}))
     add("metrics", run, ("--threshold", {"type": float, "default": 0.5}))
-    add("report", run, out, ("--format", {"choices": ["markdown", "md", "json", "dot"], "default": "markdown"}))
+    add("report", run, out, ("--folder", {"help": "folder for the text in ordered parts, written by the executors"}), ("--format", {"choices": ["markdown", "md", "json", "dot"], "default": "markdown"}))
     add("add-ens-record", ("address", {}), ("--name", {}), ("--twitter", {}), ("--github", {}), ("--telegram", {}))
     add("add-safe-owner", ("safe_address", {}), ("owner_address", {}), ("--owner-is-safe", {"action": "store_true"}), ("--threshold", {"type": int}), ("--block", {"type": int}))
     add("add-did-document", ("subject_address", {}), ("controller", {}), ("--method", {"default": "ethr"}), ("--did", {}), ("--block", {"type": int}))
@@ -93,7 +93,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
         case "metrics":
             said = pipelines.run_metrics(store, a.run_id, a.threshold)
         case "report":
-            said = pipelines.render_report(store, a.format, a.run_id)
+            if a.folder:
+                write_ordered(pipelines.report_lines(store, a.format, a.run_id), a.folder)
+            said = a.folder or pipelines.render_report(store, a.format, a.run_id)
         case "add-ens-record":
             said = _one(store, "ens_records", address=a.address, name=a.name, twitter=a.twitter, github=a.github, telegram=a.telegram)
         case "add-safe-owner":

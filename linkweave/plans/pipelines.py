@@ -118,18 +118,23 @@ def run_metrics(store: Store, run_id: str | None = None, threshold: float = 0.5)
     return metrics.concentration(metrics.cluster_sizes(Run(store, run_id).members), threshold).first().asDict()
 
 
-def render_report(store: Store, fmt: str = "markdown", run_id: str | None = None, threshold: float = 0.5) -> str:
-    """The report as markdown (md), json or dot. Markdown and DOT apply the rule without funding policy, as edges are shown by it."""
+def report_lines(store: Store, fmt: str = "markdown", run_id: str | None = None, threshold: float = 0.5) -> DataFrame:
+    """The report as ordered lines: markdown (md), json or dot. Markdown and DOT apply the rule without funding policy, as edges are shown by it."""
     run = Run(store, run_id)
     if fmt in ("markdown", "md"):
-        return report.render_markdown(run.summary, run.evidence, run.members, run.services, min_evidence=run.min_evidence, policy=LEGACY, threshold=threshold)
+        return report.markdown_lines(run.summary, run.evidence, run.members, run.services, min_evidence=run.min_evidence, policy=LEGACY, threshold=threshold)
     if fmt == "dot":
-        return report.render_dot(run.summary, run.evidence, run.members, run.services, min_evidence=run.min_evidence, policy=LEGACY)
+        return report.dot_lines(run.summary, run.evidence, run.members, run.services, min_evidence=run.min_evidence, policy=LEGACY)
     if fmt == "json":
-        return report.report_json(run.summary, run.members, run.services, threshold).first()["value"]
+        return report.json_lines(run.summary, run.members, run.services, threshold)
     raise ValueError(f"unknown format {fmt!r}")
 
 
+def render_report(store: Store, fmt: str = "markdown", run_id: str | None = None, threshold: float = 0.5) -> str:
+    """A report that fits the driver, as one text."""
+    return report.text_of(report_lines(store, fmt, run_id, threshold))
+
+
 def export_graph(store: Store, mode: str = "evidence", *, run_id: str | None = None, params: LinkageParams = LinkageParams(), **bounds: int) -> dict:
     run = Run(store, run_id)
     if mode == "evidence":
