@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkweave.functions.scalar import share_of_union
-from linkweave.runtime import checkpoint, is_empty
+from linkweave.operators.components import connected_components
+from linkweave.runtime import checkpoint, checkpoint_dir, is_empty, remove, written
 from linkweave.schemas import RELATED, STABLE
 
 
@@ -58,21 +61,76 @@ def overlaps(current: DataFrame, previous: DataFrame, related: float = RELATED)
     return sized.withColumn("jaccard", jaccard).where(F.col("jaccard") >= related).select("current_cluster_id", "previous_cluster_id", "overlap_count", "jaccard")
 
 
-def greedy_matching(candidates: DataFrame) -> DataFrame:
+#: Rounds of mutual bests before components are looked for, and the candidates of a component that one task takes.
+ROUNDS, FOLD = 2, 50_000
+_SIDES = ["current_cluster_id", "previous_cluster_id"]
+
+
+def _mutual(left: DataFrame) -> DataFrame:
+    """The candidates that are first on both of their sides."""
+    order = F.struct((-F.col("jaccard")).alias("j"), (-F.col("overlap_count")).alias("o"), F.col("current_cluster_id").alias("c"), F.col("previous_cluster_id").alias("p"))
+    best = lambda side: left.groupBy(side).agg(F.min(order).alias("best")).select(F.col("best.c").alias("current_cluster_id"), F.col("best.p").alias("previous_cluster_id"))
+    return left.join(best("current_cluster_id"), _SIDES, "left_semi").join(best("previous_cluster_id"), _SIDES, "left_semi")
+
+
+def _without(left: DataFrame, won: DataFrame) -> DataFrame:
+    for side in _SIDES:
+        left = left.join(won.select(side), side, "left_anti")
+    return left
+
+
+def _fold(table: pa.Table) -> pa.Table:
+    """The sequential greedy over the candidates of one component."""
+    table = table.sort_by([("jaccard", "descending"), ("overlap_count", "descending"), ("current_cluster_id", "ascending"), ("previous_cluster_id", "ascending")])
+    current, previous, kept = set(), set(), []
+    for i, (c, p) in enumerate(zip(table["current_cluster_id"].to_pylist(), table["previous_cluster_id"].to_pylist(), strict=True)):
+        if c not in current and p not in previous:
+            current.add(c)
+            previous.add(p)
+            kept.append(i)
+    return table.take(pa.array(kept, pa.int64())).drop_columns("component")
+
+
+def greedy_matching(candidates: DataFrame, *, rounds: int = ROUNDS, fold: int = FOLD) -> DataFrame:
     """The one-to-one matching that takes candidates by (jaccard, overlap) descending, then ids.
 
     The order is total, so a candidate that is first on both of its sides is taken by the
-    sequential greedy too; each round takes all of those at once and drops their sides.
+    sequential greedy too, and a round takes all of those at once; that ends most matchings. A
+    chain of falling overlaps would take a round a link, so what is left after ``rounds`` is cut
+    into the components of the overlap graph, as no candidate acts on another component: those
+    of up to ``fold`` candidates are finished by the sequential rule, each in one task, and only
+    larger ones go through further rounds, which break them up. What a round takes is written
+    and read at the end, so plans don't grow.
     """
-    order = F.struct((-F.col("jaccard")).alias("j"), (-F.col("overlap_count")).alias("o"), F.col("current_cluster_id").alias("c"), F.col("previous_cluster_id").alias("p"))
-    left, taken = checkpoint(candidates), None
-    while not is_empty(left):
-        best = lambda side: left.groupBy(side).agg(F.min(order).alias("best")).select(F.col("best.c").alias("current_cluster_id"), F.col("best.p").alias("previous_cluster_id"))  # noqa: E731, B023
-        both = ["current_cluster_id", "previous_cluster_id"]
-        won = checkpoint(left.join(best("current_cluster_id"), both, "left_semi").join(best("previous_cluster_id"), both, "left_semi"))
-        taken = won if taken is None else taken.union(won)
-        left = checkpoint(left.join(won.select("current_cluster_id"), "current_cluster_id", "left_anti").join(won.select("previous_cluster_id"), "previous_cluster_id", "left_anti"))
-    return left if taken is None else taken
+    spark = candidates.sparkSession
+    folder = f"{checkpoint_dir(spark)}/matching-{uuid.uuid4().hex}"
+    left, turn = written(candidates, f"{folder}/left/0"), 0
+
+    def taken(won: DataFrame) -> DataFrame:
+        return written(won.select(*candidates.columns), f"{folder}/taken/round={turn}")
+
+    def follow(rest: DataFrame) -> DataFrame:
+        kept = written(rest.select(*candidates.columns), f"{folder}/left/{turn}")
+        remove(spark, f"{folder}/left/{turn - 1}")
+        return kept
+
+    while not turn or not is_empty(left):
+        for _ in range(rounds):
+            won = taken(_mutual(left))
+            turn += 1
+            left = follow(_without(left, won))
+        if is_empty(left):
+            break
+        edges = left.select(F.concat(F.lit("c"), "current_cluster_id").alias("a"), F.concat(F.lit("p"), "previous_cluster_id").alias("b"))
+        of = connected_components(edges).where(F.col("node").startswith("c")).select(F.substr("node", F.lit(2)).alias("current_cluster_id"), "component")
+        labelled = written(left.join(of, "current_cluster_id"), f"{folder}/labelled")
+        small = labelled.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") <= fold).select("component")
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in labelled.drop("component").schema)
+        taken(labelled.join(small, "component", "left_semi").groupBy("component").applyInArrow(_fold, schema))
+        turn += 1
+        left = follow(labelled.join(small, "component", "left_anti"))
+        remove(spark, f"{folder}/labelled")
+    return spark.read.schema(candidates.schema).parquet(f"{folder}/taken").select(*candidates.columns)
 
 
 def lineage(current: DataFrame, previous: DataFrame, *, current_run: str, previous_run: str, stable: float = STABLE, related: float = RELATED) -> DataFrame:

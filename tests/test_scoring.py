@@ -71,6 +71,19 @@ def test_greedy_matching_is_the_sequential_one(spark):
     assert {(r[0], r[1]) for r in lineage.greedy_matching(spark.createDataFrame(frame, schema)).select("current_cluster_id", "previous_cluster_id").collect()} == taken
 
 
+@pytest.mark.parametrize("fold", [5000, 300])
+def test_a_chain_of_falling_overlaps_takes_few_rounds(spark, monkeypatch, fold):
+    """1,000 candidates, each in the way of the next; with a small bound the chain is first broken up by rounds."""
+    frame = [(f"c{n // 2 + n % 2:04d}", f"p{n // 2:04d}", 2000 - n, 0.9 - n / 10_000) for n in range(1000 if fold == 5000 else 310)]
+    seen = []
+    mutual = lineage._mutual
+    monkeypatch.setattr(lineage, "_mutual", lambda left: seen.append(1) or mutual(left))
+    got = lineage.greedy_matching(spark.createDataFrame(frame, "current_cluster_id string, previous_cluster_id string, overlap_count long, jaccard double"), fold=fold)
+    assert sorted((r[0], r[1]) for r in got.collect()) == [(c, p) for c, p, _, _ in frame[::2]]
+    assert len(seen) <= (2 if fold == 5000 else 8)
+    assert lineage.greedy_matching(got.where("false")).count() == 0
+
+
 def test_lineage_guards_and_latest_run(spark):
     now, before = lineage.RunWindow("r2", "x", "p", 1, 2), lineage.RunWindow("r1", "x", "p", 1, 2)
     assert lineage.skip_reason(now, before) is None
