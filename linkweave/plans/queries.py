@@ -630,6 +630,11 @@ def _baseline(i: Inputs) -> DataFrame:
     return checkpoint(_rounded(baseline.pair_baseline(i.evidence), "hub_penalty"))
 
 
+def _classes(i: Inputs) -> DataFrame:
+    """The found pairs by classes of addresses, for what only counts them."""
+    return checkpoint(_rounded(baseline.class_baseline(i.evidence, i.subjects), "hub_penalty"))
+
+
 @query
 def baseline_recommendation(i: Inputs) -> DataFrame:
     rows = _rounded(baseline.pair_baseline(i.evidence, i.subjects), "hub_penalty")
@@ -653,13 +658,13 @@ def baseline_zero_pairs(i: Inputs) -> DataFrame:
 
 @query
 def baseline_diagnostics(i: Inputs) -> DataFrame:
-    rows = _baseline(i)
+    rows = _classes(i)
     return baseline.diagnostics(rows, baseline.zero_pair_count(rows, i.subjects))
 
 
 @query
 def hub_quantiles(i: Inputs) -> DataFrame:
-    rows = _baseline(i)
+    rows = _classes(i)
     return baseline.hub_quantiles(rows, baseline.zero_pair_count(rows, i.subjects))
 
 

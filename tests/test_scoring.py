@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkweave.operators import audit, baseline, cohort, evaluation, features, graph, lineage, linking, pairwise
+from linkweave.runtime import checkpoint
 from linkweave.schemas import LEGACY, TABLES, LinkageParams
 
 A, B, C, D = ("0x" + c * 40 for c in "abcd")
@@ -169,6 +170,35 @@ def test_baseline_rows(spark):
     assert tuple(baseline.hub_quantiles(frame).first()) == (5, 0.1, 0.2, 0.2, 0.3, 0.9)
 
 
+def test_a_hub_of_equal_addresses_is_a_few_rows(spark):
+    """5,000 addresses on one key, some with a claim of their own and one other key among ten of them."""
+    rows = [(f"x{n:05d}", "funded_by", "hub", 2, 5, None) for n in range(5000)] + [(f"x{n:05d}", "ens_handle", f"own{n}", 2, 0, None) for n in range(0, 5000, 2)]
+    rows += [(f"x{n:05d}", "safe_owner", "ten", 2, 9 + n % 2, None) for n in range(10)]
+    e, addresses = _evidence(spark, rows), spark.createDataFrame([(f"x{n:05d}",) for n in range(4999)] + [("y",)], "address string")
+    found = baseline.class_baseline(e, addresses)
+    got = found.collect()
+    assert len(got) == 6 and sum(r["n_pairs"] for r in got) == 5000 * 4999 // 2 and sum(r["n_known"] for r in got) == 4999 * 4998 // 2
+    assert baseline.diagnostics(found, 7).first()["pair_count"] == 5000 * 4999 // 2 + 7
+    assert baseline.diagnostics(found).first()["pairs_with_safe_owner"] == 45
+    assert baseline.zero_pair_count(found, addresses) == 4999
+    assert baseline.hub_quantiles(found).first()["n"] == 5000 * 4999 // 2
+
+
+def test_classes_give_the_pairs_counters(spark, monkeypatch):
+    """Few keys and sources, so that classes, self-pairs and blocks of a hub all occur."""
+    monkeypatch.setattr(baseline, "SPLIT", 3)
+    dice = random.Random(8)
+    rows = [(f"x{dice.randrange(40)}", dice.choice(["safe_owner", "ens_handle"]), f"k{dice.randrange(4)}", 2, dice.choice([0, 3, 9]), None) for _ in range(90)] + [(f"x{n}", "funded_by", "hub", 2, n % 3, None) for n in range(40)]
+    e, addresses = _evidence(spark, rows), spark.createDataFrame([(f"x{n}",) for n in range(0, 50, 3)], "address string")
+    pairs, classes = checkpoint(baseline.pair_baseline(e)), checkpoint(baseline.class_baseline(e, addresses))
+    assert pairs.count() == 780 == pairs.select("address_a", "address_b").distinct().where("address_a < address_b").count()
+    assert classes.count() < 780
+    assert baseline.diagnostics(classes).first() == baseline.diagnostics(pairs).first()
+    assert baseline.hub_quantiles(classes).first() == baseline.hub_quantiles(pairs).first()
+    assert baseline.zero_pair_count(classes, addresses) == baseline.zero_pair_count(pairs, addresses)
+    assert baseline.class_baseline(e.where("false")).count() == 0
+
+
 def test_counted_zero_pairs_equal_made_ones(spark):
     e = _evidence(spark, [(x, "safe_owner", "k1", 2, 5, None) for x in (A, B, "0xelse")])
     addresses = spark.createDataFrame([(x,) for x in (A, B, C, D)], "address string")
