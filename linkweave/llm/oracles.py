@@ -6,8 +6,7 @@ against brute force, the library's own output or held-out accuracy in tests/llm.
 
 from __future__ import annotations
 
-from linkweave.llm.license_scan import LICENCE_FILE, NAMES_LICENCE, TEMPLATES, THRESHOLD, header_line
-from linkweave.llm.license_scan import RUN as HEADERS
+from linkweave.llm.license_scan import TEMPLATES, header_line
 from linkweave.llm.line_dedup import RUN, STRETCH, UNSPACED
 from linkweave.llm.url_filters import RULES
 
@@ -132,6 +131,8 @@ m AS (SELECT rid, rhost || rpath AS rule, verdict, row_number() OVER (PARTITION
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM s LEFT JOIN (SELECT * FROM m WHERE n = 1) USING (rid)
 """
 
+#: The template texts and the words of a header line are data; every rule below is written out.
+_HEADER = header_line(TEMPLATES)
 _TEMPLATE_ROWS = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES))
 
 
@@ -143,17 +144,21 @@ LICENSE_SCAN = f"""
 WITH tp(template, licence, txt) AS (VALUES {_TEMPLATE_ROWS}),
 tt AS (SELECT template, licence, unnest({_terms("txt")}) AS term FROM tp),
 given AS (SELECT template, licence, term, count(*) AS tf FROM tt GROUP BY ALL),
-d AS (SELECT row_number() OVER () AS rid, doc_id, concat_ws('/', source, CAST(doc_id // 100 AS VARCHAR), CAST(doc_id AS VARCHAR) || '.txt') AS path, text FROM documents),
-ha AS (SELECT rid, doc_id, path, text, CASE WHEN regexp_matches(text, '{NAMES_LICENCE}') THEN string_split(text, chr(10)) ELSE [] END AS al FROM d),
-h AS (SELECT *, list_transform(al, lambda x: regexp_matches(x, '{header_line(TEMPLATES)}')) AS hd, list_filter(al, lambda x: regexp_matches(x, '{header_line(TEMPLATES)}')) AS ls FROM ha),
-k AS (SELECT *, regexp_matches(path, '{LICENCE_FILE}') OR (len(ls) > 0 AND 2 * len({_terms("array_to_string(ls, ' ')")}) >= len({_terms("coalesce(text, '')")})) AS is_file FROM h),
-ka AS (SELECT rid, al, hd, unnest(range(1, len(al) + 1)) AS i FROM k),
-us AS (SELECT DISTINCT rid, unit FROM (
-  SELECT rid, unnest(ls) AS unit FROM k
-  UNION ALL SELECT rid, unnest(string_split_regex(line, '[.;](?: |$)')) FROM (SELECT rid, unnest(ls) AS line FROM k)
-  UNION ALL SELECT rid, array_to_string(al[i:i + n - 1], ' ') FROM ka, range(2, {HEADERS + 1}) r(n) WHERE i + n - 1 <= len(al) AND NOT list_contains(hd[i:i + n - 1], false)
-  UNION ALL SELECT rid, text FROM k WHERE is_file AND text IS NOT NULL) WHERE len({_terms("unit")}) > 0),
-un AS (SELECT row_number() OVER () AS uid, rid, unit FROM us),
+d AS (SELECT row_number() OVER () AS rid, * FROM (SELECT 'document' AS kind, doc_id, CAST(NULL AS VARCHAR) AS path, text FROM documents
+  UNION ALL SELECT 'page', page_id, nullif(regexp_extract(url, '^[^:]*://([^?#]*)', 1), ''), regexp_replace(html, '<[^>]*>', chr(10), 'g') FROM pages)),
+la AS (SELECT rid, string_split(replace(text, chr(1), ' '), chr(10)) AS al FROM d WHERE regexp_matches(text, '(?i)licen[sc]e|copyright|rights[^a-z0-9]+reserved|spdx|public[^a-z0-9]+domain|creative[^a-z0-9]+commons|redistribution|permission|unencumbered')),
+l AS (SELECT rid, unnest(al) AS line, unnest(range(len(al))) AS i FROM la),
+lh AS (SELECT *, regexp_matches(line, '{_HEADER}') AS h, regexp_matches(line, '[A-Za-z0-9]') AS w FROM l),
+li AS (SELECT *, h OR (w AND coalesce(lag(h) OVER v, false) AND coalesce(lead(h) OVER v, false)) AS inside FROM lh WINDOW v AS (PARTITION BY rid ORDER BY i)),
+lb AS (SELECT *, sum((NOT inside)::INT) OVER (PARTITION BY rid ORDER BY i) AS block FROM li),
+bl AS (SELECT rid, block, string_agg(line, ' ' ORDER BY i) AS whole, count(*) AS n, sum(len({_terms("line")})) AS words FROM lb WHERE inside GROUP BY ALL),
+fw AS (SELECT rid, sum(words) AS words FROM bl GROUP BY rid),
+k AS (SELECT d.*, coalesce(regexp_matches(path, '(?i)(^|/)(licen[sc]e|copying|notice)[^/]*$'), false) OR coalesce(2 * fw.words >= len({_terms("coalesce(text, '')")}), false) AS is_file FROM d LEFT JOIN fw USING (rid)),
+us AS (SELECT rid, block, 0 AS way, whole AS unit FROM bl
+  UNION ALL SELECT rid, block, 1, unnest(ss) FROM (SELECT rid, block, string_split_regex(whole, '\\.( |\\z)') AS ss FROM bl) WHERE len(ss) > 1
+  UNION ALL SELECT rid, block, 2, line FROM lb JOIN bl USING (rid, block) WHERE inside AND n > 1
+  UNION ALL SELECT rid, -1, 3, coalesce(text, '') FROM k WHERE is_file),
+un AS (SELECT row_number() OVER () AS uid, *, regexp_matches(unit, '(?i)(^|[^a-z0-9])later([^a-z0-9]|$)') AS later FROM us WHERE len({_terms("unit")}) > 0),
 te AS (SELECT uid, rid, unnest({_terms("unit")}) AS term FROM un),
 counts AS (SELECT uid, rid, term, count(*) AS tf FROM te GROUP BY ALL),
 n AS (SELECT CAST({len(TEMPLATES)} AS DOUBLE) + (SELECT count(*) FROM un) AS n),
@@ -163,14 +168,17 @@ wt AS (SELECT template, licence, term, tf * idf AS w FROM given JOIN idf USING (
 ln1 AS (SELECT template, sqrt(sum(w * w)) AS length FROM wt GROUP BY template),
 uw AS (SELECT uid, rid, term, tf * coalesce(idf, (SELECT ln(n + 1) + 1 FROM n)) AS w FROM counts LEFT JOIN idf USING (term)),
 ul AS (SELECT uid, sqrt(sum(w * w)) AS unit_length FROM uw GROUP BY uid),
-dots AS (SELECT uid, rid, licence, template, sum(uw.w * wt.w / length) AS dot FROM uw JOIN wt USING (term) JOIN ln1 USING (template) GROUP BY ALL HAVING count(*) >= 2),
-sc AS (SELECT uid, rid, licence, round(dot / unit_length, 6) AS score FROM dots JOIN ul USING (uid)),
-bu AS (SELECT rid, licence, score, row_number() OVER (PARTITION BY uid ORDER BY score DESC, licence) AS n FROM sc WHERE score >= {THRESHOLD}),
+mu AS (SELECT template, count(*) FILTER (regexp_matches(term, '^([0-9]|later|lesser|affero|nc|sa)$')) AS n_must, bool_or(term = 'later') AS says_later FROM given GROUP BY template),
+dots AS (SELECT uid, rid, licence, template, sum(uw.w * wt.w / length) AS dot, count(*) FILTER (regexp_matches(term, '^([0-9]|later|lesser|affero|nc|sa)$')) AS met FROM uw JOIN wt USING (term) JOIN ln1 USING (template) GROUP BY ALL HAVING count(*) >= 2),
+sc AS (SELECT uid, rid, block, way, licence, round(dot / unit_length, 6) AS score FROM dots JOIN ul USING (uid) JOIN mu USING (template) JOIN (SELECT uid, block, way, later FROM un) USING (uid) WHERE met = n_must AND (says_later OR NOT later)),
+bt AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, licence) AS one FROM sc WHERE score >= 0.6),
+bw AS (SELECT *, first_value(way) OVER (PARTITION BY rid, block ORDER BY score DESC, way) AS best_way, max(block) OVER (PARTITION BY rid) AS first_block FROM bt WHERE one = 1),
+bu AS (SELECT *, 1 AS n FROM bw WHERE way = best_way AND (block >= 0 OR first_block < 0)),
 own AS (SELECT rid, string_agg(DISTINCT licence, ',' ORDER BY licence) AS own_licences, max(score) AS score, arg_min(licence, struct_pack(a := -score, b := licence)) AS own_licence FROM bu WHERE n = 1 GROUP BY rid),
-j AS (SELECT k.rid, doc_id, path, is_file, own_licences, score, own_licence FROM k LEFT JOIN own USING (rid)),
-fo AS (SELECT regexp_replace(path, '/[^/]*$', '') AS folder, arg_min(own_licence, struct_pack(a := -score, b := own_licence)) AS folder_licence FROM j WHERE is_file AND own_licence IS NOT NULL GROUP BY 1),
-ih AS (SELECT rid, folder, folder_licence, row_number() OVER (PARTITION BY rid ORDER BY length(folder) DESC) AS n FROM j JOIN fo ON starts_with(path, folder || '/') WHERE own_licence IS NULL)
-SELECT doc_id, path, is_file, coalesce(own_licences, '') AS own_licences, coalesce(score, 0.0) AS score, coalesce(own_licence, folder_licence) AS licence,
+j AS (SELECT k.rid, kind, doc_id, path, is_file, own_licences, score, own_licence FROM k LEFT JOIN own USING (rid)),
+fo AS (SELECT CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS folder, arg_min(own_licence, struct_pack(a := -score, b := own_licence)) AS folder_licence FROM j WHERE is_file AND own_licence IS NOT NULL AND path IS NOT NULL GROUP BY 1),
+ih AS (SELECT rid, folder, folder_licence, row_number() OVER (PARTITION BY rid ORDER BY length(folder) DESC) AS n FROM j JOIN fo ON folder = '' OR starts_with(path, folder || '/') WHERE own_licence IS NULL AND path IS NOT NULL)
+SELECT kind, doc_id, path, is_file, coalesce(own_licences, '') AS own_licences, coalesce(score, 0.0) AS score, coalesce(own_licence, folder_licence) AS licence,
        CASE WHEN own_licence IS NULL THEN folder END AS inherited_from
 FROM j LEFT JOIN (SELECT * FROM ih WHERE n = 1) USING (rid)
 """

@@ -65,7 +65,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.licence_report(_documents(spark, sf_dir, "doc_id", "source", "text"))
+    return license_scan.licence_report(_documents(spark, sf_dir, "doc_id", "text"), _table(spark, sf_dir, "pages"))
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import textwrap
 
 import numpy as np
 import pyarrow as pa
@@ -513,6 +514,61 @@ def test_license_notices_as_they_are_written(spark):
     assert all(got[n] is None for n in range(len(texts), len(rows)))
 
 
+_FREE = "This {what} is free software{a} you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation{b}"
+_NO_WARRANTY = " This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+_OR_LATER = "{c} either version {v} of the License, or (at your option) any later version."
+
+
+def _gnu(name, what, v, later):
+    semi = v.startswith("2")
+    text = _FREE.format(what=what, name=name, a=";" if semi else ":", b="")
+    return text + (_OR_LATER.format(c=";" if semi else ",", v=v) if later else f"{';' if semi else ','} version {v} of the License.")
+
+
+NOTICES = {
+    "GPL-2.0-only": _gnu("General Public License", "program", "2", False),
+    "GPL-2.0-or-later": _gnu("General Public License", "program", "2", True),
+    "GPL-3.0-only": _gnu("General Public License", "program", "3", False),
+    "GPL-3.0-or-later": _gnu("General Public License", "program", "3", True),
+    "LGPL-2.1-or-later": _gnu("Lesser General Public License", "library", "2.1", True),
+    "LGPL-2.1-only": _gnu("Lesser General Public License", "library", "2.1", False),
+    "AGPL-3.0-or-later": _gnu("Affero General Public License", "program", "3", True),
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+    "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+}
+
+
+def test_notices_wrapped_at_any_width(spark):
+    """One licence each, the right one, alone, with a disclaimer behind it, as a comment or as plain text."""
+    rows = []
+    for name, notice in NOTICES.items():
+        for width in (30, 40, 50, 60, 72, 80, 120, 400):
+            for kind in range(3):
+                text = notice + (_NO_WARRANTY.format(what="program") if kind == 1 and "GPL" in name else "")
+                lines = textwrap.wrap(text, width)
+                body = "\n".join(lines) if kind == 2 else "/*\n" + "\n".join(f" * {x}" for x in lines) + "\n */"
+                code = "\n".join(f"value_{n} = compute({n})" for n in range(40))
+                rows.append((len(rows), f"p{len(rows)}/a.c", f"{body}\n{code}" if kind < 2 else f"{code}\n\n{body}\n\n{code}", name))
+    got = license_scan.scan(spark.createDataFrame([r[:3] for r in rows], "doc_id long, path string, text string")).collect()
+    wrong = [(rows[r["doc_id"]][3], rows[r["doc_id"]][2][:400], r["own_licences"]) for r in got if r["own_licences"] != rows[r["doc_id"]][3]]
+    assert not wrong, (len(wrong), wrong[:3])
+
+
+def test_notices_side_by_side_and_without_a_version(spark):
+    texts = [
+        "Licensed under the Apache License, Version 2.0.\nReleased under the MIT License.",
+        "Licensed under the GNU General Public License.\n\nsome code",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
+        "\n".join([*["int main() {"] * 30, *textwrap.wrap(NOTICES["LGPL-2.1-or-later"], 50), *["}"] * 30]),
+        "\x01Released under the MIT License.\x01\n\x01",
+    ]
+    got = license_scan.scan(spark.createDataFrame([(n, None, t) for n, t in enumerate(texts)], "doc_id long, path string, text string")).orderBy("doc_id").collect()
+    assert [r["own_licences"] for r in got] == ["Apache-2.0,MIT", "", "GPL-2.0-or-later", "LGPL-2.1-or-later", "MIT"]
+
+
 # preferences
 
 
