@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from linkweave.runtime import checkpoint_dir, is_empty, remove, written
+from linkweave.runtime import checkpoint_dir, remove, written
+
+#: More than log2 of any number of nodes, several times over.
+ROUNDS = 400
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -27,17 +31,22 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     pairs = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
     both = written(pairs.union(pairs.select(F.col("y"), F.col("x"))).distinct(), f"{folder}/edges")
     links = written(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("link")), f"{folder}/0")
-    for turn in range(1, 10_000):
+    for turn in count(1):
+        if turn > ROUNDS:
+            raise RuntimeError(f"components are not closed after {ROUNDS} rounds")
         onward = links.select(F.col("node").alias("t"), F.col("link").alias("far"))
         ahead = links.join(onward, links.link == onward.t).select("node", "link", "far")
         near = both.join(ahead.select(F.col("node").alias("n"), "far"), F.col("y") == F.col("n")).groupBy("x").agg(F.min("far").alias("least"))
         own = F.struct(F.col("node").alias("node"), F.least("link", "least", "far").alias("link"), F.col("link").alias("was"))
         hooked = F.struct(F.col("link").alias("node"), F.col("least").alias("link"), F.lit(None).alias("was"))
         offers = ahead.join(near, F.col("node") == F.col("x")).select(F.explode(F.array(own, hooked)).alias("o")).select("o.*")
-        step = written(offers.groupBy("node").agg(F.min("link").alias("link"), F.max("was").alias("was")), f"{folder}/{turn}")
+        changed = Observation()
+        moved = offers.groupBy("node").agg(F.min("link").alias("link"), F.max("was").alias("was"))
+        # counted while it is written, so that the end of the rounds is no job of its own
+        step = written(moved.observe(changed, F.count_if(F.col("link") != F.col("was")).alias("n")), f"{folder}/{turn}")
         remove(spark, f"{folder}/{turn - 1}")
         links = step.select("node", "link")
-        if is_empty(step.where("link <> was")):
+        if not changed.get["n"]:
             break
     remove(spark, f"{folder}/edges")
     return links.withColumnRenamed("link", "component")

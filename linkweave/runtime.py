@@ -8,12 +8,18 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Checkpoint folders that are marked for deletion already.
+_OWNED: set[str] = set()
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
     A cluster names it in ``spark.checkpoint.dir``; only where that setting and the
     context's own folder are both unset on a ``local`` master (tests, a laptop) is a local one
-    chosen, since the other machines of a cluster would not see it.
+    chosen, since the other machines of a cluster would not see it. The folder is the
+    application's own, and it and all that operators wrote there are deleted when the driver's
+    JVM ends, after a failed query as after a good one.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir")
@@ -22,7 +28,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="linkweave-checkpoint-"))
-    return context._jsc.sc().getCheckpointDir().get()
+    folder = context._jsc.sc().getCheckpointDir().get()
+    if folder not in _OWNED:
+        _OWNED.add(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
