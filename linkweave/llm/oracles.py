@@ -7,8 +7,6 @@ against brute force, the library's own output or held-out accuracy in tests/llm.
 from __future__ import annotations
 
 from linkweave.llm.license_scan import TEMPLATES, header_line
-from linkweave.llm.line_dedup import RUN, STRETCH, UNSPACED
-from linkweave.llm.url_filters import RULES
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANK = r"[\x20\x09-\x0D]"
@@ -80,25 +78,40 @@ b AS (SELECT *, (n_words < 20)::BIGINT + 2 * (100 * n_repeat_words > 30 * n_word
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & 3) <> 0 AS base_failed, (failed_bits & 183) = 0 AS kept, failed_bits FROM b
 """
 
+#: White space, and characters of scripts written without blanks (Thai, Lao, Burmese, Khmer, kana, Han).
+_UNSPACED = r"\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}"
 _SPACE = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_CUT = """j AS (SELECT y.*, d.text AS whole, coalesce(lag(stop) OVER v, 0) AS before, coalesce(sum((NOT gone)::INT) OVER (v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part,
+             coalesce(gone AND lag(gone) OVER v, false) AS inner_gone FROM y JOIN d ON y.rid = d.rid WINDOW v AS (PARTITION BY y.rid ORDER BY u)),
+h AS (SELECT *, CASE WHEN u > 0 THEN whole[before + 1:start] ELSE '' END AS gap, sum((gone AND NOT inner_gone)::INT) OVER (PARTITION BY rid ORDER BY u) AS island FROM j),
+kp AS (SELECT rid, part, max(CASE WHEN NOT gone THEN whole[start + 1:stop] END) AS unit,
+              arg_max(gap, lpad(CAST(length(gap) - length(replace(gap, chr(10), '')) AS VARCHAR), 9, '0') || (gap <> '')::INT || lpad(CAST(999999999 - u AS VARCHAR), 9, '0')) AS gap FROM h GROUP BY rid, part),
+tx AS (SELECT rid, string_agg(CASE WHEN part > 0 THEN gap ELSE '' END || unit, '' ORDER BY part) AS inner_text FROM kp WHERE unit IS NOT NULL GROUP BY rid),
+sp AS (SELECT rid, island, CAST(min(start) AS VARCHAR) || '-' || CAST(max(stop) AS VARCHAR) AS span FROM h WHERE gone GROUP BY rid, island),
+ss AS (SELECT rid, string_agg(span, ',' ORDER BY island) AS spans FROM sp GROUP BY rid),
+a AS (SELECT rid, count(*) FILTER (gone) AS n_removed, min(start) AS first_start, max(stop) AS last_stop FROM y GROUP BY rid)
+SELECT doc_id, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(spans, '') AS removed_spans,
+       CASE WHEN a.rid IS NULL THEN text ELSE text[:first_start] || coalesce(inner_text, '') || text[last_stop + 1:] END AS text
+FROM d LEFT JOIN a ON d.rid = a.rid LEFT JOIN tx ON d.rid = tx.rid LEFT JOIN ss ON d.rid = ss.rid
+"""
 LINE_DEDUP = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
 s AS (SELECT rid, string_split(text, chr(10)) AS ls FROM d WHERE text IS NOT NULL),
 l AS (SELECT rid, unnest(ls) AS line, unnest(range(0, len(ls))) AS ln FROM s),
 o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY rid ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line_start,
-             regexp_extract_all(line, '[{_SPACE}]+|[{UNSPACED}]|[^{_SPACE}{UNSPACED}]+') AS ps FROM l),
+             regexp_extract_all(line, '[{_SPACE}]+|[{_UNSPACED}]|[^{_SPACE}{_UNSPACED}]+') AS ps FROM l),
 p AS (SELECT rid, ln, line_start, unnest(ps) AS piece, unnest(range(0, len(ps))) AS k FROM o),
 f AS (SELECT *, CAST(line_start + sum(length(piece)) OVER (PARTITION BY rid, ln ORDER BY k) AS BIGINT) AS stop FROM p),
 w AS (SELECT rid, ln, lower(piece) AS word, stop - length(piece) AS start, stop, k, regexp_matches(piece, '[.!?。！？]$') AS ends FROM f WHERE NOT regexp_matches(piece, '^[{_SPACE}]')),
 g AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY ln, k) AS pos,
              coalesce(sum(ends::INT) OVER (PARTITION BY rid, ln ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM w),
 q AS (SELECT *, row_number() OVER z AS q, count(*) OVER (PARTITION BY rid, ln, seg) AS n FROM g WINDOW z AS (PARTITION BY rid, ln, seg ORDER BY k)),
-m AS (SELECT rid, q, n, CAST(right(max(lpad(CAST(length(word) AS VARCHAR), 9, '0') || word || lpad(CAST(pos AS VARCHAR), 9, '0')) OVER (PARTITION BY rid, ln, seg ORDER BY q ROWS BETWEEN CURRENT ROW AND {STRETCH - 1} FOLLOWING), 9) AS BIGINT) AS pick FROM q WHERE n > {STRETCH}),
-c AS (SELECT DISTINCT rid, pick AS pos, true AS cut FROM m WHERE q <= n - {STRETCH - 1}),
+m AS (SELECT rid, q, n, CAST(right(max(lpad(CAST(length(word) AS VARCHAR), 9, '0') || word || lpad(CAST(pos AS VARCHAR), 9, '0')) OVER (PARTITION BY rid, ln, seg ORDER BY q ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING), 9) AS BIGINT) AS pick FROM q WHERE n > 20),
+c AS (SELECT DISTINCT rid, pick AS pos, true AS cut FROM m WHERE q <= n - 19),
 e AS (SELECT q.rid, q.ln, q.pos, word, start, stop, q.q = q.n OR coalesce(cut, false) AS closes FROM q LEFT JOIN c ON q.rid = c.rid AND q.pos = c.pos),
 i AS (SELECT *, coalesce(sum(closes::INT) OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS u FROM e),
 us AS (SELECT rid, u, min(pos) AS w0, max(pos) AS w1, min(start) AS start, max(stop) AS stop, max(ln) AS ln FROM i GROUP BY rid, u),
-ub AS (SELECT *, coalesce(lead(ln) OVER (PARTITION BY rid ORDER BY u) > ln, true) AS last, greatest({RUN}, w1 - w0 + 1) AS size FROM us),
+ub AS (SELECT *, coalesce(lead(ln) OVER (PARTITION BY rid ORDER BY u) > ln, true) AS last, greatest(30, w1 - w0 + 1) AS size FROM us),
 rs AS (SELECT rid, w0 AS first, w0 + size - 1 AS reach FROM ub
        UNION SELECT rid, w1 - size + 1, w1 FROM ub WHERE last AND w1 >= size),
 ws AS (SELECT rid, list(word ORDER BY pos) AS ws FROM i GROUP BY rid),
@@ -107,21 +120,19 @@ x AS (SELECT r.rid, first, reach, row_number() OVER (PARTITION BY run ORDER BY d
 ev AS (SELECT rid, first, reach, CAST(NULL AS BIGINT) AS u FROM x WHERE nth > 1 UNION ALL SELECT rid, w0, 0, u FROM us),
 er AS (SELECT rid, u, max(reach) OVER (PARTITION BY rid ORDER BY first RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS reach FROM ev),
 y AS (SELECT us.*, reach >= w1 AS gone FROM us JOIN er ON us.rid = er.rid AND us.u = er.u),
-j AS (SELECT y.*, d.text AS whole, coalesce(lag(stop) OVER v, 0) AS before, coalesce(sum((NOT gone)::INT) OVER (v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part,
-             coalesce(gone AND lag(gone) OVER v, false) AS inner_gone FROM y JOIN d ON y.rid = d.rid WINDOW v AS (PARTITION BY y.rid ORDER BY u)),
-h AS (SELECT *, CASE WHEN u > 0 THEN whole[before + 1:start] ELSE '' END AS gap, sum((gone AND NOT inner_gone)::INT) OVER (PARTITION BY rid ORDER BY u) AS island FROM j),
-kp AS (SELECT rid, part, max(CASE WHEN NOT gone THEN whole[start + 1:stop] END) AS unit,
-              arg_max(gap, lpad(CAST(length(gap) - length(replace(gap, chr(10), '')) AS VARCHAR), 9, '0') || (gap <> '')::INT || lpad(CAST(999999999 - u AS VARCHAR), 9, '0')) AS gap FROM h GROUP BY rid, part),
-tx AS (SELECT rid, string_agg(CASE WHEN part > 0 THEN gap ELSE '' END || unit, '' ORDER BY part) AS inner_text FROM kp WHERE unit IS NOT NULL GROUP BY rid),
-sp AS (SELECT rid, island, CAST(min(start) AS VARCHAR) || '-' || CAST(max(stop) AS VARCHAR) AS span FROM h WHERE gone GROUP BY rid, island),
-ss AS (SELECT rid, string_agg(span, ',' ORDER BY island) AS spans FROM sp GROUP BY rid),
-a AS (SELECT rid, count(*) FILTER (gone) AS n_removed, min(start) AS first_start, max(stop) AS last_stop FROM y GROUP BY rid)
-SELECT doc_id, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(spans, '') AS removed_spans,
-       CASE WHEN a.rid IS NULL THEN text ELSE text[:first_start] || coalesce(inner_text, '') || text[last_stop + 1:] END AS text
-FROM d LEFT JOIN a ON d.rid = a.rid LEFT JOIN tx ON d.rid = tx.rid LEFT JOIN ss ON d.rid = ss.rid
-"""
-
-_URL_RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
+{_CUT}"""
+LINE_UNITS = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+s AS (SELECT rid, doc_id, string_split(text, chr(10)) AS ls FROM d WHERE text IS NOT NULL),
+l AS (SELECT rid, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS ln FROM s),
+o AS (SELECT *, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY rid ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS line_start,
+             lower(array_to_string(regexp_extract_all(line, '[{_UNSPACED}]|[^{_SPACE}{_UNSPACED}]+'), ' ')) AS norm FROM l),
+us AS (SELECT rid, doc_id, norm, row_number() OVER (PARTITION BY rid ORDER BY ln) - 1 AS u, line_start + length(regexp_extract(line, '^[{_SPACE}]*')) AS start,
+              line_start + length(regexp_replace(line, '[{_SPACE}]+$', '')) AS stop FROM o WHERE norm <> ''),
+y AS (SELECT rid, u, start, stop, row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS FIRST, u) > 1 AS gone FROM us),
+{_CUT}"""
+
+_URL_RULES = "('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')"
 URL_FILTERS = f"""
 WITH r(rhost, rpath, verdict) AS (VALUES {_URL_RULES}),
 u AS (SELECT row_number() OVER () AS rid, page_id, CASE WHEN strpos(url, '://') > 0 THEN regexp_extract(url[strpos(url, '://') + 3:], '^[^?#]*') ELSE '' END AS rest FROM pages),
@@ -194,12 +205,19 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST
        sha256(CASE form WHEN 'plain' THEN t ELSE p || m || s END) AS restored_sha256 FROM p
 """
 
+_BITS = (("few_words", 1), ("repeated_words", 2), ("symbols", 4), ("repeated_line_chars", 128), ("short_words", 16), ("long_words", 32))
+QUALITY_ABLATIONS = f"WITH f AS (SELECT failed_bits & 183 AS b FROM ({QUALITY_RULES})) " + " UNION ALL ".join(
+    f"SELECT 'v2' AS policy, '{rule}' AS rule, count(*) FILTER (b & {bit} <> 0) AS n_failed, count(*) FILTER (b = {bit}) AS n_only, coalesce(bool_or(b & {bit} <> 0), false) AS ever_failed FROM f" for rule, bit in _BITS
+)
+
 ORACLE_SQL: dict[str, str] = {
     "op3_license_scan": LICENSE_SCAN,
     "op5_decontamination": DECONTAMINATION,
     "op6_preference_format": PREFERENCE,
     "op7_quality_rules": QUALITY_RULES,
+    "op7_ablations": QUALITY_ABLATIONS,
     "op9_line_dedup": LINE_DEDUP,
+    "op9_line_units": LINE_UNITS,
     "op10_url_filters": URL_FILTERS,
     "op12_fill_in_middle": FILL_IN_MIDDLE,
 }

@@ -84,6 +84,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rule_report(_documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op7_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy removes, and what it alone removes, from one pass over the ledger."""
+    return quality_rules.ablations(quality_rules.ledger(_documents(spark, sf_dir, "doc_id", "text")), quality_rules.POLICIES["v2"])
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir, "doc_id", "text"))
 
@@ -92,6 +97,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_report(_documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op9_line_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every repeated line that is not blank, without a floor: each line's digest alone is grouped."""
+    return line_dedup.dedup_report(_documents(spark, sf_dir, "doc_id", "text"), unit="line", min_words=1)
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_verdicts(_table(spark, sf_dir, "pages"))
 
@@ -114,5 +124,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_classifier, op3_license_scan, op4_sentencepiece, op5_decontamination, op6_preference_format, op7_quality_rules, op8_simhash, op9_line_dedup, op10_url_filters, op11_token_counts, op12_fill_in_middle, op13_whitening, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_classifier, op3_license_scan, op4_sentencepiece, op5_decontamination, op6_preference_format, op7_quality_rules, op7_ablations, op8_simhash, op9_line_dedup, op9_line_units, op10_url_filters, op11_token_counts, op12_fill_in_middle, op13_whitening, pipeline)}
 ORACLES = ORACLE_SQL
