@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkweave.llm.arrow_text import LOWER, LOWER_BYTES, blocks
+from linkweave.llm.columns import unused_name
 from linkweave.runtime import checkpoint
 
 #: Bytes of benchmark text that one broadcast block holds on average at most; an index of it takes
@@ -293,19 +294,20 @@ def hit_words(contamination: Column) -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", remove: str = "documents", **options: object) -> DataFrame:
     """Drop contaminated ``documents``, or cut the hit ``spans`` out of their texts (a blank is left)."""
-    found = find_contamination(docs, benchmark, text=text, into="__found", **options)
+    into = unused_name(docs, "found")
+    found = find_contamination(docs, benchmark, text=text, into=into, **options)
     if remove == "documents":
-        return found.where(F.size(F.col("__found")["items"]) + F.size(F.col("__found")["covered"]) == 0).drop("__found")
+        return found.where(F.size(F.col(into)["items"]) + F.size(F.col(into)["covered"]) == 0).drop(into)
     if remove != "spans":
         raise ValueError(f"remove is 'documents' or 'spans', not {remove!r}")
-    spans = F.col("__found")["spans"]
+    spans = F.col(into)["spans"]
     rest = F.aggregate(
         spans,
         F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at")),
         lambda s, x: F.struct(F.concat(s["out"], F.substr(F.col(text), (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit(" ")).alias("out"), x["stop"].alias("at")),
         lambda s: F.concat(s["out"], F.substr(F.col(text), (s["at"] + 1).cast("int"))),
     )
-    return found.withColumn(text, F.when(F.size(spans) > 0, rest).otherwise(F.col(text))).drop("__found")
+    return found.withColumn(text, F.when(F.size(spans) > 0, rest).otherwise(F.col(text))).drop(into)
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", **options: object) -> DataFrame:

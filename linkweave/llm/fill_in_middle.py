@@ -24,6 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkweave.llm.columns import unused_name
+
 #: The delimiter and the escape character; a text may hold both.
 DELIMITER, ESCAPE = "\x01", "\x02"
 _DELIMITER, _ESCAPE = ESCAPE + "1", ESCAPE + "0"
@@ -78,14 +80,6 @@ def draws(doc_id: Column, seed: int) -> list[Column]:
     return [F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("bigint") for i in range(4)]
 
 
-def unused_name(docs: DataFrame, like: str) -> str:
-    """A name that no column of ``docs`` has, in any case."""
-    taken, name = {c.lower() for c in docs.columns}, f"__{like}"
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
-
-
 def fill_in_middle(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", into: str = "fim", seed: int = 1, markers: Markers = Markers(), units: str = UNITS, percent: int = 90, spm_percent: int = 20) -> DataFrame:
     """``docs`` with ``into``: n, form, prefix, middle and suffix (null if plain), and output.
 

@@ -37,6 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkweave.llm.columns import unused_name
 from linkweave.runtime import checkpoint
 
 #: Words of a run, and the most words of a sentence that stays whole.
@@ -215,12 +216,13 @@ def _cut_of(unit: str, min_words: int):
 def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rank: str | None = None, unit: str = "sentence", min_words: int = RUN, into: str | None = None) -> DataFrame:
     """``docs`` with repeated runs cut out of the text; ``into`` names a column for (n, spans), what was cut."""
     found = find_repeats(docs, doc_id=doc_id, text=text, rank=rank, unit=unit, min_words=min_words)
-    found = found.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("positions").alias("__positions"))
-    joined = docs.join(found, docs[doc_id].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__hash")), "left")
-    cleaned = joined.withColumn("__cut", _cut_of(unit, min_words)(F.col(text), F.col("__positions"))).withColumn(text, F.col("__cut.text"))
+    own, digest, places, cut = (unused_name(docs, c) for c in ("id", "hash", "positions", "cut"))
+    found = found.select(F.col("id").alias(own), F.col("text_hash").alias(digest), F.col("positions").alias(places))
+    joined = docs.join(found, docs[doc_id].eqNullSafe(F.col(own)) & (F.xxhash64(docs[text]) == F.col(digest)), "left")
+    cleaned = joined.withColumn(cut, _cut_of(unit, min_words)(F.col(text), F.col(places))).withColumn(text, F.col(cut)["text"])
     if into:
-        cleaned = cleaned.withColumn(into, F.struct(F.col("__cut.n").alias("n"), F.col("__cut.spans").alias("spans")))
-    return cleaned.drop("__id", "__hash", "__positions", "__cut")
+        cleaned = cleaned.withColumn(into, F.struct(F.col(cut)["n"].alias("n"), F.col(cut)["spans"].alias("spans")))
+    return cleaned.drop(own, digest, places, cut)
 
 
 def dedup_report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", unit: str = "sentence", min_words: int = RUN) -> DataFrame:

@@ -22,7 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +30,8 @@ from linkweave.llm.arrow_text import texts
 
 #: About this many labelled rows are learnt from at most, picked by a hash of their ids.
 SAMPLE_ROWS = 20_000
+#: Different texts of one labelled id that are learnt from.
+TEXTS_PER_LABEL = 4
 BINS, ROUNDS, PAIR_ROUNDS, PAIRS, LEAVES, RATE = 32, 120, 60, 8, 4, 0.15
 
 FEATURES = ("log_words", "word_length", "upper_share", "digit_share", "stop_share", "symbol_share", "shout_share", "distinct_words", "distinct_trigrams", "repeated_lines", "words_per_line", "log_longest_word", "short_words", "marked_words", "non_ascii_share")
@@ -169,15 +171,20 @@ def _measured(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> AdditiveModel:
     """Learn from labels of these documents; a hash of the id picks about ``sample_rows`` of them.
 
-    A label that is given several times counts once. The picked labels (two numbers a row, bounded by that parameter) are broadcast; their
-    documents' features, and never their texts, come to the driver.
+    A label that is given several times counts once. The picked labels (two numbers a row, bounded
+    by that parameter) are broadcast. Their documents' features, and never their texts, come to the
+    driver: of an id that stands with several texts those of ``TEXTS_PER_LABEL``, by their hashes,
+    each once however often it is repeated.
     """
     known = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("__label")).where("__id is not null and __label in (0, 1)").distinct()
     n = known.count()
     dice = F.pmod(F.xxhash64("__id"), F.lit(1 << 30))
     picked = known.where(dice < int((1 << 30) * min(1.0, sample_rows / max(1, n))))
     rows = docs.select(F.col(doc_id).alias("__doc"), F.col(text).alias("__text")).join(F.broadcast(picked), F.col("__doc") == F.col("__id"))
-    got = sorted((r["y"], tuple(r["x"])) for r in rows.select(F.col("__label").alias("y"), _measured("__text").alias("x")).collect())
+    measured = rows.select("__id", F.col("__label").alias("y"), F.xxhash64("__text").alias("h"), _measured("__text").alias("x"))
+    one = F.dense_rank().over(Window.partitionBy("__id", "y").orderBy("h"))
+    kept = measured.withColumn("nth", one).where(F.col("nth") <= TEXTS_PER_LABEL).dropDuplicates(["__id", "y", "h"])
+    got = sorted((r["y"], tuple(r["x"])) for r in kept.select("y", "x").collect())
     return AdditiveModel.fit(np.array([x for _, x in got], dtype=np.float64).reshape(len(got), len(FEATURES)), np.array([y for y, _ in got], dtype=np.float64))
 
 

@@ -35,6 +35,7 @@ from pyspark.sql import types as T
 
 from linkweave.llm.arrow_text import LOWER_BYTES, texts
 from linkweave.operators.components import connected_components
+from linkweave.llm.columns import unused_name
 from linkweave.runtime import checkpoint, is_empty, shuffle_partitions
 
 DENSE = 1024
@@ -211,12 +212,13 @@ def keep_one_per_component(docs: DataFrame, *, doc_id: str = "doc_id", text: str
     repeat id and text are one document, of which one row stays; rows that share an id alone
     are not, and each is judged by its own text.
     """
-    keys = {"__null": F.col(doc_id).isNull(), "__id": F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "__hash": F.xxhash64(text)}
+    null, own, digest = (unused_name(docs, c) for c in ("null", "id", "hash"))
+    keys = {null: F.col(doc_id).isNull(), own: F.coalesce(F.col(doc_id).cast("string"), F.lit("")), digest: F.xxhash64(text)}
     marked = with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text")), into="fp")
     marked = checkpoint(marked.select("doc_id", "hash", "fp"))
     named = _components(marked, dense)
     rank = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "hash")
     first = marked.join(named, marked.fp == named.node).groupBy("component").agg(F.min(rank).alias("f"))
-    first = first.select(F.col("f.null").alias("__null"), F.coalesce(F.col("f.doc_id").cast("string"), F.lit("")).alias("__id"), F.col("f.hash").alias("__hash"))
+    first = first.select(F.col("f.null").alias(null), F.coalesce(F.col("f.doc_id").cast("string"), F.lit("")).alias(own), F.col("f.hash").alias(digest))
     # rows that repeat meet on the keys of the join, so that they are told apart without another shuffle
     return docs.withColumns(keys).join(first, list(keys), "left_semi").dropDuplicates(list(keys)).drop(*keys)

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkweave.llm.fill_in_middle import unused_name
+from linkweave.llm.columns import unused_name
 from linkweave.runtime import checkpoint_dir, remove, written
 
 SCALE, OFFSET, COMPONENTS = 64, 1_000_000, 16

@@ -44,7 +44,7 @@ def test_stages_one_by_one(spark, tmp_path):
 
 
 def test_run_and_registry(spark):
-    assert "pipeline" in queries.QUERIES and len(queries.QUERIES) == 11
+    assert "pipeline" in queries.QUERIES and len(queries.QUERIES) == 16
     whole = corpus_pipeline.run(spark, SF)
     assert whole.count() > 0 and whole.select("doc_id").distinct().count() == whole.count()
 

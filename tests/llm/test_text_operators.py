@@ -701,7 +701,7 @@ def test_odd_table(spark, tmp_path):
     long = " ".join(f"word{n % 977} and" for n in range(30_000)) + "\n" + "x" * 200_000
     rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, long, "en", "s", 1), (2, long, "en", "s", 1), (3, "A b c", None, None, None), (4, "A b c", "de", "s", 2)]
     docs = spark.createDataFrame(rows, DOCS)
-    for name in ("score", "lang_pred", "fingerprint", "component_id", "n_words", "key", "host", "path", "ids", "digest", "row", "unit", "id", "rank", "text_hash"):
+    for name in ("score", "lang_pred", "fingerprint", "component_id", "n_words", "key", "host", "path", "ids", "digest", "row", "unit", "id", "rank", "text_hash", "__id", "__hash", "__null", "__found", "__cut", "__positions", "__score", "__removed", "__e", "__f", "__ledger", "n_tokens", "form"):
         docs = docs.withColumn(name, F.lit("clash"))
     folder = str(tmp_path)
     docs.write.parquet(f"{folder}/documents.parquet")
@@ -710,10 +710,14 @@ def test_odd_table(spark, tmp_path):
     clash(spark.createDataFrame([(2, 1, 0), (1, 0, 0), (None, None, None), (2, 1, 0)], "doc_id long, quality int, toxic int")).write.parquet(f"{folder}/labels.parquet")
     clash(spark.createDataFrame([(1, 0, "user", long), (None, None, None, None), (1, 0, "user", long), (1, 1, "assistant", None)], "conv_id long, turn long, role string, text string")).write.parquet(f"{folder}/conversations.parquet")
     clash(spark.createDataFrame([(1, "http://a.com/" + "x" * 100_000, None), (None, None, None), (1, "http://a.com/", "h")], "page_id long, url string, html string")).write.parquet(f"{folder}/pages.parquet")
+    clash(spark.createDataFrame([(1, [1.0, 2.0]), (None, [0.0, 2.0]), (2, None), (3, [5.0, float("nan")]), (4, [3.0, 9.0]), (4, [3.0, 9.0])], "vec_id long, embedding array<float>")).write.parquet(f"{folder}/embeddings.parquet")
     counts = {name: q(spark, folder).count() for name, q in queries.QUERIES.items() if name != "pipeline"}
-    assert counts == {name: 3 if name.startswith("op10") else 1 if name.startswith("op6") else 6 for name in counts}
+    assert counts == {name: 3 if name.startswith("op10") else 1 if name.startswith("op6") else 9 if name.startswith("op3") else 8 if name.startswith("op13") else 6 for name in counts}
     hits = {r["doc_id"]: r["n_hit"] for r in queries.op5_decontamination(spark, folder).collect()}
     assert hits == {None: 0, 1: 0, 2: 0, 3: 3, 4: 3}
     assert queries.op4_sentencepiece(spark, folder).where("doc_id = 2").distinct().count() == 1
     assert {r["doc_id"]: r["component_id"] for r in queries.op8_simhash(spark, folder).collect()} == {None: 1, 1: 1, 2: 2, 3: 3, 4: 3}
-    assert queries.pipeline(spark, folder).count() >= 0
+    good = {r["doc_id"] for r in queries.op2_quality_classifier(spark, folder).where("predicted = 1").collect()}
+    # texts 3 and 4 are the benchmark's own; of each other text that is good one row is left, with its ids
+    left = queries.pipeline(spark, folder).collect()
+    assert sorted(r["doc_id"] for r in left) == sorted(good & {1, 2}) and all(len(r["ids"]) == r["n_tokens"] for r in left)
