@@ -1,8 +1,11 @@
-"""Names for helper columns that no input column has."""
+"""Helper columns: names that no input column has, and values that are computed once."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def unused_name(docs: DataFrame, like: str) -> str:
@@ -11,3 +14,8 @@ def unused_name(docs: DataFrame, like: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often the body names it, as in a lambda of its own."""
+    return F.transform(F.array(value), body)[0]

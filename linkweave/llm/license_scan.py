@@ -30,13 +30,13 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from linkweave.llm.columns import let
 from linkweave.runtime import checkpoint
 
 THRESHOLD = 0.6
 NAMES_LICENCE = r"(?i)licen[sc]e|copyright|rights[^a-z0-9]+reserved|spdx|public[^a-z0-9]+domain|creative[^a-z0-9]+commons|redistribution|permission|unencumbered"
 #: Terms of a template that a unit must share: single digits, as versions have, and names of variants.
 MUST_AGREE = r"^([0-9]|later|lesser|affero|nc|sa)$"
-_LATER = r"(?i)(^|[^a-z0-9])later([^a-z0-9]|$)"
 LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice)[^/]*$"
 
 #: SPDX identifiers and notices, titles and tags that stand for them.
@@ -120,7 +120,8 @@ def _blocks(text: Column, texts: list[tuple[str, str]]) -> Column:
     lines = F.split(F.translate(text, _OUTSIDE, " "), "\n")
     seen = F.transform(lines, lambda x: F.struct(x.alias("line"), x.rlike(header_line(texts)).alias("header"), x.rlike("[A-Za-z0-9]").alias("words")))
     header = lambda all_, i: F.coalesce(F.get(all_, i)["header"], F.lit(False))
-    kept = F.transform(seen, lambda x, i: F.when(x["header"] | (x["words"] & header(seen, i - 1) & header(seen, i + 1)), x["line"]).otherwise(_OUTSIDE))
+    # bound first, as an array named inside a lambda would be made again for each of its elements
+    kept = let(seen, lambda all_: F.transform(all_, lambda x, i: F.when(x["header"] | (x["words"] & header(all_, i - 1) & header(all_, i + 1)), x["line"]).otherwise(_OUTSIDE)))
     return F.filter(F.transform(F.split(F.array_join(kept, "\n"), _OUTSIDE), lambda b: F.regexp_replace(b, r"^\n+|\n+$", "")), lambda b: b != "")
 
 
@@ -155,8 +156,10 @@ def scan(files: DataFrame, *, file_id: str = "doc_id", path: str = "path", text:
     """One row per file: id, path, own licences and best score, licence, and the directory it comes from."""
     spark = files.sparkSession
     tagged = checkpoint(_tagged(files, file_id, path, text, texts))
-    each = tagged.where(F.size("units") > 0).select("row", F.posexplode("units").alias("unit", "u")).select("row", "unit", "u.block", "u.way", "u.text")
-    counts = checkpoint(each.select("row", "unit", "block", "way", F.col("text").rlike(_LATER).alias("later"), F.explode(terms(F.col("text"))).alias("term")).groupBy("row", "unit", "block", "way", "later", "term").agg(F.count("*").alias("tf")))
+    each = tagged.where(F.size("units") > 0).select("row", F.posexplode("units").alias("unit", "u")).select("row", "unit", "u.block", "u.way", terms(F.col("u.text")).alias("terms"))
+    # told of a unit before its terms become rows, not of each of those rows
+    told = each.withColumn("later", F.array_contains("terms", "later"))
+    counts = checkpoint(told.select("row", "unit", "block", "way", "later", F.explode("terms").alias("term")).groupBy("row", "unit", "block", "way", "later", "term").agg(F.count("*").alias("tf")))
     given = templates(spark, texts)
     vocabulary = given.select("term").distinct()
     n = F.lit(float(len(texts))) + F.lit(float(each.count()))
