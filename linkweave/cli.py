@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkweave.functions.scalar import normalize_address
+from linkweave.operators import ranges
 from linkweave.operators.report import dump, write_ordered, write_text
 from linkweave.plans import pipelines
 from linkweave.schemas import CONSERVATIVE, FAN_OUT_CAP, GRAPH_EVIDENCE, GRAPH_IDENTIFIERS, LEGACY, RELATED, STABLE, TABLES, MergePolicy
 from linkweave.serve import server
 from linkweave.sources import landed
 from linkweave.sources.store import Store
-from linkweave.sources.writers import write_json
+from linkweave.sources.writers import markdown_table, write_csv, write_json, write_seeds
 
 
 def parser() -> argparse.ArgumentParser:
@@ -30,7 +31,9 @@ def parser() -> argparse.ArgumentParser:
             sub.add_argument(*option[:-1], **option[-1])
 
     run, out = ("--run-id", {}), ("--out", {})
-    tables = ("--tables", {"help": "folder for whole tables as JSON lines"})
+    tables = ("--tables", {"help": "folder for whole tables, written by the executors"})
+    form = ("--form", {"choices": ["json", "csv", "markdown"], "default": "json", "help": "how --tables are written; Markdown shows the first rows"})
+    window = [("--window-start", {"type": int, "required": True}), ("--window-end", {"type": int, "required": True})]
     policy = [("--min-evidence", {"type": int, "default": 1}), ("--fan-out-cap", {"type": int, "default": FAN_OUT_CAP}), ("--conservative", {"action": "store_true"})]
     add("ingest", ("--addresses", {}), ("--transfers", {}), ("--ens", {}), ("--safe-owners", {}), ("--did-documents", {}))
     add("link", *policy, ("--denylist", {}), ("--chain", {"default": "mainnet"}), ("--window-start", {"type": int, "default": 0}), ("--window-end", {"type": int, "default": 0}), ("--stable", {"type": float, "default": STABLE}), ("--related", {"type": float, "default": RELATED}))
@@ -42,10 +45,12 @@ def parser() -> argparse.ArgumentParser:
     add("export-graph", run, out, ("--mode", {"choices": ["evidence", "pairwise"], "default": "evidence"}), ("--max-identifiers", {"type": int, "default": GRAPH_IDENTIFIERS}), ("--max-evidence", {"type": int, "default": GRAPH_EVIDENCE}), ("--params", {}))
     add("score-pairs", out, ("--params", {}), ("--limit", {"type": int, "default": 5000}))
     add("cohort", *policy, out, ("governance", {}), ("control", {}), ("transfers", {}), ("--window-start", {"type": int, "required": True}), ("--window-end", {"type": int, "required": True}), ("--per-cohort", {"type": int, "default": 500}), ("--denylist", {}), ("--snapshot", {}))
-    add("eval", tables, ("gold", {}), ("--modes", {"default": "all"}), ("--min-evidence", {"type": int, "default": 2}), ("--params", {}))
-    add("audit", tables)
-    add("pair-baseline", tables, ("--gold", {}))
-    add("cluster-features", run, tables)
+    add("eval", tables, form, ("gold", {}), ("--modes", {"default": "all"}), ("--min-evidence", {"type": int, "default": 2}), ("--params", {}))
+    add("audit", tables, form)
+    add("pair-baseline", tables, form, ("--gold", {}))
+    add("cluster-features", run, tables, form)
+    add("seeds", ("logs", {}), ("transfer_logs", {}), ("out", {}), *window, ("--calls", {"help": "landed calls (from_block, to_block, attempt, ok) of the scan"}), ("--chunk", {"type": int, "default": 50_000}), ("--min-blocks", {"type": int, "default": 1000}), ("--retries", {"type": int, "default": 3}), ("--controls", {"type": int, "default": 150}), ("--service-fan-out", {"type": int, "default": 1000}))
+    add("strata", ("governance", {}), ("pool", {}), ("out", {}), *window, ("--strata", {"type": int, "default": 10}), ("--sample-size", {"type": int, "default": 500}))
     add("serve", ("--host", {"default": "127.0.0.1"}), ("--port", {"type": int, "default": 8080}))
     return top
 
@@ -59,15 +64,26 @@ def _rows(df: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.toLocalIterator()]
 
 
-def _tables(found: dict[str, DataFrame], folder: str | None) -> dict[str, object]:
-    """Every row of each table: as JSON lines in ``folder``, written by the executors, or printed."""
+def _tables(found: dict[str, DataFrame], folder: str | None, form: str = "json") -> dict[str, object]:
+    """Every row of each table: as JSON lines or CSV in ``folder``, written by the executors, or printed; as Markdown, the first rows."""
     if not folder:
         return {k: _rows(v) for k, v in found.items()}
+    if form == "markdown":
+        for name, df in found.items():
+            write_text(f"{folder}/{name}.md", markdown_table(df) + "\n")
+        return {k: f"{folder}/{k}.md" for k in found}
     for name, df in found.items():
-        write_json(df, f"{folder}/{name}")
+        (write_csv if form == "csv" else write_json)(df, f"{folder}/{name}")
     return {k: f"{folder}/{k}" for k in found}
 
 
+def _seed_tables(made: tuple[dict[str, DataFrame], dict], folder: str) -> dict:
+    tables, summary = made
+    for name, df in tables.items():
+        write_seeds(df, f"{folder}/{name}")
+    return summary | {"files": {name: f"{folder}/{name}" for name in tables}}
+
+
 def _one(store: Store, table: str, **values: object) -> dict:
     keys = {"ens_records": ["address"], "safe_owners": ["safe_address", "owner_address"], "did_documents": ["did"]}[table]
     schema = TABLES[table]
@@ -117,19 +133,29 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
                 write_text(f"{a.out}.md", pipelines.render_cohort(summary))
             said = dump(summary)
         case "eval":
-            said = _tables(pipelines.evaluate(store, landed.read_gold(spark, a.gold), a.modes, min_evidence=a.min_evidence, params=params()), a.tables)
+            said = _tables(pipelines.evaluate(store, landed.read_gold(spark, a.gold), a.modes, min_evidence=a.min_evidence, params=params()), a.tables, a.form)
         case "audit":
-            said = _tables(pipelines.evidence_audit(store), a.tables)
+            said = _tables(pipelines.evidence_audit(store), a.tables, a.form)
         case "pair-baseline":
-            said = _tables(pipelines.pair_baseline(store, gold=landed.read_flexible_gold(spark, a.gold) if a.gold else None), a.tables)
+            said = _tables(pipelines.pair_baseline(store, gold=landed.read_flexible_gold(spark, a.gold) if a.gold else None), a.tables, a.form)
         case "cluster-features":
             found = pipelines.cluster_features(store, a.run_id)
-            said = _tables({"cluster_features": found}, a.tables) if a.tables else _rows(found)
+            said = _tables({"cluster_features": found}, a.tables, a.form) if a.tables else _rows(found)
+        case "seeds":
+            span, nodes = (a.window_start, a.window_end), None
+            if a.calls:
+                blocks = spark.createDataFrame([(b,) for b in span], "block_num long")
+                nodes = ranges.bisect(ranges.chunk_ranges(blocks, a.chunk), spark.read.json(a.calls, schema="from_block long, to_block long, attempt int, ok boolean"), retries=a.retries, min_blocks=a.min_blocks)
+            logs = lambda path: spark.read.json(path, schema="contract string, block_hex string, topic0 string, topic1 string, topic2 string, data string")
+            said = _seed_tables(pipelines.extract_seeds(logs(a.logs), logs(a.transfer_logs), window=span, controls=a.controls, service_fan_out=a.service_fan_out, nodes=nodes), a.out)
+        case "strata":
+            seeds = lambda path: spark.read.csv(path, header=True, schema="address string, first_seen_block long, seed_type string")
+            said = _seed_tables(pipelines.stratified_seeds(seeds(a.governance), seeds(a.pool), window=(a.window_start, a.window_end), strata=a.strata, n=a.sample_size), a.out)
         case "serve":
             server(store, a.host, a.port).serve_forever()
             said = ""
     text = said if isinstance(said, str) else dump(said)
-    if getattr(a, "out", None):
+    if getattr(a, "out", None) and a.command not in ("seeds", "strata"):
         write_text(a.out, text)
     return text
 

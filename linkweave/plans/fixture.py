@@ -97,6 +97,13 @@ select concat('0xc', lpad(cast(user_id as string), 39, '0')) as address, 'ens_ha
        concat(event_type, ':', regexp_extract(props, '[0-9]+', 0)) as key, 1 as strength,
        concat('events@', cast(event_id % 3 as string)) as source, min(event_id) as observed_block
 from events group by user_id, event_type, regexp_extract(props, '[0-9]+', 0), event_id % 3
+""",
+    "evidence_verified": """
+select concat('0xc', lpad(cast(c_custkey as string), 39, '0')) as address,
+       case when c_custkey % 2 = 0 then 'did_controller_verified' else 'signature_verified' end as kind,
+       concat('0xf', lpad(cast(c_nationkey * 10 + c_custkey % 4 as string), 39, '0')) as key,
+       3 as strength, 'attestation' as source, c_custkey as observed_block
+from customer where c_custkey % 3 = 0
 """,
     "cohort": """
 select concat('0xc', lpad(cast(c_custkey as string), 39, '0')) as address,

@@ -146,6 +146,11 @@ CTES |= {
     "zp": """SELECT a.address AS address_a, b.address AS address_b FROM subj a JOIN subj b ON a.address < b.address
   WHERE NOT EXISTS (SELECT 1 FROM bf WHERE bf.address_a = a.address AND bf.address_b = b.address)""",
     "zn": "SELECT count(*) AS z FROM zp",
+    "evv": "SELECT address, kind, key, source FROM ev UNION ALL SELECT address, kind, key, source FROM fx_evidence_verified",
+    "vper": "SELECT *, count(*) OVER (PARTITION BY kind, key) AS fan FROM (SELECT kind, key, address, count(*) AS n FROM evv GROUP BY kind, key, address)",
+    "vpr": "SELECT a.address AS address_a, b.address AS address_b, a.kind, least(a.n, b.n) AS support, 1.0 / greatest(1.0, log2(a.fan + 1.0)) AS hub FROM vper a JOIN vper b ON a.kind = b.kind AND a.key = b.key AND a.address < b.address",
+    "vf": f"""SELECT address_a, address_b, CAST(coalesce(sum(support) FILTER (kind IN ('did_controller_verified', 'signature_verified')), 0) AS BIGINT) AS verified_count, CAST(sum(support) AS BIGINT) AS evidence_total, round(avg(hub), 6) AS hub_penalty,
+  string_agg(DISTINCT {_CLASS.format(k="kind")}, ',' ORDER BY {_CLASS.format(k="kind")}) AS classes FROM vpr GROUP BY ALL""",
     "ce": "SELECT DISTINCT cluster_id, ev.address, kind, key, strength, source, observed_block, payload_json FROM ev JOIN mb USING (address) UNION SELECT cluster_id, ev.address, kind, key, strength, source, observed_block, payload_json FROM ev JOIN mb ON mb.address = ev.key WHERE kind = 'safe_owner'",
     "fper": "SELECT cluster_id, lower(key) AS funder, count(DISTINCT address) AS n FROM ce WHERE kind = 'funded_by' GROUP BY ALL",
     "ffund": "SELECT cluster_id, count(*) AS num_unique_funders, first(funder ORDER BY n DESC, funder) AS top_funder, max(n) AS top_funder_count FROM fper GROUP BY ALL",
@@ -344,7 +349,9 @@ _SELECTS: dict[str, str] = {
   CASE WHEN recommendation = 'identity_claim_candidate' AND safe_owner_count > 0 THEN 'control_link_candidate' ELSE '' END AS secondary_signals, hub_penalty < 0.75 AS hub_note, temporal_pattern FROM br
   UNION ALL SELECT address_a, address_b, 'insufficient_evidence', 'none', '', FALSE, 'unknown' FROM zp""",
     "baseline_rankings": " UNION ALL ".join(f"""SELECT '{name}' AS ranking, row_number() OVER (ORDER BY {order}, address_a, address_b) AS place, address_a, address_b
-  FROM (SELECT br.*, related_score, control_score, 0.0 AS did_score FROM br JOIN bs USING (address_a, address_b)) WHERE {taken} QUALIFY place <= 20""" for name, (taken, order) in RANKINGS.items()),
+  FROM (SELECT br.*, related_score, control_score, 0.0 AS did_score FROM br JOIN bs USING (address_a, address_b)) WHERE {taken} QUALIFY place <= 20""" for name, (taken, order) in RANKINGS.items() if name != "insufficient_zero")
+    + " UNION ALL SELECT 'insufficient_zero', row_number() OVER (ORDER BY address_a, address_b) AS place, address_a, address_b FROM zp QUALIFY place <= 20",
+    "baseline_verified": """SELECT address_a, address_b, verified_count, evidence_total, hub_penalty, round(least(0.95, 0.35 * verified_count) * hub_penalty, 4) AS did_score, classes, 'verified_did_or_controller' AS recommendation, 'strong' AS confidence, '' AS secondary_signals FROM vf WHERE verified_count > 0""",
     "baseline_caveats": f"""SELECT recommendation, secondary, text || CASE WHEN secondary <> '' THEN '{ALSO_CONTROL}' ELSE '' END || CASE WHEN hub THEN '{HUB_NOTE.replace("=%.3f", "")}' ELSE '' END AS caveat, count(*) AS n FROM
   (SELECT recommendation, hub_penalty < 0.75 AS hub, CASE WHEN recommendation = 'identity_claim_candidate' AND safe_owner_count > 0 THEN 'control_link_candidate' ELSE '' END AS secondary FROM br)
   JOIN (VALUES {", ".join(f"('{k}', '{v}')" for k, v in CAVEATS.items())}) v(recommendation, text) USING (recommendation) GROUP BY ALL""".replace("secondary,", "secondary AS secondary_signals,", 1),

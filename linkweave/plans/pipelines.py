@@ -10,7 +10,7 @@ from dataclasses import asdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkweave.operators import audit, baseline, cohort, evaluation, features, graph, lineage, linking, metrics, pairwise, report
+from linkweave.operators import audit, baseline, cohort, evaluation, features, graph, lineage, linking, metrics, pairwise, ranges, report
 from linkweave.operators.evidence import extract_all, normalize_subjects, parse_ablations
 from linkweave.runtime import checkpoint
 from linkweave.schemas import BOUNDARY, CONSERVATIVE, KINDS, LEGACY, RELATED, STABLE, LinkageParams, MergePolicy
@@ -180,6 +180,36 @@ def evidence_audit(store: Store) -> dict[str, DataFrame]:
     return {"tables": audit.table_rows(tables), "kinds": audit.kind_counts(e), "sources": audit.source_counts(e), "duplication": audit.duplication(e), "temporal": audit.temporal(e), "readiness": audit.readiness(e)}
 
 
+def extract_seeds(logs: DataFrame, transfers: DataFrame, *, window: tuple[int, int], cap: int = 800, first: int = 500, controls: int = 150, service_fan_out: int = 1000, nodes: DataFrame | None = None) -> tuple[dict[str, DataFrame], dict]:
+    """Seed tables and their summary, from landed governance and transfer logs.
+
+    ``nodes`` are the ranges of the scan: where they are given, rows of failed ranges are missing
+    and the scan's counters are in the summary.
+    """
+    keep = (lambda rows: rows) if nodes is None else (lambda rows: ranges.rows_in_fetched(nodes, rows))
+    events = checkpoint(landed.in_window(keep(landed.decode_logs(logs)), *window))
+    seen = lambda kind: events.where(F.col("kind") == kind).groupBy("address").agg(F.min("block_num").alias("first_seen_block")).withColumn("seed_type", F.lit("voter" if kind == "vote" else "proposer"))
+    voters, proposers = seen("vote"), seen("proposal")
+    everyone = checkpoint(cohort.merge_governance(voters, proposers))
+    governance = cohort.capped_cohort(everyone, cap, first)
+    seen_there = checkpoint(cohort.participants(landed.in_window(keep(landed.decode_transfer_logs(transfers)), *window)))
+    pool = checkpoint(cohort.control_pool(seen_there, governance, service_fan_out=service_fan_out).select("address", F.col("first_block").alias("first_seen_block"), F.lit("control").alias("seed_type")))
+    tables = {"voters": voters, "proposers": proposers, "governance": governance, "pool": pool, "control": pool.orderBy("first_seen_block", "address").limit(controls)}
+    n = {k: v.count() for k, v in tables.items()} | {"governance_unique": everyone.count(), "participants": seen_there.count(), "extreme_services": seen_there.where(F.col("n") >= service_fan_out).count()}
+    bucket = everyone.agg(cohort.size_bucket(F.count("*"))).first()[0]
+    summary = {"window": list(window), "counts": n, "governance_bucket": bucket, "cap_applied": n["governance"] < n["governance_unique"], "cap_removed": n["governance_unique"] - n["governance"], "service_fan_out": service_fan_out}
+    return tables, summary | ({"scan": ranges.counters(nodes).first().asDict()} if nodes is not None else {})
+
+
+def stratified_seeds(governance: DataFrame, pool: DataFrame, *, window: tuple[int, int], strata: int = 10, n: int = 500) -> tuple[dict[str, DataFrame], dict]:
+    """Governance and control samples of equal size by block stratum, and their summary."""
+    sides = {"governance": governance, "control": pool.join(governance.select("address"), "address", "left_anti")}
+    samples = {k: checkpoint(cohort.stratified_sample(v, *window, strata, n)) for k, v in sides.items()}
+    counts = {k: {"pool": {r["stratum"]: r["n"] for r in cohort.stratum_counts(sides[k], *window, strata).collect()}, "selected": {r["stratum"]: r["count"] for r in s.groupBy("stratum").count().collect()}} for k, s in samples.items()}
+    overlap = samples["governance"].join(samples["control"], "address", "left_semi").count()
+    return samples, {"window": list(window), "strata": strata, "sample_size": n, "selected": {k: s.count() for k, s in samples.items()}, "by_stratum": counts, "overlap": overlap, "pool_sha256": {k: cohort.pool_hash(v).first()[0] for k, v in sides.items()}}
+
+
 class Halted(RuntimeError):
     """A large cluster rests on suppressed keys only."""
 

@@ -650,7 +650,15 @@ def baseline_recommendation(i: Inputs) -> DataFrame:
 
 @query
 def baseline_rankings(i: Inputs) -> DataFrame:
-    return baseline.rankings(_baseline(i))
+    return baseline.rankings(_rounded(baseline.pair_baseline(i.evidence, i.subjects), "hub_penalty"))
+
+
+@query
+def baseline_verified(i: Inputs) -> DataFrame:
+    """Pairs with a verified claim in common, over the evidence and the attestations of a fixture."""
+    attested = i.evidence_verified.withColumn("payload_json", F.lit(None).cast("string"))
+    rows = _rounded(baseline.pair_baseline(i.evidence.unionByName(attested)), "hub_penalty").where("verified_count > 0")
+    return rows.select("address_a", "address_b", "verified_count", "evidence_total", "hub_penalty", "did_score", "classes", "recommendation", "confidence", "secondary_signals")
 
 
 @query

@@ -77,10 +77,39 @@ def test_command_line(spark, tmp_path):
     assert set(where) == {"pairs", "diagnostics", "hub_quantiles", "rankings"}
     assert {r["ranking"] for r in spark.read.json(where["rankings"]).collect()} >= {"top"}
     assert json.loads(run("cluster-features"))[0]["tier"] == "candidate_medium"
+    where = json.loads(run("audit", "--tables", f"{gold}-csv", "--form", "csv"))
+    assert spark.read.csv(where["kinds"], header=True).count() == 3
+    where = json.loads(run("pair-baseline", "--tables", f"{gold}-md", "--form", "markdown"))
+    with open(where["diagnostics"], encoding="utf-8") as file:
+        assert file.read().startswith("| pair_count |")
     with pytest.raises(Exception, match="not an address"):
         run("add-ens-record", "0x12")
 
 
+def test_seed_commands(spark, tmp_path):
+    """Logs of a scan with a failed range, then samples by stratum of what it gave."""
+    from linkweave.schemas import GOVERNORS, TOKEN, TOPIC_PROPOSAL_CREATED, TOPIC_TRANSFER, TOPIC_VOTE_CAST
+
+    run = lambda *a: json.loads(cli.main(["--storage", f"file://{tmp_path}/db", *map(str, a)], spark))
+    word = lambda n: f"{n:064x}"
+    votes = [{"contract": GOVERNORS[0], "block_hex": hex(b), "topic0": TOPIC_VOTE_CAST, "topic1": "0x" + word(b % 40), "data": "0x"} for b in range(0, 200, 2)]
+    votes += [{"contract": GOVERNORS[1], "block_hex": hex(7), "topic0": TOPIC_PROPOSAL_CREATED, "data": "0x" + word(1) + word(999)}]
+    moves = [{"contract": TOKEN, "block_hex": hex(b), "topic0": TOPIC_TRANSFER, "topic1": "0x" + word(500 + b), "topic2": "0x" + word(700), "data": "0x"} for b in range(200)]
+    calls = [{"from_block": a, "to_block": a + 99, "attempt": n, "ok": a == 0} for a in (0, 100) for n in range(2)] + [{"from_block": a, "to_block": a + 49, "attempt": n, "ok": a == 100} for a in (100, 150) for n in range(2)]
+    for name, rows in (("votes", votes), ("moves", moves), ("calls", calls)):
+        (tmp_path / f"{name}.json").write_text("\n".join(map(json.dumps, rows)))
+    at = lambda name: f"{tmp_path}/{name}.json"
+    got = run("seeds", at("votes"), at("moves"), f"{tmp_path}/seeds", "--window-start", 0, "--window-end", 199, "--calls", at("calls"), "--chunk", 100, "--min-blocks", 50, "--retries", 1, "--service-fan-out", 60)
+    assert got["scan"]["failed_chunks"] == 1 and got["scan"]["total_calls"] == 6 and got["scan"]["failed_blocks"] == 50
+    assert got["counts"]["voters"] == 20 and got["counts"]["proposers"] == 1 and got["counts"]["governance"] == 21 and got["governance_bucket"] == "<300"
+    assert got["counts"]["participants"] == 151 and got["counts"]["extreme_services"] == 1 and got["counts"]["pool"] == 150 == got["counts"]["control"]
+    kept = spark.read.csv(f"{tmp_path}/seeds/pool", header=True)
+    assert kept.count() == 150 and kept.where("cast(first_seen_block as int) >= 150").count() == 0
+    got = run("strata", f"{tmp_path}/seeds/governance", f"{tmp_path}/seeds/pool", f"{tmp_path}/strata", "--window-start", 0, "--window-end", 199, "--strata", 5, "--sample-size", 20)
+    assert got["selected"] == {"governance": 20, "control": 20} and got["overlap"] == 0 and sum(got["by_stratum"]["control"]["pool"].values()) == 150
+    assert spark.read.csv(f"{tmp_path}/strata/control", header=True).count() == 20
+
+
 def test_http_view(spark, tmp_path):
     from linkweave.operators.graph import same_run
     from linkweave.serve import answer, server
