@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkweave.functions.scalar import burst_label
+from linkweave.operators.hubs import meetings
 from linkweave.schemas import SHORT_BURST_BLOCKS
 
 ENS_KINDS, DID_KINDS, VERIFIED_KINDS = ("ens", "ens_handle"), ("did", "did_controller"), ("did_controller_verified", "verified_did", "signature_verified")
@@ -82,9 +83,11 @@ def _classes(rows: DataFrame, item: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _class_pairs(held: DataFrame, item: str) -> DataFrame:
-    """(cluster_id, one_a, one_b, n_a, n_b, m_a, m_b, c): two classes with ``c`` common items."""
-    side = lambda s: held.select("cluster_id", item, *[F.col(c).alias(f"{c}_{s}") for c in ("one", "n", "m")])
-    return side("a").join(side("b"), ["cluster_id", item]).where("one_a < one_b").groupBy("cluster_id", "one_a", "one_b", "n_a", "n_b", "m_a", "m_b").agg(F.count("*").alias("c"))
+    """(cluster_id, one_a, one_b, n_a, n_b, m_a, m_b, c): two classes with ``c`` common items; a hub's pairs are spread."""
+    met = meetings(held.select("cluster_id", item, "one", "n", "m"), ["cluster_id", item], "one").where("one <> one_b")
+    first = F.col("one") < F.col("one_b")
+    sides = [F.when(first if s == "a" else ~first, F.col(c)).otherwise(F.col(f"{c}_b")).alias(f"{c}_{s}") for c in ("one", "n", "m") for s in "ab"]
+    return met.select("cluster_id", *sides).groupBy("cluster_id", "one_a", "one_b", "n_a", "n_b", "m_a", "m_b").agg(F.count("*").alias("c"))
 
 
 def control(rows: DataFrame, members: DataFrame, cap: int | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from linkweave.operators import audit, baseline, cohort, evaluation, features, graph, lineage, linking, pairwise
+from linkweave.operators import audit, baseline, cohort, evaluation, features, graph, hubs, lineage, linking, pairwise
 from linkweave.runtime import checkpoint
 from linkweave.schemas import LEGACY, TABLES, LinkageParams
 
@@ -184,9 +184,16 @@ def test_a_hub_of_equal_addresses_is_a_few_rows(spark):
     assert baseline.hub_quantiles(found).first()["n"] == 5000 * 4999 // 2
 
 
+def test_each_two_rows_of_a_key_meet_once(spark):
+    rows = spark.createDataFrame([(k, n, 10 * n) for k, size in ((1, 40), (2, 3), (3, 1)) for n in range(size)], "k int, n int, v int")
+    for split in (1, 7, 1000):
+        got = [(r["k"], *sorted((r["n"], r["n_b"]))) for r in hubs.meetings(rows, ["k"], "n", split=split).collect()]
+        assert sorted(got) == [(k, a, b) for k, size in ((1, 40), (2, 3), (3, 1)) for a in range(size) for b in range(a, size)]
+
+
 def test_classes_give_the_pairs_counters(spark, monkeypatch):
     """Few keys and sources, so that classes, self-pairs and blocks of a hub all occur."""
-    monkeypatch.setattr(baseline, "SPLIT", 3)
+    monkeypatch.setattr(hubs, "SPLIT", 3)
     dice = random.Random(8)
     rows = [(f"x{dice.randrange(40)}", dice.choice(["safe_owner", "ens_handle"]), f"k{dice.randrange(4)}", 2, dice.choice([0, 3, 9]), None) for _ in range(90)] + [(f"x{n}", "funded_by", "hub", 2, n % 3, None) for n in range(40)]
     e, addresses = _evidence(spark, rows), spark.createDataFrame([(f"x{n}",) for n in range(0, 50, 3)], "address string")
