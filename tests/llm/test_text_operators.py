@@ -452,11 +452,37 @@ def test_more_url_rules_than_a_block(spark):
         return max(fits, default=(0, 0, "allow", None))[2:]
 
     want = {n: brute(u) for n, u in urls} | {None: ("allow", None)}
-    for block in (7, 50, url_filters.BLOCK):
-        got = url_filters.judge(frame, table, block=block).select("page_id", "filtered.verdict", "filtered.rule").collect()
+    # with few inline rules, hosts are swept by path as well, beside hosts that are not
+    for block, inline in ((7, 1024), (50, 1), (9, 2), (url_filters.BLOCK, 0)):
+        got = url_filters.judge(frame, table, block=block, inline=inline).select("page_id", "filtered.verdict", "filtered.rule").collect()
         assert len(got) == len(frame.collect()) and {r[0]: (r[1], r[2]) for r in got} == want
 
 
+def test_many_rules_on_one_host(spark):
+    """20,000 nested and neighbouring paths on one host, with rules of a subdomain and a suffix beside them."""
+    dice = random.Random(12)
+    paths = {"/" + "/".join(dice.choice(["a", "ab", "b", "é", "x%"]) for _ in range(dice.randrange(1, 9))) + dice.choice(["", "/", "\U0010ffff"]) for _ in range(20_000)}
+    rules = [("big.com", p, dice.choice(["allow", "block"])) for p in sorted(paths)] + [("com", "/a", "block"), ("w.big.com", "/ab/", "allow"), ("big.com", "/a", "block")]
+    table = spark.createDataFrame(rules, "host string, path string, verdict string")
+    urls = [(n, f"http://{dice.choice(['', 'w.', 'other.'])}{dice.choice(['big.com', 'big.com', 'com'])}{dice.choice(sorted(paths))}{dice.choice(['', 'a', '/ab', chr(0x10FFFF)])}") for n in range(500)] + [(900, "http://big.com"), (901, "none"), (902, None)]
+    by_host = {}
+    for h, p, v in rules:
+        by_host.setdefault(h, {})
+        by_host[h][p] = max(by_host[h].get(p, "allow"), v)
+
+    def brute(url):
+        host, slash, rest = (url or "").partition("://")[2].partition("/")
+        path, fits = slash + rest, []
+        for h, own in by_host.items():
+            if host == h or host.endswith("." + h):
+                fits += [(len(h) + n, len(h), own[path[:n]] == "block", own[path[:n]], h + path[:n]) for n in range(1, len(path) + 1) if path[:n] in own]
+        return max(fits, default=(0, 0, 0, "allow", None))[3:]
+
+    for block in (1000, url_filters.BLOCK):
+        got = url_filters.judge(spark.createDataFrame(urls, "page_id long, url string"), table, block=block).select("page_id", "filtered.verdict", "filtered.rule").collect()
+        assert len(got) == len(urls) and {r[0]: (r[1], r[2]) for r in got} == {n: brute(u) for n, u in urls}
+
+
 # licences
 
 
