@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,3 +44,21 @@ def texts(column: pa.Array) -> Iterator[bytes]:
     view = memoryview(data)
     for start, end in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         yield view[start:end].tobytes()
+
+
+def _libc_trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+_TRIM = _libc_trim()
+
+
+def give_back() -> None:
+    """Return what a task has freed to the system, so that a worker which lives on doesn't hold it through later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)

@@ -37,6 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkweave.llm.arrow_text import give_back
 from linkweave.llm.columns import unused_name
 from linkweave.runtime import checkpoint
 
@@ -156,7 +157,7 @@ def _runs_of(unit: str, min_words: int):
     def runs(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             yield pa.concat_arrays([some_runs(column[at : at + SLICE]) for at in range(0, max(1, len(column)), SLICE)])
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     def some_runs(column: pa.Array) -> pa.Array:
         ends, position, digest, more = [0], [], [], []
@@ -195,7 +196,7 @@ def _cut_of(unit: str, min_words: int):
     def cut(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for values, positions in columns:
             yield pa.concat_arrays([some_cuts(values[at : at + SLICE], positions[at : at + SLICE]) for at in range(0, max(1, len(values)), SLICE)])
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     def some_cuts(values: pa.Array, positions: pa.Array) -> pa.Array:
         out = []

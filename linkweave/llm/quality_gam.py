@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkweave.llm.arrow_text import texts
+from linkweave.llm.arrow_text import give_back, texts
 
 #: About this many labelled rows are learnt from at most, picked by a hash of their ids.
 SAMPLE_ROWS = 20_000
@@ -196,5 +196,6 @@ def score(docs: DataFrame, model: AdditiveModel, *, text: str = "text", into: st
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             yield pa.array(shared.value.score(measure(column)))
+        give_back()
 
     return docs.withColumn(into, run(F.col(text)))

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkweave.llm.arrow_text import give_back
+
 MARK = "\u2581"
 #: Parts and pair tests that one Python worker remembers at most, and the longest part kept.
 MEMO, PAIRS, LONGEST = 120_000, 500_000, 64
@@ -287,7 +289,7 @@ def encode(docs: DataFrame, model_file: str, *, text: str = "text", into: str =
         for column in columns:
             yield pa.concat_arrays([some(codec, column[at : at + SLICE]) for at in range(0, max(1, len(column)), SLICE)])
         codec.forget()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     def some(codec: Codec, column: pa.Array) -> pa.Array:
         counts, first, second, flat, sha = [], [], [], [np.zeros(0, np.int32)], hashlib.sha256

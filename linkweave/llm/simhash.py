@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkweave.llm.arrow_text import LOWER_BYTES, texts
+from linkweave.llm.arrow_text import LOWER_BYTES, give_back, texts
 from linkweave.operators.components import connected_components
 from linkweave.llm.columns import unused_name
 from linkweave.runtime import checkpoint, is_empty, shuffle_partitions
@@ -67,6 +67,7 @@ def fingerprint(text: bytes) -> int:
 def _fingerprints(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for column in columns:
         yield pa.array(np.array([fingerprint(t) for t in texts(column)], dtype=np.uint64).view(np.int64))
+    give_back()
 
 
 def with_fingerprint(docs: DataFrame, *, text: str = "text", into: str = "fingerprint") -> DataFrame:
