@@ -603,8 +603,7 @@ def incremental_clusters(i: Inputs) -> DataFrame:
 def running_participants(i: Inputs) -> DataFrame:
     """Counters of a stream of transfers that arrives in micro-batches, the last state of each address."""
     folder, kept = _scratch(i, "stream"), store.Store(i.spark, _scratch(i, "participants"))
-    for key, value in STATE_STORE.items():
-        i.spark.conf.set(key, value)
+    before = {key: i.spark.conf.get(key, None) for key in STATE_STORE}
     late = i.transfers.withColumn("slice", F.pmod(F.xxhash64("tx_hash"), F.lit(BATCHES)))
     late.repartition(BATCHES, "slice").write.parquet(f"{folder}/in")
     stream = participant_counters(i.spark.readStream.schema(TABLES["transfers"]).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), cap=SERVICE)
@@ -614,9 +613,14 @@ def running_participants(i: Inputs) -> DataFrame:
             if kept.once("participants", number):
                 kept.append("participants", batch.withColumn("batch", F.lit(number)))
 
-    stream.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
-    last = kept.read("participants").groupBy("address").agg(F.max_by("first_block", "batch").alias("first_block"), F.max("n").alias("n"), F.count_if("crossed").cast("int").alias("crossings"))
-    return last
+    try:
+        for key, value in STATE_STORE.items():
+            i.spark.conf.set(key, value)
+        stream.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for key, value in before.items():
+            i.spark.conf.unset(key) if value is None else i.spark.conf.set(key, value)
+    return kept.read("participants").groupBy("address").agg(F.max_by("first_block", "batch").alias("first_block"), F.max("n").alias("n"), F.count_if("crossed").cast("int").alias("crossings"))
 
 
 # baseline
