@@ -168,13 +168,15 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _search(rows: DataFrame) -> DataFrame:
-    return rows.repartition(shuffle_partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket", "probe").mapInArrow(_links, "a bigint, b bigint")
+    # sorted by fp too: a forest names its first member, and the order in which a shuffle's blocks arrive must not choose it
+    return rows.repartition(shuffle_partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket", "probe", "fp").mapInArrow(_links, "a bigint, b bigint")
 
 
 def fingerprint_links(fps: DataFrame, *, dense: int = DENSE) -> DataFrame:
     """Links (a, b) whose components are those of "at most three bits differ" over distinct ``fps.fp``.
 
-    Not every pair is listed: within a bucket only enough of them to connect what is connected.
+    Not every pair is listed: within a bucket only enough of them to connect what is connected,
+    and the same ones whatever the order of ``fps``.
     """
     # a few MB of fingerprints become about 34 times as many rows: adaptive reading must not leave them to a few tasks
     fps = fps.select("fp").repartition(shuffle_partitions(fps.sparkSession))

@@ -208,6 +208,19 @@ def test_links_give_the_components_of_hamming_distance_three(spark, dense):
         assert links.count() < 40 * len(fps)
 
 
+def test_links_do_not_follow_the_order_of_rows(spark):
+    """Executors fetch a shuffle's blocks in any order, so a bucket's rows come in any order."""
+    dice = random.Random(8)
+    base = dice.getrandbits(63)
+    fps = list({base ^ 1 << a ^ 1 << b for a in range(24) for b in range(a)})
+    found = []
+    for _ in range(3):
+        dice.shuffle(fps)
+        links = simhash._search(spark.createDataFrame([(7, False, f) for f in fps], "bucket long, probe boolean, fp long"))
+        found.append(sorted(map(tuple, links.collect())))
+    assert found[0] and found[0] == found[1] == found[2]
+
+
 def test_near_duplicates_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = simhash.near_duplicates(docs).collect()

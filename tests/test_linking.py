@@ -129,6 +129,19 @@ def test_components_are_those_of_union_find(spark, pairs):
     assert {r["node"]: r["component"] for r in connected_components(frame).collect()} == {x: find(x) for x in parent}
 
 
+def test_components_of_edges_that_turn_with_each_evaluation(spark):
+    """A list that names its edges anew at each evaluation, as one that follows a shuffle's order may."""
+
+    def turned(batches):
+        dice = random.SystemRandom()
+        for frame in batches:
+            swap = [dice.random() < 0.5 for _ in range(len(frame))]
+            yield frame.assign(a=frame.a.where(swap, frame.b), b=frame.b.where(swap, frame.a))
+
+    edges = spark.createDataFrame([(n, n + 1) for n in range(400)], "a long, b long").mapInPandas(turned, "a long, b long")
+    assert {(r["node"], r["component"]) for r in connected_components(edges).collect()} == {(n, 0) for n in range(401)}
+
+
 def test_long_chain(spark):
     frame = spark.range(300).selectExpr("id as a", "id + 1 as b")
     found = connected_components(frame)
